@@ -132,12 +132,13 @@ class Postings:
         return live[phrase[ok]], start[ok]
 
     def near(self, terms: list[bytes], distance: int) -> np.ndarray:
-        """Positions of the rarest term with every other term at most ``distance`` words away in the same document."""
+        """Positions of the first term with every other term at most ``distance`` words away in the same document; rarest others first."""
         if not terms or any(t not in self.term for t in terms):
             return np.empty(0, np.int64)
-        lists = sorted((self.positions[self.start[t] : self.stop[t]] for t in {self.term[t] for t in terms}), key=len)
-        at, doc = lists[0], self.document(lists[0])
-        for other in lists[1:]:
+        own = lambda t: self.positions[self.start[t] : self.stop[t]]
+        at = own(self.term[terms[0]])
+        doc = self.document(at)
+        for other in sorted((own(t) for t in {self.term[t] for t in terms[1:]}), key=len):
             k = np.searchsorted(other, at)
             before, after = other[np.maximum(k - 1, 0)], other[np.minimum(k, len(other) - 1)]
             good = np.zeros(len(at), bool)
@@ -205,7 +206,7 @@ def search(index: DataFrame, blocks: list) -> DataFrame:
 
 
 def near(index: DataFrame, phrases: list[str], distance: int) -> DataFrame:
-    """(doc_id, phrase, position) where all words of a query stand within ``distance`` of its rarest word."""
+    """(doc_id, phrase, position) where all words of a query stand within ``distance`` of its first word."""
     queries = [words_of(p) for p in phrases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
