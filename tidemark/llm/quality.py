@@ -77,7 +77,13 @@ def with_signals(df: DataFrame) -> DataFrame:
         "n_stops": F.regexp_count(text, F.lit(r"[.?](?:[\x20\x09-\x0D]|$)")),
         "n_bangs": F.regexp_count(text, F.lit("!")),
     }
-    return df.withColumns({f"_q_{k}": v.cast("long") for k, v in signals.items()}).drop("_q_w", "_q_h", "_q_s", "_q_l")
+    # the row number keeps the optimizer from copying these costly columns into every later use (see ``counted``)
+    return df.withColumns({f"_q_{k}": v.cast("long") for k, v in signals.items()} | {"_q_row": F.monotonically_increasing_id()}).drop("_q_w", "_q_h", "_q_s", "_q_l")
+
+
+def counted() -> Column:
+    """Always true; a filter with it stays above the signal columns."""
+    return F.col("_q_row") >= 0
 
 
 def base_failed() -> Column:
@@ -111,7 +117,7 @@ def posterior(votes: tuple[int, ...], share: float, rel: list[dict]) -> float:
 def fitted(signals: DataFrame) -> Column:
     """Column of the posterior quality, fitted on all rows of ``signals`` by one aggregation over vote patterns."""
     names = list(rules())
-    rows = signals.select(*[c.alias(k) for k, c in rules().items()]).groupBy(*names).count().collect()  # at most 3^8 rows
+    rows = signals.where(counted()).select(*[c.alias(k) for k, c in rules().items()]).groupBy(*names).count().collect()  # at most 3^8 rows
     share, rel = fit_rules([(tuple(r[k] for k in names), r["count"]) for r in rows])
     odds = F.lit(math.log(share / (1 - share)))
     if not rel:
@@ -134,7 +140,7 @@ def keep_good(documents: DataFrame) -> DataFrame:
     moved = {c: f"{c}__in" for c in documents.columns if c.startswith("_q_")}
     signals = with_signals(documents.withColumnsRenamed(moved))
     quality = fitted(signals)
-    return signals.where(~base_failed() & (quality >= 0.5)).select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in documents.columns])
+    return signals.where(counted() & ~base_failed() & (quality >= 0.5)).select(*[F.col(f"`{moved.get(c, c)}`").alias(c) for c in documents.columns])
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
