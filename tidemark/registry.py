@@ -5,11 +5,170 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.operators import diff as D
+from tidemark.operators import filters as FL
+from tidemark.plans import fixtures as X
+
+CONFIG = {
+    "default": {"titleNone": ["Senior"], "remote": "include", "maxAgeDays": 1200},
+    "perSource": {"nation:*": {"locationNone": ["|china|"]}, "nation:3": {"titleNone": [], "titleAny": ["|a", "e|"], "remote": "only"}, "nation:7": {"titleNone": ["urgent", "|senior|"], "remote": "exclude"}},
+}
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), F.lit(True).alias("complete"), F.lit(False).alias("rebaseline"))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    keyed = X.keyed(spark, sf_dir)
+    snap = keyed.where(X.in_snapshot())
+    state = X.state_of(D.first_wins(keyed.where("okey % 20 = 1")))
+    changes = D.diff(D.first_wins(snap), state)
+    return changes, snap, state
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    changes, snap, _ = _changes(spark, sf_dir)
+    sizes = snap.groupBy("source_id").agg(F.count(F.lit(1)).alias("size"))
+    verdict = D.guard(changes, sizes, _sources(spark, sf_dir))
+    return D.flagged(changes, verdict), verdict
+
+
+def posting_key(spark, d):
+    return X.keyed(spark, d).select("source_id", "pos", "key", "key_full")
+
+
+def first_listing_wins(spark, d):
+    return D.first_wins(X.keyed(spark, d)).select("source_id", "key", "pos", "external_id")
+
+
+def duplicate_keys(spark, d):
+    return D.duplicate_keys(X.keyed(spark, d))
+
+
+def snapshot_diff(spark, d):
+    return _changes(spark, d)[0].groupBy("source_id", "change").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fields")).alias("n_fields"))
+
+
+def vanished(spark, d):
+    return _changes(spark, d)[0].where("change = 'vanished'").select("source_id", "key")
+
+
+def mass_delist_guard(spark, d):
+    return _flags(spark, d)[1].select("source_id", "open_before", "vanished", "size", "accepted")
+
+
+def state_roll_forward(spark, d):
+    return D.roll_forward(_flags(spark, d)[0], X.as_of()).select("source_id", "key", "external_id", "title", "company", "posted_at", "state", "closed_at", "repost_count", "claimed_by")
+
+
+def change_events(spark, d):
+    e = D.change_events(_flags(spark, d)[0], X.as_of(), "c1")
+    return e.select("source_id", "key", "type", F.array_join("fields", ",").alias("fields"), F.when(F.col("change") == "reposted", F.col("gap_days")).alias("gap_days"), F.when(F.col("type") == "vanished_while_claimed", F.col("days_held")).alias("days_held"))
+
+
+def poll_report(spark, d):
+    dropped = X.listings(spark, d).groupBy("source_id").agg(F.count_if(~X.in_snapshot()).alias("filtered"))
+    return D.poll_report(_flags(spark, d)[0], dropped)
+
+
+def cycle_totals(spark, d):
+    return D.totals(poll_report(spark, d))
+
+
+def newest_per_source(spark, d):
+    return D.newest_per_source(X.listings(spark, d)).select("source_id", "pos", "nth")
+
+
+def stale_sweep(spark, d):
+    return D.stale_sweep(_changes(spark, d)[2], X.as_of(), 14).select("source_id", "key", "days")
+
+
+def deadline_sweep(spark, d):
+    return D.deadline_sweep(_changes(spark, d)[2], X.as_of(), 30).select("source_id", "key", "days")
+
+
+def cross_source_matches(spark, d):
+    return D.cross_source(X.keyed(spark, d))
+
+
+def source_health(spark, d):
+    s = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), (F.col("n_nationkey") % 7).cast("int").alias("fail_count"), F.when(F.col("n_nationkey") % 3 > 0, X.as_of()).alias("last_poll"))
+    return D.source_health(s, _changes(spark, d)[2]).select("source_id", "open", "health")
+
+
+def quiet_groups(spark, d):
+    e = X.table(spark, d, "events").select(F.col("user_id").alias("source_id"), (F.col("user_id") % 10).cast("string").alias("key"), F.concat(F.lit("posting_"), F.col("event_type")).alias("type"), F.col("ts").alias("created_at"))
+    return D.quiet_groups(e).select("source_id", "key", F.array_join("types", ",").alias("types"), "n_events", "first_at")
+
+
+def age_labels(spark, d):
+    return X.table(spark, d, "events").select(F.col("ts").alias("at"), T.age_label(F.col("ts").cast("timestamp"), X.as_of(X.EVENTS_AS_OF)).alias("age")).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
+
+
+def strip_html(spark, d):
+    return X.table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("prose"))
+
+
+def filter_listings(spark, d):
+    src = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), F.lit("nation").alias("kind"), F.col("n_nationkey").cast("string").alias("ident"))
+    specs = FL.compiled(FL.resolve(src, FL.spec_frame(spark, CONFIG)))
+    return FL.matching(X.listings(spark, d), specs, X.as_of()).where("matches").select("source_id", "pos")
+
+
+def term_matches(spark, d):
+    """Documents whose normalised text holds a term."""
+    hay = T.filter_normalise(F.col("text"))
+    return X.table(spark, d, "documents").select("doc_id", "lang", hay.contains(" license").alias("start"), hay.contains("tion ").alias("end"), hay.contains(" the ").alias("word"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = (posting_key, first_listing_wins, duplicate_keys, snapshot_diff, vanished, mass_delist_guard, state_roll_forward, change_events, poll_report, cycle_totals, newest_per_source, stale_sweep, deadline_sweep, cross_source_matches, source_health, quiet_groups, age_labels, strip_html, filter_listings, term_matches)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    keyed, diff = f"WITH {X.KEYED_SQL} ", f"WITH {X.DIFF_SQL} "
+    ts = f"TIMESTAMP '{X.AS_OF}'"
+    days = lambda a, b: f"greatest(0, coalesce(floor(date_diff('microsecond', {a}, {b}) / 86400000000 + 0.5), 0))::INT"
+    event = "CASE WHEN change IN ('new', 'updated') THEN 'posting_opened' WHEN change = 'reposted' THEN 'posting_reposted' WHEN claimed_by IS NOT NULL AND applied_at IS NULL THEN 'vanished_while_claimed' ELSE 'posting_closed' END"
+    report = f"""{diff}, dropped AS (SELECT source_id, count(*) FILTER (NOT ({X.SNAP_WHERE})) AS filtered FROM listings GROUP BY source_id),
+      report AS (SELECT f.source_id, count(*) FILTER (here) AS seen, count(*) FILTER (accepted AND change IN ('new', 'reposted')) AS opened, count(*) FILTER (accepted AND change = 'updated') AS updated,
+      count(*) FILTER (accepted AND change = 'vanished') AS closed, bool_or(NOT accepted) AS refused, coalesce(any_value(filtered), 0) AS filtered FROM flags f LEFT JOIN dropped d ON f.source_id = d.source_id GROUP BY f.source_id) """
+    hay = "' ' || trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    h = {c: hay.format(c=f"coalesce({c}, '')") for c in ("title", "company", "location")}
+    minutes = f"greatest(0, floor(date_diff('microsecond', ts, TIMESTAMP '{X.EVENTS_AS_OF}') / 60000000))::BIGINT"
+    return {
+        "posting_key": keyed + "SELECT source_id, pos, key, key_full FROM keyed",
+        "first_listing_wins": keyed + "SELECT source_id, key, pos, external_id FROM keyed QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY pos) = 1",
+        "duplicate_keys": keyed + "SELECT source_id, key, count(*) AS copies FROM keyed GROUP BY source_id, key HAVING count(*) > 1",
+        "snapshot_diff": diff + "SELECT source_id, change, count(*) AS n, sum(len(fields))::BIGINT AS n_fields FROM changes GROUP BY source_id, change",
+        "vanished": diff + "SELECT source_id, key FROM changes WHERE change = 'vanished'",
+        "mass_delist_guard": diff + "SELECT source_id, open_before, vanished, size, accepted FROM verdict",
+        "state_roll_forward": diff
+        + f"""SELECT source_id, key, CASE WHEN accepted AND here THEN f_ext ELSE s_ext END AS external_id, CASE WHEN accepted AND here THEN f_title ELSE s_title END AS title, CASE WHEN change = 'new' THEN f_company ELSE s_company END AS company,
+          CASE WHEN change = 'new' THEN coalesce(f_posted, {ts}) WHEN accepted AND change = 'reposted' THEN coalesce(f_posted, s_posted) ELSE s_posted END AS posted_at,
+          CASE WHEN accepted AND here THEN 'open' WHEN accepted AND change = 'vanished' THEN 'closed' ELSE s_state END AS state,
+          CASE WHEN accepted AND here THEN NULL WHEN accepted AND change = 'vanished' THEN {ts} ELSE s_closed_at END AS closed_at,
+          CASE WHEN accepted AND change = 'reposted' THEN 1 ELSE 0 END::INT AS repost_count, claimed_by FROM flags WHERE known OR (accepted AND here)""",
+        "change_events": diff
+        + f"SELECT source_id, key, {event} AS type, array_to_string(fields, ',') AS fields, CASE WHEN change = 'reposted' THEN {days('s_closed_at', ts)} END AS gap_days, CASE WHEN change = 'vanished' AND claimed_by IS NOT NULL AND applied_at IS NULL THEN {days('claimed_at', ts)} END AS days_held FROM flags WHERE accepted AND change IN ('new', 'updated', 'reposted', 'vanished')",
+        "poll_report": report + "SELECT * FROM report",
+        "cycle_totals": report + "SELECT sum(seen)::BIGINT AS seen, sum(filtered)::BIGINT AS filtered, sum(opened)::BIGINT AS opened, sum(updated)::BIGINT AS updated, sum(closed)::BIGINT AS closed, count(*) FILTER (refused) AS refused FROM report",
+        "newest_per_source": f"WITH l AS ({X.LISTINGS_SQL}) SELECT source_id, pos, row_number() OVER (PARTITION BY source_id ORDER BY posted_at DESC NULLS LAST, pos)::INT AS nth FROM l QUALIFY nth <= 25",
+        "stale_sweep": diff + f"SELECT source_id, key, {days('claimed_at', ts)} AS days FROM state WHERE state = 'open' AND applied_at IS NULL AND claimed_at < {ts} - INTERVAL 14 DAY",
+        "deadline_sweep": diff + f"SELECT source_id, key, {days(ts, 'closes_at')} AS days FROM state WHERE state = 'open' AND applied_at IS NULL AND closes_at > {ts} AND closes_at <= {ts} + INTERVAL 30 DAY",
+        "cross_source_matches": keyed + "SELECT key_full, count(DISTINCT source_id) AS n_sources, count(*) AS n_listings FROM keyed GROUP BY key_full HAVING count(DISTINCT source_id) > 1",
+        "source_health": diff
+        + "SELECT n_nationkey::BIGINT AS source_id, count(key) AS open, CASE WHEN n_nationkey % 7 >= 5 THEN 'MUTED' WHEN n_nationkey % 3 = 0 THEN 'never polled' WHEN n_nationkey % 7 > 0 THEN concat(n_nationkey % 7, ' failures') ELSE 'ok' END AS health FROM nation LEFT JOIN state ON n_nationkey = source_id AND state = 'open' GROUP BY n_nationkey",
+        "quiet_groups": "SELECT user_id AS source_id, (user_id % 10)::VARCHAR AS key, string_agg(DISTINCT 'posting_' || event_type, ',' ORDER BY 'posting_' || event_type) AS types, count(*) AS n_events, min(ts) AS first_at FROM events GROUP BY user_id",
+        "age_labels": f"""WITH m AS (SELECT {minutes} AS m FROM events) SELECT CASE WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h' || CASE WHEN m % 60 > 0 THEN ' ' || (m % 60) || 'm' ELSE '' END
+          WHEN m < 10080 THEN (m // 1440) || 'd' || CASE WHEN (m // 60) % 24 > 0 THEN ' ' || ((m // 60) % 24) || 'h' ELSE '' END ELSE (m // 1440) || 'd' END AS age, count(*) AS n FROM m GROUP BY 1""",
+        "strip_html": f"SELECT page_id, {T.sql_html('html')} AS prose FROM pages",
+        "filter_listings": f"""WITH l AS ({X.LISTINGS_SQL}), h AS (SELECT *, {h['title']} AS ht, {h['location']} AS hl FROM l)
+          SELECT source_id, pos FROM h WHERE (posted_at IS NULL OR date_diff('microsecond', posted_at, {ts}) / 86400000000 <= 1200) AND NOT contains(hl, ' china ')
+          AND CASE source_id WHEN 3 THEN coalesce(remote, false) AND (contains(ht, ' a') OR contains(ht, 'e ')) WHEN 7 THEN NOT coalesce(remote, false) AND NOT contains(ht, 'urgent') AND NOT contains(ht, ' senior ') ELSE NOT contains(ht, 'senior') END""",
+    }
