@@ -140,14 +140,18 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, gram_words:
 
     def runs(frame: pd.DataFrame) -> pd.DataFrame:
         gone: set[int] = set()
-        for _, part in frame.sort_values("begin").groupby(["src_doc", "src_key", "shift"], dropna=False):
+        parts: dict[tuple, list] = {}
+        columns = ("src_doc", "src_key", "shift", "begin", "mine", "theirs", "words", "skip")
+        for src_doc, src_key, shift, *row in zip(*(frame[c].to_list() for c in columns), strict=True):
+            parts.setdefault((None if src_doc != src_doc else src_doc, src_key, shift), []).append(row)
+        for part in parts.values():
             line, run, size = -1, [], 0
 
             def close(run: list[int], size: int) -> None:
                 if size >= min_words:
                     gone.update(run)
 
-            for begin, mine, theirs, words, skip in zip(part["begin"], part["mine"], part["theirs"], part["words"], part["skip"], strict=True):
+            for begin, mine, theirs, words, skip in sorted(part, key=lambda x: x[0]):
                 m = min(len(mine), len(theirs) - skip)
                 same = np.asarray(mine[:m]) == np.asarray(theirs[skip : skip + m])
                 for k in range(m):
