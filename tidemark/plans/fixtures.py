@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import sql_company, sql_location, sql_squash, sql_title, with_keys
+from tidemark.functions.text import sql_company, sql_location, sql_title, with_keys
 
 AS_OF = "1998-06-01 00:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
@@ -98,7 +98,6 @@ cut AS (SELECT *, CASE WHEN nl NOT IN ('', 'remote') AND ends_with(nt, ' ' || nl
 hashed AS (SELECT *, sha256(nc || chr(0) || ct || chr(0) || nl) AS key_full FROM cut),
 keyed AS (SELECT *, left(key_full, 12) AS key FROM hashed)
 """
-assert sql_squash
 SNAP_WHERE = "okey % 20 IN (1, 2) AND okey % 60 <> 1 AND source_id <> 1 AND (source_id % 5 <> 0 OR okey % 60 = 21)"
 DIFF_SQL = f"""{KEYED_SQL},
 fetched AS (SELECT * FROM keyed WHERE {SNAP_WHERE} QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY pos) = 1),
