@@ -187,7 +187,7 @@ def newest_per_source(listings: DataFrame, budget: int = 25) -> DataFrame:
 
 def apply_actions(state: DataFrame, actions: DataFrame) -> DataFrame:
     """Latest claim/release and applied/undo of each posting. ``actions``: (source_id, key, ts, action, user)."""
-    pick = lambda a, b: F.max_by(F.struct("action", "user", "ts"), F.when(F.col("action").isin(a, b), F.col("ts")))
+    pick = lambda a, b: F.max(F.when(F.col("action").isin(a, b), F.struct("ts", "action", "user")))
     last = actions.groupBy("source_id", "key").agg(pick("claim", "release").alias("c"), pick("applied", "undo").alias("a"))
     j = state.join(last, ["source_id", "key"], "left")
     c = F.col("c.action").isin("claim", "release")

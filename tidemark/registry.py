@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import diff as D
 from tidemark.operators import filters as FL
+from tidemark.plans import boards
 from tidemark.plans import fixtures as X
 
 CONFIG = {
@@ -127,7 +128,7 @@ def term_matches(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (posting_key, first_listing_wins, duplicate_keys, snapshot_diff, vanished, mass_delist_guard, state_roll_forward, change_events, poll_report, cycle_totals, newest_per_source, stale_sweep, deadline_sweep, cross_source_matches, source_health, quiet_groups, age_labels, strip_html, filter_listings, term_matches)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | boards.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -171,4 +172,4 @@ def oracle_sql() -> dict[str, str]:
         "filter_listings": f"""WITH l AS ({X.LISTINGS_SQL}), h AS (SELECT *, {h['title']} AS ht, {h['location']} AS hl FROM l)
           SELECT source_id, pos FROM h WHERE (posted_at IS NULL OR date_diff('microsecond', posted_at, {ts}) / 86400000000 <= 1200) AND NOT contains(hl, ' china ')
           AND CASE source_id WHEN 3 THEN coalesce(remote, false) AND (contains(ht, ' a') OR contains(ht, 'e ')) WHEN 7 THEN NOT coalesce(remote, false) AND NOT contains(ht, 'urgent') AND NOT contains(ht, ' senior ') ELSE NOT contains(ht, 'senior') END""",
-    }
+    } | boards.oracle_sql()
