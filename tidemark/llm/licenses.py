@@ -64,15 +64,16 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def digest(text: Column) -> Column:
-    form = canonical(text)
-    return F.when(form != "", F.sha2(F.encode(form, "UTF-8"), 256))
+def with_digest(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``text_digest`` of a text column. The form has a projection of its own, so it is computed once, not in test and value."""
+    form = F.col("_form")
+    return df.withColumn("_form", canonical(F.col(text))).withColumn("text_digest", F.when(form != "", F.sha2(F.encode(form, "UTF-8"), 256))).drop("_form")
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     """(license, text_digest): one row a distinct canonical text; a given list, so small."""
     rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select("license", digest(F.col("text")).alias("text_digest")).distinct()
+    return with_digest(rows, "text").select("license", "text_digest").distinct()
 
 
 def scan(documents: DataFrame, known=KNOWN) -> DataFrame:
@@ -81,12 +82,12 @@ def scan(documents: DataFrame, known=KNOWN) -> DataFrame:
     table = known_digests(spark, known)
     most = 2 * max(len(t) for _, t in known)
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = documents.select("doc_id", text.alias("text")).withColumn("text_digest", digest(F.col("text"))).withColumn("key", F.xxhash64("text"))
+    docs = documents.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
     lines = docs.select("doc_id", "key", F.posexplode(F.filter(F.split("text", "\n"), lambda x: (x != "") & (F.length(x) <= most))).alias("at", "line"))
-    hits = lines.select("doc_id", "key", "at", digest(F.col("line")).alias("text_digest")).join(table, "text_digest")
+    hits = with_digest(lines, "line").select("doc_id", "key", "at", "text_digest").join(table, "text_digest")
     notices = hits.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("license")).alias("notices"), F.count_distinct("at").alias("n_notices"))
     notices = notices.withColumnsRenamed({"doc_id": "nd", "key": "nk"})
-    whole = docs.drop("text").join(table, "text_digest", "left")
+    whole = with_digest(docs, "text").drop("text").join(table, "text_digest", "left")
     out = whole.join(notices, whole["doc_id"].eqNullSafe(F.col("nd")) & (whole["key"] == F.col("nk")), "left")
     return out.select("doc_id", "text_digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
