@@ -65,9 +65,10 @@ def canonical(text: Column) -> Column:
 
 
 def with_digest(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``text_digest`` of a text column. The form has a projection of its own, so it is computed once, not in test and value."""
+    """``df`` with ``text_digest`` of a text column. The form has a projection of its own, so it is computed once, not in test and value; the row number keeps the joins' null filters above it."""
     form = F.col("_form")
-    return df.withColumn("_form", canonical(F.col(text))).withColumn("text_digest", F.when(form != "", F.sha2(F.encode(form, "UTF-8"), 256))).drop("_form")
+    formed = df.withColumns({"_form": canonical(F.col(text)), "_row": F.monotonically_increasing_id()}).where("_row >= 0")
+    return formed.withColumn("text_digest", F.when(form != "", F.sha2(F.encode(form, "UTF-8"), 256))).drop("_form", "_row")
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
@@ -79,7 +80,7 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
 def scan(documents: DataFrame, known=KNOWN) -> DataFrame:
     """(doc_id, text_digest, license, notices, n_notices) for every row of ``documents``."""
     spark = documents.sparkSession
-    table = known_digests(spark, known)
+    table = F.broadcast(known_digests(spark, known))  # a list that the caller holds: its size doesn't depend on the documents
     most = 2 * max(len(t) for _, t in known)
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
