@@ -102,7 +102,7 @@ def test_filters(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "part", "supplier", "nation", "events", "pages"):
+    for t in ("lineitem", "part", "supplier", "nation", "events", "pages", "documents", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
