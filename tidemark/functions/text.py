@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +29,19 @@ CITY_SPLIT = r"[,;/•|–—-]|\bor\b"
 LEGAL = r"\s*(?:&\s*co\.?|gmbh|mbh|ug|ag|se|kg|ohg|e\.?\s?v|inc|incorporated|llc|l\.l\.c|ltd|limited|plc|corp(?:oration)?|co|company|bv|b\.v|nv|n\.v|as|a\/s|ab|oy|sa|s\.a|sas|srl|s\.r\.l|spa|pty|pte|kft|sp\.?\s?z\s?o\.?o)\.?\s*$"
 SQUASH = r"[^\p{L}\p{N}+#]+"
 TITLE_STEPS = (*GENDERS, *REQUISITIONS, EMPLOYMENT, URGENT, *NEWS, ARRANGEMENT, ARRANGEMENT, ARRANGEMENT)
+#: Strings of which a text must hold one for a pattern to match (by pattern): a plain search spares most texts the pattern.
+NEEDS = {
+    GENDERS[0]: ("all",),
+    GENDERS[1]: ("/", "|"),
+    **{p: tuple("0123456789") for p in REQUISITIONS},
+    EMPLOYMENT: ("time", "zeit", "permanent", "contract", "festanstellung"),
+    URGENT: ("urgent", "hiring", "immediate"),
+    **{p: ("new",) for p in NEWS},
+    ARRANGEMENT: ("remote", "hybrid", "site", "office", "wfh", "home"),
+    REMOTE: ("remote", "wfh", "home", "anywhere", "telecommute"),
+    HYBRID: ("hybrid",),
+    OFFICE: ("office", "hq", "headquarters", "campus", "standort", "buro", "site"),
+}
 #: Blanks that compatibility folding leaves: plain spaces here.
 BLANKS = "\u1680\u2028\u2029\ufeff"
 #: Markup rewrites, in this order (pattern, replacement), fixed values.
@@ -52,6 +68,23 @@ def java(pattern: str) -> str:
     return out[:-1] + r"\z" if out.endswith("$") else out
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _holds(x: Column, pattern: str) -> Column:
+    return reduce(or_, [x.contains(w) for w in NEEDS[pattern]])
+
+
+def _without(x: Column, patterns: tuple[str, ...]) -> Column:
+    """Matches of the patterns, one after the other, become spaces. Patterns that can't match are not tried."""
+    step = lambda p: lambda t: F.when(_holds(t, p), F.regexp_replace(t, java(p), " ")).otherwise(t)
+    for p in patterns:
+        x = _let(x, step(p))
+    return x
+
+
 def _folded(form: str, last: str | None):
     def fold(s: pd.Series) -> pd.Series:
         def one(x):
@@ -68,7 +101,7 @@ def _folded(form: str, last: str | None):
 def fold(x: Column, last: str | None = "NFKC") -> Column:
     """De-accented, lower-case, compatibility-normalised. Only non-ASCII strings leave the JVM."""
     x = F.translate(x, BLANKS, " " * len(BLANKS))
-    plain = x.rlike(r"^\p{ASCII}*\z")
+    plain = F.octet_length(x) == F.char_length(x)
     helper = F.pandas_udf(_folded("NFKD", last), "string")
     return F.when(plain, F.lower(x)).otherwise(helper(F.when(~plain, x)))
 
@@ -78,36 +111,34 @@ def squash(x: Column) -> Column:
 
 
 def normalise_title(title: Column) -> Column:
-    t = fold(title)
-    for p in TITLE_STEPS:
-        t = F.regexp_replace(t, java(p), " ")
-    return squash(t)
+    return squash(_without(fold(title), TITLE_STEPS))
 
 
 def normalise_location(location: Column, remote: Column) -> Column:
     raw = F.trim(F.coalesce(location, F.lit("")))
     flag = F.coalesce(remote, F.lit(False))
-    low = fold(raw)
-    hybrid = low.rlike(java(HYBRID))
-    bare = F.regexp_replace(low, r"\([^)]*\)", " ")
-    for p in (HYBRID, REMOTE, OFFICE):
-        bare = F.regexp_replace(bare, java(p), " ")
-    city = squash(F.coalesce(F.get(F.filter(F.split(bare, java(CITY_SPLIT)), lambda s: squash(s) != ""), F.lit(0)), F.lit("")))
-    return (
-        F.when(raw == "", F.when(flag, "remote").otherwise(""))
-        .when(~hybrid & low.rlike(java(REMOTE)), "remote")
-        .when(city != "", city)
-        .otherwise(F.when(flag & ~hybrid, "remote").otherwise("hybrid"))
-    )
+    has = lambda x, p: _holds(x, p) & x.rlike(java(p))
+
+    def named(low: Column) -> Column:
+        bare = _without(F.regexp_replace(low, r"\([^)]*\)", " "), (HYBRID, REMOTE, OFFICE))
+        parts = F.filter(F.transform(F.split(bare, java(CITY_SPLIT)), squash), lambda s: s != "")
+        place = F.coalesce(F.get(parts, F.lit(0)), F.when(flag & ~has(low, HYBRID), "remote").otherwise("hybrid"))
+        return F.when(low == "", F.when(flag, "remote").otherwise("")).when(~has(low, HYBRID) & has(low, REMOTE), "remote").otherwise(place)
+
+    return _let(fold(raw), named)
 
 
 def normalise_company(company: Column, strict_suffix: bool = False) -> Column:
     """``strict_suffix`` asks for a blank before a legal suffix; without it glued endings go too."""
-    c = F.regexp_replace(fold(company), r"[.,]+\z", "")
     legal = java(LEGAL)
-    for _ in range(4):
-        c = F.regexp_replace(c, legal.replace(r"\s*", r"\s+", 1) if strict_suffix else legal, "")
-    return squash(c)
+    if strict_suffix:
+        legal = legal.replace(r"\s*", r"\s+", 1)
+
+    def cut(c: Column, passes: int) -> Column:
+        """Suffixes go one at a time, until nothing changes."""
+        return _let(F.regexp_replace(c, legal, ""), lambda less: F.when(less == c, less).otherwise(cut(less, passes - 1)) if passes > 1 else less)
+
+    return squash(_let(F.regexp_replace(fold(company), r"[.,]+\z", ""), lambda c: cut(c, 4)))
 
 
 def key_full(title: Column, company: Column, location: Column) -> Column:
