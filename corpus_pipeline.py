@@ -1,10 +1,10 @@
-"""Corpus pipeline: quality rules, line dedup, SimHash near-dedup, decontamination, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, lines, packing, quality, simhash
+from tidemark.llm import decontaminate, lines, near, packing, quality
 from tidemark.llm.common import stored
 
 
@@ -19,8 +19,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return simhash.keep_first(docs)
+    """One document of each class of texts with a Jaccard similarity of 0.8 or more on five-word shingles stays."""
+    return near.keep_first(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
