@@ -1,12 +1,12 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by windows over line hashes.
 
-A document is the sequence of the hashes of its lines with words. A gram is the shortest run of lines from a
-given line that reaches ``GRAM_WORDS`` words; a window is all grams inside the shortest run
-that reaches ``MIN_WORDS`` words; the least gram hash of every window is a fingerprint. Two texts that share a run of
-at least ``MIN_WORDS`` words of whole lines share a whole window there, and so the fingerprint.
+A document is the sequence of the hashes of its lines with words. A window is a run of lines that is the shortest from its first
+line, or the shortest to its last line, with at least ``MIN_WORDS`` words; every window's hash is a mark. Any line
+of a run of that many words lies in a window inside the run.
 
-Every later occurrence of a fingerprint is paired with its first one (by doc_id, then
-text hash, then line): a star, never all pairs. Pairs with the same shift form an alignment; along it the match is
+Every later occurrence of a window is paired with its first one (by doc_id, then
+text hash, then line): a star, never all pairs. The first holder has the whole window, so every line of a run that any earlier
+place holds is found. Pairs with the same shift form an alignment; along it the match is
 extended both ways line by line, and the later copy of each maximal run of at least ``MIN_WORDS``
 words is deleted. The earliest copy of any line is never deleted. To extend, an alignment fetches the source's hashes in blocks of ``BLOCK`` lines,
 only as far as both documents reach.
@@ -19,7 +19,6 @@ kept by ``drop_repeats``, which also drops documents that lose all their words.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import dropped, stored
 
-GRAM_WORDS = 25
 MIN_WORDS = 50
 BLOCK = 256
 
@@ -49,31 +47,25 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
     return hashes, counts
 
 
-def fingerprints(hashes: list[int], counts: list[int], gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(gram hash, line) of the window minima; of equal minima the last line's."""
-    import xxhash
+#: Odd factor of the rolling window hash, and its inverse modulo 2^64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+
 
+def fingerprints(hashes: list[int], counts: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(window hash, first line) of all windows."""
     n = len(hashes)
-    upto = np.concatenate([[0], np.cumsum(counts)]) if n else np.zeros(1, np.int64)
-    # end of the shortest run from each line that reaches so many words; n + 1 if none does
-    ends = lambda words: np.where(upto[:-1] + words <= upto[-1], np.searchsorted(upto, upto[:-1] + words), n + 1)
-    gram_end, run_end = ends(gram_words), ends(min_words)
-    raw = np.array(hashes, np.int64).tobytes()
-    gram = [xxhash.xxh64_intdigest(raw[8 * i : 8 * int(e)]) if e <= n else None for i, e in enumerate(gram_end)]
-    out, window, nxt = [], deque(), 0  # window: candidates in rising order of hash
-    for i in range(n):
-        if run_end[i] > n:
-            break
-        while nxt < n and gram_end[nxt] <= run_end[i]:
-            while window and gram[window[-1]] >= gram[nxt]:
-                window.pop()
-            window.append(nxt)
-            nxt += 1
-        while window and window[0] < i:
-            window.popleft()
-        if window and (not out or out[-1][1] != window[0]):
-            out.append((gram[window[0]], window[0]))
-    return [(g - (1 << 64) if g >> 63 else g, i) for g, i in out]
+    upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    starts = np.flatnonzero(upto[:-1] + min_words <= upto[-1])
+    ends = np.flatnonzero(upto >= min_words)
+    forward = starts * (n + 1) + np.searchsorted(upto, upto[starts] + min_words)
+    back = (np.searchsorted(upto, upto[ends] - min_words, side="right") - 1) * (n + 1) + ends
+    start, end = np.divmod(np.unique(np.concatenate([forward, back])), n + 1)
+    power = lambda x: np.cumprod(np.array([1] + [x] * n, np.uint64), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.int64).view(np.uint64) * power(FACTOR)[:n])])
+    g = (sums[end] - sums[start]) * power(INVERSE)[start]
+    g = (g ^ (g >> np.uint64(29))) * np.uint64(FACTOR)
+    return list(zip(g.view(np.int64).tolist(), start.tolist(), strict=True))
 
 
 LINES = "doc_id bigint, key bigint, hashes array<bigint>, counts array<int>, marks array<struct<g:bigint,line:int>>"
@@ -83,7 +75,7 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def index_lines(documents: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def index_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row (see ``LINES``) for every row of ``documents``."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +84,7 @@ def index_lines(documents: DataFrame, gram_words: int = GRAM_WORDS, min_words: i
             rows = []
             for text in batch.column(2):
                 h, c = line_hashes(text.as_py())
-                rows.append((h, c, [{"g": g, "line": i} for g, i in fingerprints(h, c, gram_words, min_words)]))
+                rows.append((h, c, [{"g": g, "line": i} for g, i in fingerprints(h, c, min_words)]))
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "key", "hashes", "counts", "marks"])
 
@@ -115,10 +107,11 @@ def alignments(index: DataFrame) -> DataFrame:
     return later.select("doc_id", "key", "n", F.col("first.doc_id").alias("src_doc"), F.col("first.key").alias("src_key"), (F.col("line") - F.col("first.line")).alias("shift")).distinct()
 
 
-def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, lines): the lines to delete, numbered among lines with words, of each document that has any."""
-    index = stored(index_lines(documents, gram_words, min_words), "lines").dropDuplicates(["doc_id", "key"])
-    index = stored(index, "lines-once")
+    every = stored(index_lines(documents, min_words), "lines")
+    index = stored(every.dropDuplicates(["doc_id", "key"]), "lines-once")
+    dropped(every)
     found = alignments(index)
     # the part of the source that both reach, block by block, beside the document's own lines there
     lines = index.select("doc_id", "key", "hashes", "counts")
