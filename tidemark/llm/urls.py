@@ -3,7 +3,8 @@
 Rules name a host (with its subdomains) and a path prefix. Pages that no rule fits take
 the decision of their aliases: connected components over redirect edges (meta refresh),
 canonical-link edges (link rel=canonical) and the edge from each url to its canonical spelling (scheme, www. or m., query,
-fragment, trailing slash and .html dropped). In a component an explicit allow takes precedence
+fragment, trailing slash and .html dropped). All links and refreshes of a page count; relative targets
+are resolved against the page's url (base elements aside). In a component an explicit allow takes precedence
 over a block; without either, the page is allowed.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, has no
@@ -54,16 +55,39 @@ def spelling(url: Column) -> Column:
 
 
 def _declared(html: Column) -> Column:
-    """Targets of canonical links and refreshes."""
-    link = F.regexp_extract(F.regexp_extract(html, r"(?i)<link\b[^>]*rel=[\"']?canonical[^>]*>", 0), r"(?i)href=[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?i)<meta\b[^>]*http-equiv=[\"']?refresh[^>]*>", 0), r"(?i)url=[\"']?([^\"'\s>]+)", 1)
-    return F.filter(F.array(link, refresh), lambda x: x.contains("://"))
+    """Targets of all canonical links and refreshes, as written."""
+    each = lambda tag, value: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1))
+    link = each(r"(?i)<link\b[^>]*rel=[\"']?canonical[^>]*>", r"(?i)href=[\"']?([^\"'\s>]+)")
+    refresh = each(r"(?i)<meta\b[^>]*http-equiv=[\"']?refresh[^>]*>", r"(?i)url=[\"']?([^\"'\s>]+)")
+    return F.array_distinct(F.filter(F.concat(link, refresh), lambda x: x != ""))
+
+
+def _steps(path: Column) -> Column:
+    """The path with its steps . and .. carried out."""
+    none = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(F.regexp_replace(path, r"^/", ""), "/"), none, step), "/"))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """A target as an absolute url, without query and fragment if it was relative to ``url``; null for other schemes (mailto:) and where neither has a host."""
+    here = F.when(url.contains("://"), F.regexp_extract(url, r"^([\s\S]*?://[^/?#]*)", 1))
+    file = F.regexp_extract(target, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(path_of(url), r"^([\s\S]*/)", 1)
+    return (
+        F.when(target.rlike(r"^(?i:[a-z][a-z0-9+.-]*)?://"), target)
+        .when(target.rlike(r"^(?i:[a-z][a-z0-9+.-]*):"), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(here, r"^([\s\S]*?:)//", 1), target))
+        .when(file == "", F.concat(here, path_of(url)))
+        .when(target.startswith("/"), F.concat(here, _steps(file)))
+        .otherwise(F.concat(here, _steps(F.concat(folder, file))))
+    )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): url spellings that a page declares equal. Spellings are the nodes, so equal spellings need no edge."""
-    own = pages.select(spelling(F.col("url")).alias("src"), F.explode(_declared(F.col("html"))).alias("to"))
-    return own.select("src", spelling(F.col("to")).alias("dst"))
+    own = pages.select("url", F.explode(_declared(F.col("html"))).alias("to"))
+    return own.select(spelling(F.col("url")).alias("src"), spelling(resolved(F.col("to"), F.col("url"))).alias("dst"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
