@@ -11,12 +11,12 @@ def brute(rows):
     order = sorted(docs)
     first = {}
     for key in order:
-        for g, i in L.fingerprints(*docs[key]):
+        for g, i, _ in zip(*map(list, L.windows(*docs[key])), strict=True):
             first.setdefault(g, (key, i))
     gone = {}
     for key in order:
         h, c = docs[key]
-        for g, i in L.fingerprints(h, c):
+        for g, i, _ in zip(*map(list, L.windows(h, c)), strict=True):
             src, j = first[g]
             if (src, j) == (key, i):
                 continue
@@ -42,12 +42,11 @@ def test_window_guarantee():
         marks = []
         for _ in range(2):
             doc = [line() for _ in range(rnd.randint(0, 5))] + run + [line() for _ in range(rnd.randint(0, 5))]
-            marks.append({g for g, _ in L.fingerprints([h for h, _ in doc], [c for _, c in doc])})
+            marks.append(set(L.windows([h for h, _ in doc], [c for _, c in doc])[0].tolist()))
         assert marks[0] & marks[1]
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK", 4)
+def test_against_brute_force(spark):
     rnd = random.Random(9)
     line = lambda n: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
     passages = [[line(rnd.choice([3, 9, 20, 55])) for _ in range(rnd.randint(1, 9))] for _ in range(8)]
@@ -88,3 +87,16 @@ def test_every_line_survives_somewhere(spark, tmp_path):
     assert left == {y for _, t in rows for y in t.split("\n")}
     assert L.op10_lines(spark, str(tmp_path)).count() == len(rows)
     assert L.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_and_equal_lines(spark):
+    rnd = random.Random(6)
+    line = lambda n: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
+    x, y = line(55), line(30)
+    rows = [(1, x, 1, 2, 3, 4), (2, x + "\n" + y, 1, 2, 3, 4), (3, x + "\n" + y, 1, 2, 3, 4), (4, "\n".join([line(12)] * 20_000), 1, 2, 3, 4), (5, "\n".join(line(20) for _ in range(5000)), 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _w_gone int, _w_doc int, key int, __in_w_row int")
+    out = L.drop_repeats(docs)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {(1, 2, 3, 4)}
+    assert got[1] == x and got[2] == y and 3 not in got and got[5] == rows[4][1]
+    assert got[4] == rows[3][1].split("\n")[0]  # only the first of equal lines has no earlier copy

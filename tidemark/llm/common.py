@@ -14,9 +14,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Read from the session; set here only where unset (tests, local runs)."""
+    """The folder all executors see, as the session names it. Only in local mode, where driver and tasks share one machine, an unset one becomes a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,6 +39,20 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Names of working columns start so.
+WORKING = "_w_"
+
+
+def aside(df: DataFrame) -> DataFrame:
+    """``df`` with the caller's columns that look like working columns renamed, so that no name clashes. ``restored`` undoes it."""
+    return df.withColumnsRenamed({c: f"__in{c}" for c in df.columns if c.startswith(WORKING) or c.startswith("__in")})
+
+
+def restored(out: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``df``, in order, from what was made of ``aside(df)``."""
+    return out.select(*[F.col(f"`__in{c}`").alias(c) if c.startswith(WORKING) or c.startswith("__in") else F.col(f"`{c}`") for c in df.columns])
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A to Z only; other letters stay as they are."""
     return F.translate(col, UPPER, LOWER)

@@ -4,17 +4,17 @@ A document is the sequence of the hashes of its lines with words. A window is a
 line, or the shortest to its last line, with at least ``MIN_WORDS`` words; every window's hash is a mark. Any line
 of a run of that many words lies in a window inside the run.
 
-Every later occurrence of a window is paired with its first one (by doc_id, then
-text hash, then line): a star, never all pairs. The first holder has the whole window, so every line of a run that any earlier
-place holds is found. Pairs with the same shift form an alignment; along it the match is
-extended both ways line by line, and the later copy of each maximal run of at least ``MIN_WORDS``
-words is deleted. The earliest copy of any line is never deleted. To extend, an alignment fetches the source's hashes in blocks of ``BLOCK`` lines,
-only as far as both documents reach.
+Every later occurrence of a window is found by a join of its position with the window's first one (by doc_id, then
+text hash, then line): a star, never all pairs. All windows are marks, not only the least hash of several, since the first holder
+of a thinned-out mark need not hold the whole run. A match is extended both ways by joining the matched windows that overlap or touch: as every window
+of a repeated run is matched, their union is the maximal run, and no source has to be fetched and compared line by line. The later copy of each maximal run of at least ``MIN_WORDS``
+words is deleted. The earliest copy of any line is never deleted: what would delete it is an earlier copy. Work and rows grow with the number of lines, also
+in a document of equal lines.
 
 Defined results: lines are compared by their words, white space aside; lines without words
 belong to a run if it goes on behind them; null text stays null and has no lines; rows with equal doc_id and text
 are one document, all treated alike; an empty table gives no rows; other columns are
-kept by ``drop_repeats``, which also drops documents that lose all their words.
+kept by ``drop_repeats``, whatever their names, which also drops documents that lose all their words.
 """
 
 from __future__ import annotations
@@ -27,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, stored
+from tidemark.llm.common import aside, restored, stored
 
 MIN_WORDS = 50
-BLOCK = 256
 
 
 def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
@@ -52,8 +51,8 @@ FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
-def fingerprints(hashes: list[int], counts: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(window hash, first line) of all windows."""
+def windows(hashes: list[int], counts: list[int], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and line behind the last of every window."""
     n = len(hashes)
     upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     starts = np.flatnonzero(upto[:-1] + min_words <= upto[-1])
@@ -65,10 +64,10 @@ def fingerprints(hashes: list[int], counts: list[int], min_words: int = MIN_WORD
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array(hashes, np.int64).view(np.uint64) * power(FACTOR)[:n])])
     g = (sums[end] - sums[start]) * power(INVERSE)[start]
     g = (g ^ (g >> np.uint64(29))) * np.uint64(FACTOR)
-    return list(zip(g.view(np.int64).tolist(), start.tolist(), strict=True))
+    return g.view(np.int64), start.astype(np.int32), end.astype(np.int32)
 
 
-LINES = "doc_id bigint, key bigint, hashes array<bigint>, counts array<int>, marks array<struct<g:bigint,line:int>>"
+MARKS = "doc_id bigint, key bigint, marks array<struct<g:bigint,line:int,stop:int>>"
 
 
 def row_key() -> Column:
@@ -76,95 +75,30 @@ def row_key() -> Column:
 
 
 def index_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row (see ``LINES``) for every row of ``documents``."""
+    """The windows (see ``MARKS``) of every row of ``documents``; rows without any are left out."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.struct([("g", pa.int64()), ("line", pa.int32())]))]
         for batch in batches:
-            rows = []
-            for text in batch.column(2):
-                h, c = line_hashes(text.as_py())
-                rows.append((h, c, [{"g": g, "line": i} for g, i in fingerprints(h, c, min_words)]))
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "key", "hashes", "counts", "marks"])
+            found = [windows(*line_hashes(t.as_py()), min_words) for t in batch.column(2)]
+            size = np.array([len(f[0]) for f in found], np.int64)
+            rows = pa.array(np.flatnonzero(size))
+            g, line, stop = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            parts = pa.StructArray.from_arrays([pa.array(g, pa.int64()), pa.array(line, pa.int32()), pa.array(stop, pa.int32())], ["g", "line", "stop"])
+            upto = np.concatenate([[0], np.cumsum(size[size > 0])]).astype(np.int32)
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.ListArray.from_arrays(pa.array(upto), parts)], names=["doc_id", "key", "marks"])
 
-    return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(index, LINES)
-
-
-def _same(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    out = None
-    for x, y in pairs:
-        c = a[x].eqNullSafe(b[y]) if "doc" in x else a[x] == b[y]
-        out = c if out is None else out & c
-    return out
-
-
-def alignments(index: DataFrame) -> DataFrame:
-    """(doc_id, key, n, src_doc, src_key, shift): line i of the document lies on line i - shift of the source."""
-    marks = index.select("doc_id", "key", F.size("hashes").alias("n"), F.explode("marks").alias("m")).select("doc_id", "key", "n", "m.g", "m.line")
-    first = marks.groupBy("g").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("g", "first")
-    later = marks.join(first, "g").where(~(F.struct("doc_id", "key", "line").eqNullSafe(F.col("first"))))
-    return later.select("doc_id", "key", "n", F.col("first.doc_id").alias("src_doc"), F.col("first.key").alias("src_key"), (F.col("line") - F.col("first.line")).alias("shift")).distinct()
+    return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(index, MARKS)
 
 
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, lines): the lines to delete, numbered among lines with words, of each document that has any."""
-    every = stored(index_lines(documents, min_words), "lines")
-    index = stored(every.dropDuplicates(["doc_id", "key"]), "lines-once")
-    dropped(every)
-    found = alignments(index)
-    # the part of the source that both reach, block by block, beside the document's own lines there
-    lines = index.select("doc_id", "key", "hashes", "counts")
-    per_doc = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("src_doc", "src_key", "shift")).alias("to"))
-    own = per_doc.join(lines.withColumnsRenamed({"doc_id": "d", "key": "k"}), per_doc["doc_id"].eqNullSafe(F.col("d")) & (per_doc["key"] == F.col("k")))
-    one = own.select("doc_id", "key", "hashes", "counts", F.explode("to").alias("t"))
-    low = F.greatest(F.lit(0), -F.col("t.shift"))
-    wanted = one.withColumn("b", F.explode(F.sequence(_div(low), _div(F.greatest(low, F.size("hashes") - 1 - F.col("t.shift"))))))
-    # document lines that lie on the block
-    begin = F.greatest(F.lit(0), F.col("b") * BLOCK + F.col("t.shift"))
-    stop = F.least(F.size("hashes"), (F.col("b") + 1) * BLOCK + F.col("t.shift"))
-    asked = wanted.select("doc_id", "key", "t.*", "b", begin.alias("begin"), F.slice("hashes", begin + 1, F.greatest(F.lit(0), stop - begin)).alias("mine"), F.slice("counts", begin + 1, F.greatest(F.lit(0), stop - begin)).alias("words"))
-    blocks = lines.where(F.size("hashes") > 0).select(F.col("doc_id").alias("bd"), F.col("key").alias("bk"), "hashes", F.explode(F.sequence(F.lit(0), _div(F.size("hashes") - 1))).alias("bb"))
-    used = found.select(F.col("src_doc").alias("ud"), F.col("src_key").alias("uk")).distinct()
-    blocks = blocks.join(used, F.col("bd").eqNullSafe(F.col("ud")) & (F.col("bk") == F.col("uk")), "left_semi")
-    blocks = blocks.select("bd", "bk", "bb", F.slice("hashes", F.col("bb") * BLOCK + 1, F.lit(BLOCK)).alias("theirs"))
-    met = asked.join(blocks, F.col("src_doc").eqNullSafe(F.col("bd")) & (F.col("src_key") == F.col("bk")) & (F.col("b") == F.col("bb")))
-    met = met.select("doc_id", "key", "src_doc", "src_key", "shift", "begin", "words", "mine", "theirs", (F.col("begin") - F.col("shift") - F.col("b") * BLOCK).alias("skip"))
-
-    def runs(frame: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        parts: dict[tuple, list] = {}
-        columns = ("src_doc", "src_key", "shift", "begin", "mine", "theirs", "words", "skip")
-        for src_doc, src_key, shift, *row in zip(*(frame[c].to_list() for c in columns), strict=True):
-            parts.setdefault((None if src_doc != src_doc else src_doc, src_key, shift), []).append(row)
-        for part in parts.values():
-            line, run, size = -1, [], 0
-
-            def close(run: list[int], size: int) -> None:
-                if size >= min_words:
-                    gone.update(run)
-
-            for begin, mine, theirs, words, skip in sorted(part, key=lambda x: x[0]):
-                m = min(len(mine), len(theirs) - skip)
-                same = np.asarray(mine[:m]) == np.asarray(theirs[skip : skip + m])
-                for k in range(m):
-                    at = begin + k
-                    if not same[k] or (run and at != line + 1):
-                        close(run, size)
-                        run, size = [], 0
-                    if same[k]:
-                        run.append(at)
-                        size += int(words[k])
-                        line = at
-            close(run, size)
-        key = frame[["doc_id", "key"]].iloc[:1].reset_index(drop=True)
-        return key.assign(lines=[sorted(int(x) for x in gone)]).iloc[: 1 if gone else 0]
-
-    return met.groupBy("doc_id", "key").applyInPandas(runs, "doc_id bigint, key bigint, lines array<int>")
-
-
-def _div(x: Column) -> Column:
-    return F.call_function("div", x.cast("long"), F.lit(BLOCK).cast("long")).cast("int")
+    index = stored(index_lines(documents, min_words), "lines")
+    marks = index.select("doc_id", "key", F.explode("marks").alias("m")).select("m.g", "doc_id", "key", "m.line", "m.stop")
+    first = marks.groupBy("g").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("g", "first")
+    later = marks.join(first, "g").where(~(F.struct("doc_id", "key", "line").eqNullSafe(F.col("first"))))
+    runs = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("line", "stop")).alias("w"))
+    lines = F.flatten(F.transform("w", lambda w: F.sequence(w["line"], w["stop"] - 1)))
+    return runs.select("doc_id", "key", F.array_sort(F.array_distinct(lines)).alias("lines"))
 
 
 def without(text: str | None, gone) -> str | None:
@@ -191,9 +125,9 @@ def without(text: str | None, gone) -> str | None:
 
 
 def with_repeats(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``_gone``: the lines to delete, or null."""
-    gone = repeated_lines(documents).select(F.col("doc_id").alias("_gd"), F.col("key").alias("_gk"), F.col("lines").alias("_gone"))
-    return documents.join(gone, documents["doc_id"].eqNullSafe(F.col("_gd")) & (F.xxhash64(documents["doc_id"], documents["text"]) == F.col("_gk")), "left").drop("_gd", "_gk")
+    """``documents`` (columns set aside, see ``common.aside``) with ``_w_gone``: the lines to delete, or null."""
+    gone = repeated_lines(documents).select(F.col("doc_id").alias("_w_doc"), F.col("key").alias("_w_key"), F.col("lines").alias("_w_gone"))
+    return aside(documents).withColumn("_w_row", row_key()).join(gone, F.col("doc_id").eqNullSafe(F.col("_w_doc")) & (F.col("_w_row") == F.col("_w_key")), "left")
 
 
 def cleaned(text: str, gone: str) -> Column:
@@ -208,13 +142,14 @@ def cleaned(text: str, gone: str) -> Column:
 
 def drop_repeats(documents: DataFrame) -> DataFrame:
     """``documents`` with later repeated runs of lines deleted; documents that lose all their words go."""
-    out = with_repeats(documents).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cleaned("text", "_gone")))
-    return out.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*documents.columns)
+    gone = F.col("_w_gone")
+    out = with_repeats(documents).withColumn("text", F.when(gone.isNull(), F.col("text")).otherwise(cleaned("text", "_w_gone")))
+    return restored(out.where(gone.isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")), documents)
 
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:
     """Deleted lines of every document, and the CRC-32 of what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = with_repeats(docs)
-    stays = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cleaned("text", "_gone"))
-    return out.select("doc_id", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_deleted_lines"), F.coalesce(F.col("_gone"), F.array().cast("array<int>")).alias("deleted_lines"), F.crc32(F.encode(F.coalesce(stays, F.lit("")), "UTF-8")).alias("kept_crc32"))
+    gone = F.col("_w_gone")
+    stays = F.when(gone.isNull(), F.col("text")).otherwise(cleaned("text", "_w_gone"))
+    return with_repeats(docs).select("doc_id", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_deleted_lines"), F.coalesce(gone, F.array().cast("array<int>")).alias("deleted_lines"), F.crc32(F.encode(F.coalesce(stays, F.lit("")), "UTF-8")).alias("kept_crc32"))
