@@ -50,8 +50,9 @@ def test_order_is_free_and_large_class(spark, monkeypatch):
     rows = [(i, " ".join(text[:j] + [f"n{i}"] + text[j:])) for i, j in ((i, rnd.randrange(200)) for i in range(60))]
     rows += [(100 + i, " ".join(text[:100] + [f"m{i}.{j}" for j in range(100)])) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for sample, common in ((1, 2), (1, 10**6)):
+    for sample, common, rounds in ((1, 2, 8), (1, 10**6, 1)):
         monkeypatch.setattr(N, "SAMPLE", sample)
+        monkeypatch.setattr(N, "ROUNDS", rounds)
         monkeypatch.setattr(N, "COMMON", common)
         assert {r.doc_id for r in N.keep_first(docs).collect()} == brute(rows)
 

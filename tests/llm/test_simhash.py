@@ -3,6 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
+from tidemark.llm import near as N
 from tidemark.llm import simhash as S
 
 
@@ -74,3 +75,13 @@ def test_components_and_stage(spark, tmp_path):
     ids = [r.doc_id for r in S.keep_first(twice).collect()]
     assert sorted(x for x in ids if x is not None) == sorted(set(part.values()))
     assert S.near_classes(docs.where(F.lit(False))).count() == 0
+
+
+def test_one_row_of_each_class_and_no_text_is_lost(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 7), (None, a, 7), (1, b, 7), (5, b, 7), (5, c, 7), (5, c, 8), (None, c + " z", 7), (None, "only null", 7), (None, "only null", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _w_row int")
+    for keep in (S.keep_first, N.keep_first):
+        out = keep(docs)
+        assert out.columns == docs.columns and all(r[2] in (7, 8) for r in out.collect())
+        assert sorted(((r.doc_id or 0), r.text) for r in out.collect()) == sorted([(1, a), (1, b), (5, c), (0, "only null")])

@@ -63,6 +63,25 @@ def words(col: Column) -> Column:
     return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE), lambda w: w != "")
 
 
+def row_key() -> Column:
+    """Tells rows of documents apart but for rows with equal doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def one_of_each(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row of each class, with all columns. ``classes``: (doc_id, key, part) for every row of ``documents``.
+
+    The smallest doc_id of a class stays (null only if it has none but null), of equal ones the smallest text hash, of
+    equal rows an arbitrary one. Rows are told by id and text, so texts that share a doc_id aren't lost.
+    """
+    none = F.col("doc_id").isNull().alias("none")
+    first = classes.groupBy("part").agg(F.min(F.struct(none, "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("_w_doc"), F.col("f.key").alias("_w_key"))
+    kept = aside(documents).withColumn("_w_row", row_key()).join(first, F.col("doc_id").eqNullSafe(F.col("_w_doc")) & (F.col("_w_row") == F.col("_w_key")), "left_semi")
+    if not classes.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_w_row"])
+    return restored(kept, documents)
+
+
 def link_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: ``(node, component)``, component = smallest node.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import aside, restored, stored
+from tidemark.llm.common import aside, restored, row_key, stored
 
 MIN_WORDS = 50
 
@@ -70,10 +70,6 @@ def windows(hashes: list[int], counts: list[int], min_words: int = MIN_WORDS) ->
 MARKS = "doc_id bigint, key bigint, marks array<struct<g:bigint,line:int,stop:int>>"
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
-
-
 def index_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The windows (see ``MARKS``) of every row of ``documents``; rows without any are left out."""
 

@@ -1,18 +1,22 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates: SimHash links for close copies, completed to all texts of a Jaccard similarity of 0.8 or more.
 
 Two texts are linked if the sets of their ``SIZE``-word shingles have a Jaccard similarity of at least 0.8; the
-classes are the connected components. Nothing is sampled: the links are found by prefix filtering. In any fixed order of the
-shingles, two sets of at least that similarity share one of their first n - ceil(0.8 n) + 1 shingles, so
-only these are joined, and every pair that meets is checked on the whole sets.
+classes are the connected components. Candidates come from two places, and every one is checked on the whole sets:
+
+* Pigeonring joins of the sets' SimHash fingerprints (see ``simhash``) find close copies; each text is tried with its
+  smallest neighbour. At 0.8, though, fingerprints differ in about ten of 64 bits, so most such pairs lie beyond the 4 bits.
+* Prefix filtering finds all the others. In any fixed order of the
+  shingles, two sets of at least that similarity share one of their first n - ceil(0.8 n) + 1 shingles, so
+  only these are joined.
 
 The order puts common shingles last, so that few unlike texts meet. How common they are is
-estimated on one text of ``SAMPLE``; a wrong estimate costs time, never a link. Pairs are sought twice: first each
-text with one partner per shingle, then all that share a shingle and aren't in one class yet, so a large class isn't compared with itself.
+estimated on one text of ``SAMPLE``; a wrong estimate costs time, never a link. Texts that share a shingle meet in rounds:
+all with one hub, which changes from round to round, until few pairs of different classes are left; then those, so a large class isn't compared with itself.
 
 Defined results: shingles are of lower-case words (A-Z and ASCII white space only); fewer words than the shingle size give one
 shingle of all words; null and wordless texts have the empty set and are alike; rows with equal sets are alike; of a class the smallest doc_id
 stays (null only if it has none but null), of equal ones the smallest text hash, of equal rows an arbitrary one;
-an empty table gives no rows; other columns pass through untouched.
+an empty table gives no rows; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import link_components, stored
+from tidemark.llm import simhash
+from tidemark.llm.common import link_components, one_of_each, row_key, stored
 
 SIZE = 5
 #: One text of so many is counted to order the shingles; those in at least COMMON of them, MOST at most, go last.
 SAMPLE, COMMON, MOST = 8, 4, 100_000
+#: Rounds with one hub a shingle at most, before all pairs of different classes that are left.
+ROUNDS = 8
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -59,10 +66,6 @@ def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarra
     return found[np.lexsort((found, last))[: n - (4 * n + 4) // 5 + 1]]
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
-
-
 def _common(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles, sorted, and their ranks by how often they occur (from 1)."""
 
@@ -79,7 +82,7 @@ def _common(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, sig, n, prefix) for every row; sig is a hash of the whole set."""
+    """(doc_id, key, sig, n, fp, prefix) for every row; sig is a hash of the whole set, fp its SimHash."""
     order = documents.sparkSession.sparkContext.broadcast(_common(documents))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +91,10 @@ def _prefixes(documents: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(2)]
             sig = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            cols = [pa.array(sig), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, *order.value) for s in sets], pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "key", "sig", "n", "prefix"])
+            cols = [pa.array(sig), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash.majority([s.view(np.uint64)], len(s)) for s in sets], pa.int64()), pa.array([prefix(s, *order.value) for s in sets], pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "key", "sig", "n", "fp", "prefix"])
 
-    return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(of, "doc_id bigint, key bigint, sig bigint, n int, prefix array<bigint>")
+    return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(of, "doc_id bigint, key bigint, sig bigint, n int, fp bigint, prefix array<bigint>")
 
 
 def _alike(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
@@ -110,34 +113,60 @@ def _alike(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame
     return met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def links(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct sets of at least the similarity; pairs that other links hold together may be left out."""
-    sets = rows.dropDuplicates(["sig"]).select("sig", "n", F.explode("prefix").alias("s"))
-    many = sets.groupBy("s").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("n", "sig")).alias("first")).where("times > 1").select("s", "first")
-    posts = stored(sets.join(many, "s"), "near-posts")
-    near = lambda n, m: (4 * F.greatest(n, m) <= 5 * F.least(n, m))
-    star = posts.where((F.col("sig") != F.col("first.sig")) & near(F.col("n"), F.col("first.n"))).select(F.col("first.sig").alias("a"), F.col("sig").alias("b")).distinct()
-    found = stored(_alike(stored(star, "near-star"), documents, rows), "near-links")
-    parts = link_components(found, "a", "b")
-    placed = posts.select("s", "sig", "n").join(parts, posts["sig"] == parts["node"], "left").select("s", "sig", "n", F.coalesce("component", "sig").alias("part"))
-    mixed = placed.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("s")
-    placed = stored(placed.join(mixed, "s", "left_semi"), "near-mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    apart = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") < F.col("y.part")) & near(F.col("x.n"), F.col("y.n"))
-    rest = x.join(y, apart).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
-    tried = stored(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "near-tried")
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    return found.unionByName(_alike(rest, documents, rows))
+def _close(rows: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of sets with close fingerprints: each with its fingerprint's first set, and that with the smallest neighbour's."""
+    sets = stored(rows.select("sig", "fp").distinct(), "near-fingerprints")
+    first = sets.groupBy("fp").agg(F.min("sig").alias("sig"))
+    same = sets.withColumnRenamed("sig", "b").join(first, "fp").where("sig != b").select(F.col("sig").alias("a"), "b")
+    pairs = simhash.links(first.select("fp"))
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("y < x")
+    low = both.groupBy("x").agg(F.min("y").alias("y"))
+    near = low.join(first.select(F.col("fp").alias("x"), F.col("sig").alias("a")), "x").join(first.select(F.col("fp").alias("y"), F.col("sig").alias("b")), "y").select("a", "b")
+    return same.unionByName(near)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def classes_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, component) of all sets that have a link."""
+    posts = rows.dropDuplicates(["sig"]).select("sig", "n", F.explode("prefix").alias("s"))
+    many = posts.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s")
+    posts = stored(posts.join(many, "s", "left_semi"), "near-posts")
+    alike = lambda n, m: (4 * F.greatest(n, m) <= 5 * F.least(n, m))
+    tried = stored(_ordered(_close(rows)), "near-tried")
+    found = stored(_alike(tried, documents, rows), "near-links")
+    for turn in range(ROUNDS + 1):
+        parts = stored(link_components(found, "a", "b"), "near-parts")
+        placed = posts.select("s", "sig", "n").join(parts, F.col("sig") == F.col("node"), "left").select("s", "sig", "n", F.coalesce("component", "sig").alias("part"))
+        per = placed.groupBy("s", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).where("parts > 1")
+        mixed = stored(per, "near-mixed")
+        rows_left, pairs_left = mixed.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2)).first()
+        if not rows_left:
+            break
+        placed = stored(placed.join(mixed.select("s"), "s", "left_semi"), "near-placed")
+        last = turn == ROUNDS or pairs_left <= 2 * rows_left
+        if last:
+            x, y = placed.alias("x"), placed.alias("y")
+            apart = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") < F.col("y.part")) & alike(F.col("x.n"), F.col("y.n"))
+            pairs = x.join(y, apart).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+        else:  # the hub of a shingle depends on the turn, not on the shingle: shingles of the same texts ask for the same pairs
+            hub = placed.groupBy("s").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "part")).alias("hub"))
+            met = placed.join(hub, "s").where((F.col("part") != F.col("hub.part")) & alike(F.col("n"), F.col("hub.n")))
+            pairs = met.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b"))
+        pairs = stored(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        new = _alike(pairs, documents, rows)
+        found = stored(parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(new), "near-links")
+        if last:
+            break
+        tried = stored(tried.unionByName(pairs), "near-tried")
+    return link_components(found, "a", "b")
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
     """One row of each class, with all columns."""
     rows = stored(_prefixes(documents), "near-prefixes")
-    parts = link_components(links(documents, rows), "a", "b")
-    part = rows.select("doc_id", "key", "sig").join(parts, F.col("sig") == F.col("node"), "left").withColumn("part", F.coalesce("component", "sig"))
-    first = part.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
-    first = first.select(F.col("f.doc_id").alias("_fd"), F.col("f.key").alias("_fk"))
-    kept = documents.withColumn("_key", row_key()).join(first, F.col("doc_id").eqNullSafe(F.col("_fd")) & (F.col("_key") == F.col("_fk")), "left_semi")
-    if not rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_key"])
-    return kept.select(*documents.columns)
+    parts = classes_of(documents, rows)
+    part = rows.select("doc_id", "key", "sig").join(parts, F.col("sig") == F.col("node"), "left")
+    return one_of_each(documents, stored(part.select("doc_id", "key", F.coalesce("component", "sig").alias("part")), "near-classes"))

@@ -24,14 +24,15 @@ table gives no rows; other columns pass through ``keep_first`` untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import link_components, stored
+from tidemark.llm.common import link_components, one_of_each, row_key, stored
 
 BITS = 4
 EDGES = (0, 13, 26, 39, 52, 64)
@@ -79,9 +80,15 @@ def fingerprint_of(text: str | None, size: int = 4) -> int:
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends[min(size, len(joined)) - 1 :].tolist()
     digest, seed = xxhash.xxh64_intdigest, SEED
-    ones, n = np.zeros(64, np.int64), len(stops)
-    for at in range(0, n, SLICE):
-        h = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[at : at + SLICE], stops[at : at + SLICE])), np.uint64)  # noqa: B905
+    n = len(stops)
+    hashes = (np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[at : at + SLICE], stops[at : at + SLICE])), np.uint64) for at in range(0, n, SLICE))  # noqa: B905
+    return majority(hashes, n)
+
+
+def majority(hashes: Iterable[np.ndarray], n: int) -> int:
+    """The bits (signed) that are set in over half of n 64-bit hashes, given in slices."""
+    ones = np.zeros(64, np.int64)
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
@@ -137,7 +144,8 @@ def _probe(fps: DataFrame, length: int) -> DataFrame:
 def _meet(probe: DataFrame, index: DataFrame) -> DataFrame:
     diff = F.col("x").bitwiseXOR(F.col("y"))
     link = (probe["i"] == index["i"]) & (probe["key"] == index["key"]) & (~F.col("own") | (F.col("x") < F.col("y"))) & (F.bit_count(diff) <= BITS) & _first_valid(diff, probe["i"])
-    return probe.join(index, link).select("x", "y")
+    # both sides are unfolded many times over, which size estimates don't see: never broadcast them
+    return probe.hint("merge").join(index.hint("merge"), link).select("x", "y")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -158,6 +166,13 @@ def _two(i: Column) -> Column:
     return F.get(F.array(*[F.lit(_signed(chain_mask(j, 2))) for j in range(M)]), i)
 
 
+def classes_of(documents: DataFrame, size: int = 4) -> DataFrame:
+    """(doc_id, key, fp, part) for every row: ``part`` is the smallest fingerprint of its class."""
+    rows = stored(documents.select("doc_id", row_key().alias("key"), fingerprint(F.col("text"), size).alias("fp")), "fingerprints")
+    parts = link_components(links(rows.select("fp").distinct()), "x", "y")
+    return rows.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "key", "fp", F.coalesce("component", "fp").alias("part"))
+
+
 def near_classes(documents: DataFrame, size: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     rows = stored(documents.select("doc_id", fingerprint(F.col("text"), size).alias("fp")), "fingerprints")
@@ -170,19 +185,8 @@ def near_classes(documents: DataFrame, size: int = 4) -> DataFrame:
 
 
 def keep_first(documents: DataFrame, size: int = 4) -> DataFrame:
-    """One row of each class: the smallest doc_id's (of equal ones, an arbitrary but single row), with all columns."""
-    classes = near_classes(documents, size)
-    later = classes.where("doc_id != component_id").select("doc_id").distinct()
-    kept = documents.join(later, "doc_id", "left_anti")
-    # rows that share a doc_id (or have none): one of them stays
-    twice = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    if twice.isEmpty():
-        return kept
-    cols = documents.columns
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(F.col("_twice")), "left_anti")
-    some = kept.join(twice, kept["doc_id"].eqNullSafe(F.col("_twice")), "left_semi").withColumn("_fp", fingerprint(F.col("text"), size))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64("text")))
-    return once.unionByName(some.withColumn("_nth", nth).where("_nth = 1").select(*cols))
+    """One row of each class, with all columns (see ``common.one_of_each``)."""
+    return one_of_each(documents, stored(classes_of(documents, size), "classes").select("doc_id", "key", "part"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
