@@ -7,7 +7,7 @@ classes are the connected components. Candidates come from two places, and every
   smallest neighbour. At 0.8, though, fingerprints differ in about ten of 64 bits, so most such pairs lie beyond the 4 bits.
 * Prefix filtering finds all the others. In any fixed order of the
   shingles, two sets of at least that similarity share one of their first n - ceil(0.8 n) + 1 shingles, so
-  only these are joined.
+  only these are joined; and behind the first one they share, enough must follow in both (positional filter).
 
 The order puts common shingles last, so that few unlike texts meet. How common they are is
 estimated on one text of ``SAMPLE``; a wrong estimate costs time, never a link. Texts that share a shingle meet in rounds:
@@ -25,17 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import link_components, one_of_each, row_key, stored
+from tidemark.llm.common import dropped, link_components, one_of_each, row_key, stored
 
 SIZE = 5
 #: One text of so many is counted to order the shingles; those in at least COMMON of them, MOST at most, go last.
 SAMPLE, COMMON, MOST = 8, 4, 100_000
 #: Rounds with one hub a shingle at most, before all pairs of different classes that are left.
 ROUNDS = 8
+#: All pairs are compared once a text has at most so many partners of other classes on average.
+PARTNERS = 16
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -107,10 +109,13 @@ def _alike(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame
     asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     one = rows.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("sig", F.col("r.doc_id").alias("rd"), F.col("r.key").alias("rk"))
     texts = documents.select("doc_id", row_key().alias("key"), "text").join(one, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("key") == F.col("rk")))
-    sets = stored(texts.select("sig", "text").mapInArrow(of, "sig bigint, s array<bigint>"), "near-sets").dropDuplicates(["sig"])
+    held = stored(texts.select("sig", "text").mapInArrow(of, "sig bigint, s array<bigint>"), "near-sets")
+    sets = held.dropDuplicates(["sig"])
     met = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
     # shared / (n + m - shared) >= 4 / 5
-    return met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    out = stored(met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
+    dropped(held)
+    return out
 
 
 def _close(rows: DataFrame) -> DataFrame:
@@ -131,37 +136,57 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def classes_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, component) of all sets that have a link."""
-    posts = rows.dropDuplicates(["sig"]).select("sig", "n", F.explode("prefix").alias("s"))
+    posts = rows.dropDuplicates(["sig"]).select("sig", "n", F.posexplode("prefix").alias("i", "s"))
     many = posts.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s")
     posts = stored(posts.join(many, "s", "left_semi"), "near-posts")
-    alike = lambda n, m: (4 * F.greatest(n, m) <= 5 * F.least(n, m))
+
+
+    def alike(x: str, y: str) -> Column:
+        """Sizes allow the similarity, and so does what both have from the shared shingle on (true at the first shared one of every pair that is alike)."""
+        n, m, i, j = (F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}i"), F.col(f"{y}i"))
+        return (4 * F.greatest(n, m) <= 5 * F.least(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
+
     tried = stored(_ordered(_close(rows)), "near-tried")
-    found = stored(_alike(tried, documents, rows), "near-links")
+    found = _alike(tried, documents, rows)
+    linked, asked = 1, 1
     for turn in range(ROUNDS + 1):
         parts = stored(link_components(found, "a", "b"), "near-parts")
-        placed = posts.select("s", "sig", "n").join(parts, F.col("sig") == F.col("node"), "left").select("s", "sig", "n", F.coalesce("component", "sig").alias("part"))
+        dropped(found)
+        placed = posts.join(parts, F.col("sig") == F.col("node"), "left").select("s", "sig", "n", "i", F.coalesce("component", "sig").alias("part"))
         per = placed.groupBy("s", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2")).where("parts > 1")
         mixed = stored(per, "near-mixed")
         rows_left, pairs_left = mixed.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2)).first()
         if not rows_left:
-            break
-        placed = stored(placed.join(mixed.select("s"), "s", "left_semi"), "near-placed")
-        last = turn == ROUNDS or pairs_left <= 2 * rows_left
+            return parts
+        # texts whose shingles all lie in one class have no further partner
+        left = stored(placed.join(mixed.select("s"), "s", "left_semi"), "near-posts")
+        dropped(mixed)
+        dropped(posts)
+        posts = left.select("s", "sig", "n", "i")
+        posts.stored_path = left.stored_path
+        # hubs pay while they link
+        last = turn == ROUNDS or pairs_left <= PARTNERS * rows_left or 10 * linked < asked
         if last:
-            x, y = placed.alias("x"), placed.alias("y")
-            apart = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") < F.col("y.part")) & alike(F.col("x.n"), F.col("y.n"))
+            x, y = left.alias("x"), left.alias("y")
+            apart = (F.col("x.s") == F.col("y.s")) & (F.col("x.part") < F.col("y.part")) & alike("x.", "y.")
             pairs = x.join(y, apart).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
         else:  # the hub of a shingle depends on the turn, not on the shingle: shingles of the same texts ask for the same pairs
-            hub = placed.groupBy("s").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "part")).alias("hub"))
-            met = placed.join(hub, "s").where((F.col("part") != F.col("hub.part")) & alike(F.col("n"), F.col("hub.n")))
+            hub = left.groupBy("s").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "n", "i", "part")).alias("hub"))
+            met = left.join(hub, "s").where((F.col("part") != F.col("hub.part")) & alike("", "hub."))
             pairs = met.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b"))
         pairs = stored(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        new = _alike(pairs, documents, rows)
+        asked, new = pairs.count(), _alike(pairs, documents, rows)
+        linked = new.count()
         found = stored(parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(new), "near-links")
+        for frame in (parts, new):
+            dropped(frame)
         if last:
-            break
-        tried = stored(tried.unionByName(pairs), "near-tried")
-    return link_components(found, "a", "b")
+            return link_components(found, "a", "b")
+        both = stored(tried.unionByName(pairs), "near-tried")
+        for frame in (tried, pairs):
+            dropped(frame)
+        tried = both
+    raise AssertionError("the last round returns")
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
