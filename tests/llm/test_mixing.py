@@ -42,31 +42,142 @@ def test_held_out_gain(spark):
     assert len(rows) > 100 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_word_probabilities_sum_to_one_over_a_prefix_code():
-    m = X.Model(np.zeros(X.SLOTS, np.float32), np.zeros(X.SLOTS, np.float32))
+def loop_levels(rows):
+    """Per document and token: [(level, context count, bit)] down to the level that gives the word, and that level's log10 share; by plain counting."""
+    toks = {i: (t or "").encode().lower().split() + [b""] for i, t in rows}
+    held = {i: crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+
+    def grams(i):
+        w = toks[i]
+        for k, x in enumerate(w):
+            p, q = (w[k - 1] if k else None), (w[k - 2] if k > 1 else None)
+            yield x, {"w": ((), x), "pw": (p, x), "ppw": ((q, p), x), "sw": (p and p[-3:], x)}
+
+    seen, context = Counter(), Counter()
+    own = {i: (Counter(), Counter()) for i in toks}
+    for i in toks:
+        if not held[i]:
+            for _, g in grams(i):
+                for o, (c, x) in g.items():
+                    for whole, mine, key in ((seen, own[i][0], (o, c, x)), (context, own[i][1], (o, c))):
+                        whole[key] += 1
+                        mine[key] += 1
+    out = {}
+    for i in toks:
+        news, before = [], Counter()
+        rows = []
+        for _, (x, g) in enumerate(grams(i)):
+            c = {o: context[o, g[o][0]] - own[i][1][o, g[o][0]] for o in g}
+            s = {o: seen[o, *g[o]] - own[i][0][o, *g[o]] for o in g}
+            if g["pw"][0] is None:
+                c["ppw"] = 0
+            new = s["w"] <= 0
+            c["own"], s["own"] = len(news), before[x] if new else 0
+            bits, share = [], 0.0
+            for level, o in enumerate(X.LEVELS):
+                if c[o] > 0:
+                    bits.append((level, c[o], int(s[o] > 0)))
+                    if s[o] > 0:
+                        share = math.log10(s[o] / c[o])
+                        break
+            rows.append((bits, share))
+            if new:
+                news.append(x)
+                before[x] += 1
+        out[i] = rows
+    return out
+
+
+def counted_rows(spark, docs):
+    held = X.segments(docs)
+    every = X.counted(held, X.answers(X.ask(held, 2))).collect()
+    tokens = sum(e - b for r in every for h, b, e in zip(r.held, [0, *r.ends], r.ends, strict=False) if not h)
+    return [r.asDict() for r in every], tokens, sum(not h for r in every for h in r.held)
+
+
+def test_levels_and_scores_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(X, "SEGMENT_TOKENS", 2000)
+    rows = [r for r in corpus(90) if r[1]][:80] + [(500, None), (501, corpus(5)[3][1]), (502, corpus(5)[3][1] + " new new words new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    every, tokens, texts = counted_rows(spark, docs)
+    want, model, used = loop_levels(rows), X.Model(), set()
     rnd = np.random.default_rng(0)
-    m.stretch = rnd.normal(size=X.SLOTS).astype(np.float32)
-    ends = m.log10([b""])
-    ones = m.log10([bytes([b]) for b in range(256) if b != 32])
-    # after one byte b (not the terminator), all continuations together have what P(b) leaves
-    assert 0 < 10.0 ** ends[0] < 1 and (10.0**ones).sum() < 1 - 10.0 ** ends[0]
-    firsts = []
+    for m in (model.levels, model.spelling):
+        m.counts[:] = rnd.integers(0, 5, m.counts.shape)
+        m.weights[:] = rnd.normal(0.3, 0.2, m.weights.shape)
+    model = X.Model.of(model.vector())
+    model.levels.weights[:] = rnd.normal(0.3, 0.2, model.levels.weights.shape)
+    squash = lambda x: 1 / (1 + math.exp(-max(-12, min(12, x))))
+
+    def chance(m, slots, gate, bit, own=False):
+        less = lambda b, s: max(0, m.counts[b][s] - (own and bit == b))
+        st = [math.log((less(1, s) + X.DELTA) / (less(0, s) + X.DELTA)) for s in slots]
+        mixed = max(-12, min(12, sum(w * x for w, x in zip(m.weights[gate], st, strict=True))))
+        at = min(max(mixed * 2 + X.STEPS // 2, 0), X.STEPS - 1.001)
+        low = int(at)
+        p = 0.5 * squash(mixed) + 0.5 * (m.refine[gate][low] * (1 - at + low) + m.refine[gate][low + 1] * (at - low))
+        return math.log10(p if bit else 1 - p)
+
+    for row in every:
+        seg = X.Segment(row)
+        lv = X.Levels(seg, row, tokens, texts)
+        got = model.log10(seg, lv)
+        bits = [[] for _ in seg.code]
+        cost = list(lv.share)
+        for k, (t, level, bit) in enumerate(zip(lv.token, lv.of, lv.bit, strict=True)):
+            bits[t].append((level, bit))
+            cost[t] += chance(model.levels, [s[k] for s in lv.slots], lv.gate[k], bit)
+        for k, (a, b) in enumerate(zip(seg.start, seg.ends, strict=True)):
+            mine = want[row["doc_ids"][k]]
+            assert [[(x, y) for x, _, y in m[0]] for m in mine] == bits[a:b]
+            assert [m[1] for m in mine] == pytest.approx(list(lv.share[a:b]))
+            used |= {x for m in mine for x, _, y in m[0] if y}
+        before = X.after(seg.code, seg.start, 0)
+        for t in lv.spelled:
+            for _, bit, slots in X.spell_bits([seg.words[seg.code[t]]], [seg.words[before[t]][-3:]]):
+                for j in range(len(bit)):
+                    at = [s[j] for s in slots]
+                    own = not seg.held[seg.doc[t]]
+                    left = [max(0, model.spelling.counts[b][s] - (own and bit[j] == b)) for s in at for b in (0, 1)]
+                    gate = X.spell_gate([np.array([left[2 * i] + left[2 * i + 1]]) for i in range(4)])[0]
+                    cost[t] += chance(model.spelling, at, gate, bit[j], own)
+        assert list(got) == pytest.approx(cost, abs=1e-4)
+    assert used == set(range(5))
+
+
+def test_a_byte_s_probabilities_sum_to_one():
+    m = X.Model().spelling
+    m.counts[:] = np.random.default_rng(0).integers(0, 9, m.counts.shape)
+    total = 0.0
     for b in range(256):
-        data, word, place = np.array([b]), np.array([0]), np.array([0])
-        total = 0.0
-        ctx = X.contexts(data, place)
+        data, _, place = X.flat([bytes([b])], [b"ing"])
+        at, ctx = X.contexts(data, place)
+        p = 0.0
         for k in range(8):
-            at = X.slots(ctx, ((data | 256) >> (8 - k)).astype(np.uint64))
-            p = m.probability(m.mix(np.stack([m.stretch[s] for s in at], 1), m.gate[at[3]], m.gate[at[2]]), m.gate[at[3]])
-            total += math.log(p[0] if b >> (7 - k) & 1 else 1 - p[0])
-        firsts.append(math.exp(total))
-    assert sum(firsts) == pytest.approx(1)
+            slots = X.spell_slots([c[:1] for c in ctx], ((data[at[:1]] | 256) >> (8 - k)).astype(np.uint64))
+            p += m.log10(slots, X.spell_gate, np.array([b >> (7 - k) & 1]))[0]
+        total += 10**p
+    assert total == pytest.approx(1)
+
+
+def test_copies_are_told_apart_and_long_words_cost(spark):
+    rows = [r for r in corpus(300, 3) if len(r[1].split()) > 30]
+    twice = [(1000 + i, t) for i, t in rows[:10]]
+    rnd = random.Random(1)
+    long = "".join(rnd.choice("abcdefghij") for _ in range(10_000))
+    got = {r.doc_id: r for r in X.score(spark.createDataFrame(rows + twice + [(5000, long)], "doc_id long, text string")).collect()}
+    pairs = [(got[i].bits_per_byte, got[1000 + i].bits_per_byte) for i, _ in rows[:10] if not got[i].held_out and not got[1000 + i].held_out]
+    plain = sorted(got[i].bits_per_byte for i, _ in rows[10:])
+    assert pairs and max(max(p) for p in pairs) < plain[len(plain) // 10]
+    assert got[5000].score < -2000
 
 
-def test_rising_and_empty(spark):
-    a, n = np.array([0.3, 5.0, 1e-9, 700.0]), np.array([1, 7, 60, 4000])
-    want = [sum(math.log(x + k) for k in range(m)) for x, m in zip(a, n, strict=True)]
-    assert np.allclose(X._rising(a, n), want, rtol=1e-9)
+def test_summed_vector_and_empty(spark):
+    a = X.Model()
+    a.levels.seen = a.spelling.seen = 10.0
+    a.levels.weights += 1
+    b = X.Model.of(a.vector() + a.vector())
+    assert np.allclose(b.levels.weights, a.levels.weights) and b.levels.seen == 20 and np.allclose(b.spelling.refine, a.spelling.refine)
     assert X.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = X.score(spark.createDataFrame([(None, "a", 1), (None, "a", 2)], "doc_id long, text string, seg int")).collect()
     assert len(one) == 2 and one[0] == one[1] and one[0].doc_id is None

@@ -1,27 +1,26 @@
-"""Language-model scoring by logistic context mixing.
+"""Language-model scoring by online logistic context mixing.
 
-The text is the sequence of its lower-cased words and one end; a word is the bits of its bytes and a terminator.
-Four hashed-context bit predictors (one, two and three bytes before, and the whole word so
-far, each with the bits already seen of the byte) give stretched probabilities; two sets of weights, gated by how
-often the longest and the third context were seen, mix them; an adaptive table over (gate, mixed probability)
-refines the result. On top, a document adapts to itself: the next word has probability
-(A * P(word) + times seen) / (A + words seen), so bursts cost less. The total is in
-log10; bits per byte follow from it.
+A text is the sequence of its lower-cased words and one end. Every word is coded by bits: from the longest context down, one bit says
+whether the word was seen in it (two words before, one word before, the last letters of the word before, anywhere, earlier in this text); the first
+yes gives the word by its share of the context's count. A word never seen is spelled by the bits of its bytes and a terminator. Each bit is predicted by several hashed-context
+predictors; gated weights mix their stretched probabilities and a table over (gate, mixed probability) refines the result. Weights, predictors and
+refinement learn online over the whole training stream: each bit is predicted first and learned then. The total is in log10; bits per byte follow from it.
+
+A training text is scored, and trained on, by the counts of the other training texts, so its bits look like those of held-out text
+and scores of both are comparable; a text that stands twice in the corpus is told apart by its copy.
 
 Where the work is done:
 
-* Documents become segments (distinct words of a batch, and for each document its counts), stored in the shared folder.
-  Only distinct words of a segment are shuffled.
-* Word counts are one aggregation over all training documents.
-* Predictor counts are summed over all training words in Spark as slices of the hashed tables, whose size is fixed
-  (``SLOTS``), and broadcast: 60 MB whatever the input.
-* Weights and the refining table are trained online on ``SAMPLE`` training words (a documented bound), drawn by
-  count, each predicted from counts without itself.
-* Every distinct word is scored once, joined back to the segments, and documents are summed there.
+* Documents become segments (the distinct words, and every token's word), stored in the shared folder.
+* Context counts (see ``ORDERS``) are exact and grow with the corpus: every segment sends its distinct hashed contexts, cut by hash range into parts; a part sums them
+  and answers each segment. A common context counts once a segment. Words are told by 64 bits, longer contexts by 32 bits and the part.
+* Every task trains a mixer over its segments; predictor tables, weights and refinement are vectors of fixed size that are summed in Spark slice by slice
+  (weights by tokens) before the driver reads one such vector.
+* Segments are scored with that vector, one row a document.
 
 Defined results: null text is empty text, which has one token, the end; null doc_id counts as the empty string for the
 hold-out rule; no training text gives base score log10(1/1) a token and an untrained model; texts are read whole;
-repeated rows get equal results; an empty table gives no rows; other columns are ignored.
+repeated rows get equal results up to the order of their neighbours in a segment, which the last outcomes at a text's start don't cross; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,50 +35,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
-
-SEGMENT_TOKENS = 1_500_000
-#: Slots of the tables: one byte before (exact), then hashed: two, three bytes, word so far.
-SIZES = (1 << 16, 1 << 20, 1 << 21, 1 << 22)
-FIRST = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SIZES)[:-1]]))
-SLOTS = sum(SIZES)
+from tidemark.llm.common import dropped, stored
+
+SEGMENT_TOKENS = 1_000_000
+#: Distinct contexts of a part on average.
+PART_KEYS = 3_000_000
+#: Contexts that are counted: word; word before and word; two words before and word; last letters before and word; last letters before.
+ORDERS = ("w", "pw", "ppw", "sw", "s")
+SUFFIX = 3
+#: Levels from the longest context down; the last is the text itself (words that no other text has), then spelling.
+LEVELS = ("ppw", "pw", "sw", "w", "own")
+#: Slots of the spelling predictors: one byte before (exact), then hashed: two, three bytes, word so far. Letters need no more however large the corpus.
+SIZES = (1 << 16, 1 << 18, 1 << 20, 1 << 20)
+#: Slots of each of the level predictors.
+LEVEL_SLOTS, LEVEL_INPUTS = 1 << 14, 4
+LEVEL_GATES, SPELL_GATES = len(LEVELS) * 16, 64
+STEPS = 33
 SLICE = 1 << 16
-SAMPLE = 15_000
-#: Weight of the corpus model in a document's own statistics, in words.
-ADAPT = 1000.0
 DELTA = 0.4
-TERMINATOR = 32
-GATES = 16
-STEPS = 33
+START = np.uint64(0x2545F4914F6CDD1D)
+#: Bits that are predicted before they are learned.
+BATCH = 1 << 15
 
-SEGMENT = "seg bigint, doc_ids array<bigint>, held array<boolean>, tokens array<bigint>, sizes array<bigint>, terms array<binary>, train array<bigint>, ends array<bigint>, term array<int>, times array<int>"
-
-
-def _segment(number: int, docs: list[tuple], lookup: dict[bytes, int]) -> pa.RecordBatch:
-    """Counts of each document over the segment's distinct words."""
-    sizes = [len(d[3]) for d in docs]
-    code = np.concatenate([d[3] for d in docs])
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    pair, times = np.unique(doc * len(lookup) + code, return_counts=True)
-    held = np.array([d[1] for d in docs], bool)
-    train = np.bincount(code[~held[doc]], minlength=len(lookup))
-    ends = np.searchsorted(pair // len(lookup), np.arange(len(docs)), side="right")
-    one = lambda values, kind: pa.array([values], pa.list_(kind))
-    return pa.record_batch(
-        [
-            pa.array([number], pa.int64()),
-            one([d[0] for d in docs], pa.int64()),
-            one(held.tolist(), pa.bool_()),
-            one(sizes, pa.int64()),
-            one([d[2] for d in docs], pa.int64()),
-            one(list(lookup), pa.binary()),
-            one(train, pa.int64()),
-            one(ends, pa.int64()),
-            one((pair % len(lookup)).astype(np.int32), pa.int32()),
-            one(times.astype(np.int32), pa.int32()),
-        ],
-        names=[f.split()[0] for f in SEGMENT.split(", ")],
-    )
+SEGMENT = "seg bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, ends array<bigint>, words binary, code binary"
 
 
 def segments(documents: DataFrame) -> DataFrame:
@@ -87,244 +65,469 @@ def segments(documents: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        docs, lookup, n = [], {}, 0
+        fresh = lambda: ([], [], [], [], {b"": 0}, [], 0)
+
+        def made() -> pa.RecordBatch:
+            one = lambda values, kind: pa.array([values], pa.list_(kind))
+            cols = [pa.array([number], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int64()), one(ends, pa.int64()), pa.array([b" ".join(lookup)], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary())]
+            return pa.record_batch(cols, names=[f.split()[0] for f in SEGMENT.split(", ")])
+
+        ids, held, sizes, ends, lookup, codes, n = fresh()
         for batch in batches:
-            for doc_id, held, text in zip(*(batch.column(c) for c in range(3)), strict=True):
+            for doc_id, out, text in zip(*(batch.column(c) for c in range(3)), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 w = raw.lower().split()
                 w.append(b"")
                 if n and n + len(w) > SEGMENT_TOKENS:
-                    yield _segment(number, docs, lookup)
-                    number, docs, lookup, n = number + 1, [], {}, 0
-                code = np.fromiter((lookup.setdefault(x, len(lookup)) for x in w), np.int64, len(w))
-                docs.append((doc_id.as_py(), held.as_py(), len(raw), code))
+                    yield made()
+                    number += 1
+                    ids, held, sizes, ends, lookup, codes, n = fresh()
+                codes.append(np.fromiter((lookup.setdefault(x, len(lookup)) for x in w), np.int32, len(w)))
                 n += len(w)
-        if docs:
-            yield _segment(number, docs, lookup)
+                ids.append(doc_id.as_py())
+                held.append(out.as_py())
+                sizes.append(len(raw))
+                ends.append(n)
+        if ids:
+            yield made()
 
     held = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 7 == 2
     return documents.select("doc_id", held.alias("held"), "text").mapInArrow(build, SEGMENT)
 
 
-def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes with terminators, each byte's word, and its place in the word."""
-    size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    data = np.frombuffer(b"".join(w + b" " for w in words), np.uint8).astype(np.int64)
-    word = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
-    return data, word, place
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed_hash(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def contexts(data: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Per byte and predictor: a hash of what comes before it in the word."""
-    before = [np.where(place >= k, np.concatenate([np.zeros(k, np.int64), data[:-k] if k < len(data) else data[:0]])[: len(data)], 0) for k in (1, 2, 3)]
-    two, three = before[0] | before[1] << 8, before[0] | before[1] << 8 | before[2] << 16
-    power = np.multiply.accumulate(np.full(int(place.max(initial=0)) + 1, 0xD6E8FEB86659FD93, np.uint64))
-    total = np.cumsum((data + 1).astype(np.uint64) * power[place], dtype=np.uint64)
-    prior = np.concatenate([np.zeros(1, np.uint64), total])[:-1]
-    begin = np.maximum.accumulate(np.where(place == 0, np.arange(len(data)), 0))
-    so_far = prior - prior[begin]
-    return [before[0].astype(np.uint64), _mixed(two.astype(np.uint64) + np.uint64(1)), _mixed(three.astype(np.uint64) + np.uint64(7)), _mixed(so_far + np.uint64(13))]
+def after(x: np.ndarray, start: np.ndarray, first) -> np.ndarray:
+    """What stands one token before; ``first`` at the starts of texts."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[start] = first
+    return out
 
 
-def slots(ctx: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    """Table slot of each predictor for a byte's bit; node: the bits seen of the byte, after a leading 1."""
-    out = [(ctx[0] * np.uint64(256) + node).astype(np.int64)]
-    for k in (1, 2, 3):
-        out.append((_mixed(ctx[k] + node * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(SIZES[k] - 1)).astype(np.int64) + FIRST[k])
-    return out
+class Segment:
+    """A segment's tokens and their hashed contexts."""
 
+    def __init__(self, row: dict):
+        import xxhash
 
-def each_bit(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(word, bit, slots) for the eight bits of all bytes."""
-    data, word, place = _flat(words)
-    ctx = contexts(data, place)
-    for k in range(8):
-        node = ((data | 256) >> (8 - k)).astype(np.uint64)
-        yield word, (data >> (7 - k)) & 1, slots(ctx, node)
+        self.words = row["words"].split(b" ")
+        self.code = np.frombuffer(row["code"], np.int32).astype(np.int64)
+        self.ends = np.asarray(row["ends"], np.int64)
+        self.start = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.ends)), self.ends - self.start)
+        self.held = np.asarray(row["held"], bool)
+        digest = xxhash.xxh64_intdigest
+        self.hash = np.fromiter(map(digest, self.words), np.uint64, len(self.words))
+        tail = np.fromiter((digest(w[-SUFFIX:], 1) for w in self.words), np.uint64, len(self.words))
+        self.suffix = after(tail[self.code], self.start, START)
+
+    def keys(self, order: str) -> np.ndarray:
+        h = self.hash[self.code]
+        if order == "w":
+            return h
+        if order == "s":
+            return mixed_hash(self.suffix)
+        if order == "sw":
+            return mixed_hash(self.suffix * np.uint64(0xD6E8FEB86659FD93) + h)
+        before = after(h, self.start, START)
+        if order == "pw":
+            return mixed_hash(before * np.uint64(0xBF58476D1CE4E5B9) + h)
+        return mixed_hash(mixed_hash(after(before, self.start, START) * np.uint64(0x94D049BB133111EB) + before) + h)
+
+    def distinct(self, order: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys, each token's key, and the counts in training texts."""
+        key, at = np.unique(self.keys(order), return_inverse=True)
+        return key, at, np.bincount(at[~self.held[self.doc]], minlength=len(key))
 
+    def own(self, at: np.ndarray, size: int) -> np.ndarray:
+        """How often each token's key stands in its own training text; 0 in held-out texts."""
+        _, which, times = np.unique(self.doc * size + at, return_inverse=True, return_counts=True)
+        return np.where(self.held[self.doc], 0, times[which])
 
-def count_slices(words: DataFrame) -> DataFrame:
-    """Sums of the predictors' counts, sliced: (part, data). Each task streams its words into tables of fixed size."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, some = np.zeros(2 * SLOTS), False
+ASKED = "ord int, part bigint, seg bigint, keys binary, n binary"
+ANSWER = "ord int, part bigint, seg bigint, n binary, known bigint"
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype("<u4").tobytes(), 1)
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64)
+
+
+def ask(held: DataFrame, bits: int) -> DataFrame:
+    """Each segment's distinct contexts and training counts, cut by the upper ``bits`` of the hash (see ``ASKED``)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.column(1).to_numpy().astype(np.float64)
-            some = some or len(c) > 0
-            for word, bit, at in each_bit(batch.column(0).to_pylist()) if len(c) else ():
-                for s in at:
-                    np.add.at(table, s + bit * SLOTS, c[word])
-        if some:
-            for part in range(2 * SLOTS // SLICE):
-                piece = table[part * SLICE : (part + 1) * SLICE]
-                if piece.any():
-                    yield pa.record_batch([pa.array([part], pa.int64()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["part", "data"])
+            for i in range(batch.num_rows):
+                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+                seg = Segment(row)
+                for order, name in enumerate(ORDERS):
+                    key, _, n = seg.distinct(name)
+                    part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+                    sub = key if name == "w" else (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    names, begin = np.unique(part, return_index=True)
+                    spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True))
+                    cols = [pa.array([order] * len(names), pa.int32()), pa.array(names), pa.array([row["seg"]] * len(names), pa.int64()), pa.array([sub[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([_pack(n[a:b]) for a, b in spans], pa.binary())]
+                    yield pa.record_batch(cols, names=["ord", "part", "seg", "keys", "n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    return held.mapInArrow(cut, ASKED)
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """Corpus counts of the contexts asked for, in the order asked (see ``ANSWER``); known: distinct contexts of the part with a count, on one of its rows."""
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        kind = np.uint64 if ORDERS[part["ord"].iloc[0]] == "w" else np.uint32
+        blobs = [np.frombuffer(k, kind) for k in part["keys"]]
+        _, at = np.unique(np.concatenate(blobs), return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unpack(n) for n in part["n"]])).astype(np.int64)
+        out, upto = [], 0
+        for b in blobs:
+            out.append(_pack(total[at[upto : upto + len(b)]]))
+            upto += len(b)
+        known = np.zeros(len(part), np.int64)
+        known[0] = np.count_nonzero(total)
+        return pd.DataFrame({"ord": part["ord"], "part": part["part"], "seg": part["seg"], "n": out, "known": known})
+
+    return asked.groupBy("ord", "part").applyInPandas(add, ANSWER)
+
+
+COUNTED = SEGMENT + ", " + ", ".join(f"c_{o} binary" for o in ORDERS)
+
+
+def counted(held: DataFrame, told: DataFrame) -> DataFrame:
+    """Segments with the corpus counts of their distinct contexts, sorted by key (see ``COUNTED``)."""
+    per = told.groupBy("seg").agg(F.collect_list(F.struct("ord", "part", "n")).alias("a")).withColumnRenamed("seg", "of")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in COUNTED.split(", ")]
         for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                piece = np.frombuffer(zlib.decompress(data.as_py()))
-                total[part] = total[part] + piece if part in total else piece
-        for part, piece in total.items():
-            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([zlib.compress(piece.astype(np.float32).tobytes(), 1)], pa.binary())], names=["part", "data"])
+            for i in range(batch.num_rows):
+                a = batch.column(batch.schema.get_field_index("a"))[i].as_py()
+                cols = [batch.column(k).slice(i, 1) for k in range(len(SEGMENT.split(", ")))]
+                for order in range(len(ORDERS)):
+                    mine = sorted((x["part"], x["n"]) for x in a if x["ord"] == order)
+                    cols.append(pa.array([_pack(np.concatenate([_unpack(n) for _, n in mine]))], pa.binary()))
+                yield pa.record_batch(cols, names=names)
+
+    return held.join(per, held["seg"] == per["of"]).drop("of").mapInArrow(put, COUNTED)
+
+
+def _log2(x: np.ndarray, most: int = 15) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(x, 0) + 1), most).astype(np.int64)
+
+
+class Levels:
+    """Every token's levels: context counts, seen counts, outcome and predictor slots, as (token, level) arrays in stream order."""
+
+    def __init__(self, seg: Segment, row: dict, tokens: int, texts: int):
+        n = len(seg.code)
+        train = ~seg.held[seg.doc]
+        seen, context = {}, {}
+        for o in ORDERS:
+            key, at, _ = seg.distinct(o)
+            every = _unpack(row[f"c_{o}"])[at]
+            if o == "w":
+                self.plain = every
+            seen[o] = every - seg.own(at, len(key))
+        first = np.zeros(n, bool)
+        first[seg.start] = True
+        context["w"] = tokens - np.where(train, (seg.ends - seg.start)[seg.doc], 0)
+        context["pw"] = np.where(first, texts - train, after(seen["w"], seg.start, 0))
+        context["ppw"] = after(seen["pw"], seg.start, 0)
+        context["sw"] = seen["s"]
+        # words that no other text has: told by the text's own earlier ones
+        new = seen["w"] <= 0
+        pair = np.where(new, seg.doc * len(seg.words) + seg.code, -1)
+        order = np.argsort(pair, kind="stable")
+        run = pair[order]
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], run[1:] != run[:-1]]), np.arange(n), 0))
+        seen["own"] = np.zeros(n, np.int64)
+        seen["own"][order] = np.arange(n) - begin
+        upto = np.cumsum(new) - new
+        context["own"] = upto - upto[seg.start][seg.doc]
+        c = np.stack([context[o] for o in LEVELS], 1)
+        s = np.minimum(np.stack([seen[o] for o in LEVELS], 1), c)
+        s[:, LEVELS.index("own")][~new] = 0
+        yes = (s > 0) & (c > 0)
+        #: The level that gives the word, len(LEVELS) for spelling.
+        self.level = np.where(yes.any(1), yes.argmax(1), len(LEVELS))
+        at = np.arange(len(LEVELS))
+        # a bit for every level with a context, down to the one that gives the word
+        token, level = np.nonzero((c > 0) & (at <= self.level[:, None]))
+        self.token, self.of, self.bit = token, level, (level == self.level[token]).astype(np.int64)
+        inside = np.minimum(self.level, len(LEVELS) - 1)
+        pick = (np.arange(n), inside)
+        self.share = np.where(self.level < len(LEVELS), np.log10(np.maximum(s[pick], 1) / np.maximum(c[pick], 1)), 0.0)
+        size = _log2(c)
+        last = after(self.level, seg.start, 0)
+        history = (last * 6 + after(last, seg.start, 0)) * 6 + after(after(last, seg.start, 0), seg.start, 0)
+        before = after(seg.hash[seg.code], seg.start, START)
+        self.gate = level * 16 + size[token, level]
+        lower = size[token, np.minimum(level + 1, len(LEVELS) - 1)]
+        base = [
+            (self.gate * 16 + lower).astype(np.uint64),
+            (history[token] * 16 + size[token, level]).astype(np.uint64) * np.uint64(8) + level.astype(np.uint64),
+            before[token] * np.uint64(8) + level.astype(np.uint64),
+            seg.suffix[token] * np.uint64(128) + self.gate.astype(np.uint64),
+        ]
+        self.slots = [(mixed_hash(b + np.uint64(17 * k)) & np.uint64(LEVEL_SLOTS - 1)).astype(np.int64) + k * LEVEL_SLOTS for k, b in enumerate(base)]
+        #: First occurrences, in each text, of words to spell.
+        self.spelled = np.flatnonzero(self.level == len(LEVELS))
+
+
+def flat(words: list[bytes], tails: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of tail, a blank, word and terminator; each byte's word; and its place in the word (negative in the tail)."""
+    joined = [t.rjust(SUFFIX) + b" " + w + b" " for t, w in zip(tails, words, strict=True)]
+    size = np.fromiter(map(len, joined), np.int64, len(joined))
+    data = np.frombuffer(b"".join(joined), np.uint8).astype(np.int64)
+    word = np.repeat(np.arange(len(words)), size)
+    return data, word, np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size) - SUFFIX - 1
 
-    schema = "part bigint, data binary"
-    return words.select("term", "c").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
 
+def contexts(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Positions of the bytes to code, and per predictor a hash of what comes before: bytes reach into the word before, the word so far doesn't."""
+    at = np.flatnonzero(place >= 0)
+    one, two, three = (data[at - k] for k in (1, 2, 3))
+    pairs, triples = one | two << 8, one | two << 8 | three << 16
+    power = np.multiply.accumulate(np.full(int(place.max(initial=0)) + 1, 0xD6E8FEB86659FD93, np.uint64))
+    total = np.cumsum(np.where(place >= 0, (data + 1).astype(np.uint64) * power[np.maximum(place, 0)], np.uint64(0)), dtype=np.uint64)
+    prior = np.concatenate([np.zeros(1, np.uint64), total])[:-1]
+    begin = at - place[at]
+    so_far = prior[at] - prior[begin]
+    return at, [one.astype(np.uint64), mixed_hash(pairs.astype(np.uint64) + np.uint64(1)), mixed_hash(triples.astype(np.uint64) + np.uint64(7)), mixed_hash(so_far + np.uint64(13))]
 
-def _gate(total: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(total, 0) + 1), GATES - 1).astype(np.int8)
 
+FIRST = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SIZES)[:-1]]))
 
-class Model:
-    """Tables of stretched probabilities and gates, weights and the refining table."""
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
-        self.stretch = np.log((ones + DELTA) / (zeros + DELTA)).astype(np.float32)
-        self.gate = _gate(zeros + ones)
-        self.weights = [np.full((GATES, 4), 0.3), np.full((GATES, 4), 0.3)]
-        self.refine = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0)), (GATES, 1))
+def spell_slots(ctx: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+    """Table slot of each predictor for a byte's bit; node: the bits seen of the byte, after a leading 1."""
+    out = [(ctx[0] * np.uint64(256) + node).astype(np.int64)]
+    for k in (1, 2, 3):
+        out.append((mixed_hash(ctx[k] + node * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(SIZES[k] - 1)).astype(np.int64) + FIRST[k])
+    return out
 
-    def mix(self, stretch: np.ndarray, g4: np.ndarray, g3: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(stretch))
-        for w, g in zip(self.weights, (g4, g3), strict=True):
-            out += 0.5 * np.einsum("ij,ij->i", stretch, w[g])
-        return np.clip(out, -12, 12)
+
+def spell_bits(words: list[bytes], tails: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(word, bit, slots) for the eight bits of all bytes."""
+    data, word, place = flat(words, tails)
+    at, ctx = contexts(data, place)
+    byte, word = data[at], word[at]
+    for k in range(8):
+        node = ((byte | 256) >> (8 - k)).astype(np.uint64)
+        yield word, (byte >> (7 - k)) & 1, spell_slots(ctx, node)
+
+
+class Mixer:
+    """Predictor tables, gated weights and refinement of one kind of bits, over slices of the model's vectors."""
+
+    def __init__(self, slots: int, inputs: int, gates: int):
+        self.slots, self.inputs, self.gates = slots, inputs, gates
+        self.counts = np.zeros((2, slots), np.float32)
+        self.weights = np.full((gates, inputs), 1.2 / inputs)
+        self.refine = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0)), (gates, 1))
+        self.seen = 0.0
+
+    def inputs_of(self, slots: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        zeros, ones = [self.counts[0][s] for s in slots], [self.counts[1][s] for s in slots]
+        stretch = [np.log((b + DELTA) / (a + DELTA)) for a, b in zip(zeros, ones, strict=True)]
+        return np.stack(stretch, 1), [a + b for a, b in zip(zeros, ones, strict=True)]
+
+    def mix(self, stretch: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip(np.einsum("ij,ij->i", stretch, self.weights[gate]), -12, 12)
 
     def place(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.clip(mixed * 2 + STEPS // 2, 0, STEPS - 1.001)
         low = x.astype(np.int64)
         return low, x - low
 
-    def probability(self, mixed: np.ndarray, g4: np.ndarray) -> np.ndarray:
+    def probability(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a one: the mean of the mixed and the refined probability."""
         low, part = self.place(mixed)
-        refined = self.refine[g4, low] * (1 - part) + self.refine[g4, low + 1] * part
-        return np.clip(0.5 * (1 / (1 + np.exp(-mixed)) + refined), 1e-7, 1 - 1e-7)
-
-    def learn(self, words: list[bytes], zeros: np.ndarray, ones: np.ndarray, rate: float = 0.005, batch: int = 64) -> None:
-        """Online training on words that are in the counts: each is predicted from counts without itself."""
-        rows = []
-        for word, bit, at in each_bit(words):
-            n0 = np.stack([zeros[s] for s in at], 1) - (1 - bit)[:, None]
-            n1 = np.stack([ones[s] for s in at], 1) - bit[:, None]
-            n0, n1 = np.maximum(n0, 0), np.maximum(n1, 0)
-            rows.append((word, bit, np.log((n1 + DELTA) / (n0 + DELTA)).astype(np.float32), _gate((n0 + n1)[:, 3]), _gate((n0 + n1)[:, 2])))
-        order = np.argsort(np.concatenate([r[0] for r in rows]), kind="stable")
-        bit, stretch, g4, g3 = (np.concatenate([r[k] for r in rows])[order] for k in (1, 2, 3, 4))
-        for start in range(0, len(bit), batch):
-            part = slice(start, start + batch)
-            step = rate * (1 - 0.9 * start / len(bit))
-            y, x, a, b = bit[part], stretch[part], g4[part], g3[part]
-            mixed = self.mix(x, a, b)
-            error = (y - 1 / (1 + np.exp(-mixed)))[:, None] * x * step
-            np.add.at(self.weights[0], a, np.clip(error, -0.05, 0.05))
-            np.add.at(self.weights[1], b, np.clip(error, -0.05, 0.05))
-            low, frac = self.place(mixed)
-            for at, share in ((low, 1 - frac), (low + 1, frac)):
-                np.add.at(self.refine, (a, at), 0.02 * share * (y - self.refine[a, at]))
-            np.clip(self.refine, 1e-4, 1 - 1e-4, out=self.refine)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word."""
-        out = np.zeros(len(words))
-        for word, bit, at in each_bit(words):
-            x = np.stack([self.stretch[s] for s in at], 1)
-            g4, g3 = self.gate[at[3]], self.gate[at[2]]
-            p = self.probability(self.mix(x, g4, g3), g4)
-            out += np.bincount(word, np.log10(np.where(bit == 1, p, 1 - p)), len(words))
+        refined = self.refine[gate, low] * (1 - part) + self.refine[gate, low + 1] * part
+        return np.clip(0.5 * (1 / (1 + np.exp(-mixed)) + refined), 1e-5, 1 - 1e-5)
+
+    def learn(self, slots: list[np.ndarray], gate, bit: np.ndarray) -> None:
+        """One step: predict, then move weights and refinement against the error, then count."""
+        stretch, seen = self.inputs_of(slots)
+        gate = gate(seen) if callable(gate) else gate
+        mixed = self.mix(stretch, gate)
+        n = np.bincount(gate, minlength=self.gates)
+        error = (bit - 1 / (1 + np.exp(-mixed)))[:, None] * stretch
+        rate = 0.5 / (1 + self.seen / 4_000_000)
+        for k in range(self.inputs):
+            self.weights[:, k] += rate * np.bincount(gate, error[:, k], self.gates) / (n + 50)
+        low, part = self.place(mixed)
+        cell, size = gate * STEPS + low, self.gates * STEPS
+        for at, share in ((cell, 1 - part), (cell + 1, part)):
+            total = np.bincount(at, share, size)
+            wrong = np.bincount(at, share * (bit - self.refine.ravel()[at]), size)
+            self.refine += (wrong / (total + 100)).reshape(self.refine.shape)
+        np.clip(self.refine, 1e-5, 1 - 1e-5, out=self.refine)
+        for s in slots:
+            np.add.at(self.counts.reshape(-1), s + bit * self.slots, np.float32(1))
+        self.seen += len(bit)
+
+    def log10(self, slots: list[np.ndarray], gate, bit: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each bit; ``own`` marks bits that the counts have learned from this very text: they are taken out."""
+        zeros, ones = [self.counts[0][s] for s in slots], [self.counts[1][s] for s in slots]
+        if own is not None:
+            zeros, ones = [np.maximum(z - (own & (bit == 0)), 0) for z in zeros], [np.maximum(o - (own & (bit == 1)), 0) for o in ones]
+        stretch = np.stack([np.log((b + DELTA) / (a + DELTA)) for a, b in zip(zeros, ones, strict=True)], 1)
+        seen = [a + b for a, b in zip(zeros, ones, strict=True)]
+        gate = gate(seen) if callable(gate) else gate
+        p = self.probability(self.mix(stretch, gate), gate)
+        return np.log10(np.where(bit == 1, p, 1 - p))
+
+
+def spell_gate(seen: list[np.ndarray]) -> np.ndarray:
+    """How often the word so far and the three bytes before were seen."""
+    return _log2(seen[3]) * 4 + _log2(seen[2], 15) // 4
+
+
+class Model:
+    """Mixers of level bits and of spelling bits."""
+
+    def __init__(self):
+        self.levels = Mixer(LEVEL_SLOTS * LEVEL_INPUTS, LEVEL_INPUTS, LEVEL_GATES)
+        self.spelling = Mixer(sum(SIZES), len(SIZES), SPELL_GATES)
+
+    def vector(self) -> np.ndarray:
+        """Everything learned as sums: counts, and weights and refinement times the bits they saw."""
+        out = []
+        for m in (self.levels, self.spelling):
+            out += [m.counts.ravel(), m.weights.ravel() * m.seen, m.refine.ravel() * m.seen, [m.seen]]
+        return np.concatenate(out).astype(np.float64)
+
+    @classmethod
+    def of(cls, vector: np.ndarray) -> Model:
+        out, at = cls(), 0
+        for m in (out.levels, out.spelling):
+            size = [m.counts.size, m.weights.size, m.refine.size, 1]
+            parts = np.split(vector[at : at + sum(size)], np.cumsum(size)[:-1])
+            at += sum(size)
+            m.counts, m.seen = parts[0].reshape(m.counts.shape).astype(np.float32), float(parts[3][0])
+            if m.seen:
+                m.weights, m.refine = parts[1].reshape(m.weights.shape) / m.seen, parts[2].reshape(m.refine.shape) / m.seen
         return out
 
+    def _spelled(self, seg: Segment, levels: Levels, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        before = after(seg.code, seg.start, 0)
+        return [seg.words[k] for k in seg.code[at].tolist()], [seg.words[k][-SUFFIX:] for k in before[at].tolist()]
+
+    def learn(self, seg: Segment, levels: Levels) -> None:
+        """Train on the segment's training texts, in their order."""
+        mine = ~seg.held[seg.doc[levels.token]]
+        at = np.flatnonzero(mine)
+        for k in range(0, len(at), BATCH):
+            a = at[k : k + BATCH]
+            self.levels.learn([s[a] for s in levels.slots], levels.gate[a], levels.bit[a])
+        new = levels.spelled[~seg.held[seg.doc[levels.spelled]]]
+        for k in range(0, len(new), BATCH // 64):
+            for _, bit, slots in spell_bits(*self._spelled(seg, levels, new[k : k + BATCH // 64])):
+                self.spelling.learn(slots, spell_gate, bit)
+
+    def log10(self, seg: Segment, levels: Levels) -> np.ndarray:
+        """log10 probability of every token."""
+        out = levels.share.copy()
+        for k in range(0, len(levels.token), BATCH):
+            a = slice(k, k + BATCH)
+            p = self.levels.log10([s[a] for s in levels.slots], levels.gate[a], levels.bit[a])
+            np.add.at(out, levels.token[a], p)
+        for k in range(0, len(levels.spelled), 1024):
+            at = levels.spelled[k : k + 1024]
+            own = ~seg.held[seg.doc[at]]
+            for word, bit, slots in spell_bits(*self._spelled(seg, levels, at)):
+                out[at] += np.bincount(word, self.spelling.log10(slots, spell_gate, bit, own[word]), len(at))
+        return out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+
+
+def train(every: DataFrame, tokens: int, texts: int) -> Model:
+    """Each task trains over its segments; the tasks' vectors are summed slice by slice in Spark."""
+    schema = "part bigint, data binary"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, some = Model(), False
+        for row in _rows(batches):
+            seg = Segment(row)
+            model.learn(seg, Levels(seg, row, tokens, texts))
+            some = True
+        vector = model.vector() if some else np.zeros(0)
+        for part in range(-(-len(vector) // SLICE)):
+            piece = vector[part * SLICE : (part + 1) * SLICE]
+            if piece.any():
+                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([zlib.compress(piece.astype(np.float32).tobytes(), 1)], pa.binary())], names=["part", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                piece = np.frombuffer(zlib.decompress(data.as_py()), np.float32).astype(np.float64)
+                total[part] = total[part] + piece if part in total else piece
+        for part, piece in total.items():
+            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["part", "data"])
+
+    vector = Model().vector() * 0
+    for row in every.mapInArrow(work, schema).repartition("part").mapInArrow(add, schema).collect():  # one vector of fixed size
+        piece = np.frombuffer(zlib.decompress(row["data"]))
+        vector[row["part"] * SLICE : row["part"] * SLICE + len(piece)] = piece
+    return Model.of(vector)
 
-def drawn(sample: list[tuple[bytes, int]], total: int) -> list[bytes]:
-    """The sampled words, each as often as it would come up among ``SAMPLE`` tokens (once at least), in a fixed random order."""
-    words = [w for w, c in sample for _ in range(max(1, round(c * SAMPLE / total)))]
-    return [words[i] for i in np.random.default_rng(7).permutation(len(words))]
-
-
-def train(vocabulary: DataFrame, total: int) -> Model:
-    """Counts over all training words; weights on the sample."""
-    known = vocabulary.where("c > 0")
-    table = np.zeros(2 * SLOTS, np.float32)
-    for row in count_slices(known).collect():  # tables of fixed size
-        table[row["part"] * SLICE : (row["part"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["data"]), np.float32)
-    zeros, ones = table[:SLOTS], table[SLOTS:]
-    model = Model(zeros, ones)
-    # exponential keys: a sample without replacement, by count
-    unit = (F.xxhash64("term").bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
-    sample = known.orderBy(-F.log(unit) / F.col("c"), "term").limit(SAMPLE).collect()
-    if sample:
-        model.learn(drawn([(bytes(r["term"]), r["c"]) for r in sample], total), zeros, ones)
-    return model
-
-
-def _rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """ln of a (a+1) ... (a+n-1)."""
-    out, k = np.log(a), 1
-    left = np.flatnonzero(n > 1)
-    while len(left) and k < 16:
-        out[left] += np.log(a[left] + k)
-        k += 1
-        left = left[n[left] > k]
-    if len(left):  # the rest by Stirling's series, from arguments over 16
-        g = lambda x: (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3)
-        out[left] += g(a[left] + n[left]) - g(a[left] + k)
-    return out
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
 def score(documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row."""
     sc = documents.sparkSession.sparkContext
     held = stored(segments(documents), "segments")
-    counts = held.select(F.explode(F.arrays_zip("terms", "train")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.train").alias("c"))
-    vocabulary = stored(counts, "vocabulary")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    model = sc.broadcast(train(vocabulary, total))
+    ends = F.arrays_zip(F.col("held").alias("held"), F.col("ends").alias("e"), F.concat(F.array(F.lit(0).cast("long")), F.col("ends")).alias("b"))
+    train_texts = F.filter(ends, lambda x: x["held"] == F.lit(False))
+    all_tokens, tokens, texts = held.select(F.element_at("ends", -1).alias("n"), F.aggregate(train_texts, F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["b"]).alias("t"), F.size(train_texts).alias("d")).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "d")]).first()
+    told = stored(answers(ask(held, max(0, int(np.ceil(np.log2(max(1, all_tokens / PART_KEYS))))))), "answers")
+    distinct = told.where(F.col("ord") == ORDERS.index("w")).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    every = stored(counted(held, told), "counted")
+    dropped(held)
+    dropped(told)
+    model = sc.broadcast(train(every, tokens, texts))
+    norm = float(np.log10(tokens + distinct + 1))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(model.value.log10(batch.column(0).to_pylist()))], names=["term", "c", "logp"])
-
-    rated = vocabulary.mapInArrow(rate, "term binary, c bigint, logp double")
-    asked = held.select("seg", F.posexplode("terms").alias("at", "term"))
-    answers = asked.join(rated, "term").select(F.col("seg").alias("part"), "at", "c", "logp")
-    norm = float(np.log10(total + distinct + 1))
-
-    def add_up(seg: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        if not len(seg):
-            return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
-        row = seg.iloc[0]
-        words = words.sort_values("at")
-        c, logp = words["c"].to_numpy(), words["logp"].to_numpy()
-        term, times, tokens = np.asarray(row["term"]), np.asarray(row["times"]), np.asarray(row["tokens"])
-        begin = np.concatenate([[0], np.asarray(row["ends"])[:-1]]).astype(np.int64)
-        by_doc = lambda x: np.add.reduceat(x, begin)
-        base = by_doc(times * (np.log10(c[term] + 1.0) - norm))
-        own = _rising(ADAPT * 10.0 ** np.maximum(logp[term], -300), times)
-        result = (by_doc(own) - _rising(np.full(len(tokens), ADAPT), tokens)) / np.log(10)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array([None if x is None or x != x else int(x) for x in row["doc_ids"]], dtype="Int64"),
-                "held_out": np.asarray(row["held"], bool),
-                "n_tokens": tokens,
-                "n_known": by_doc(np.where(c[term] > 0, times, 0)),
-                "train_tokens": total,
-                "base_score": base,
-                "score": result,
-                "bits_per_byte": -result / np.log10(2) / np.maximum(np.asarray(row["sizes"]), 1),
-            }
-        )
-
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    slim = held.drop("terms", "train")
-    return slim.groupBy("seg").cogroup(answers.groupBy("part")).applyInPandas(add_up, schema)
+        for row in _rows(batches):
+            seg = Segment(row)
+            levels = Levels(seg, row, tokens, texts)
+            by_doc = lambda x: np.add.reduceat(x, seg.start)  # noqa: B023, E731
+            result = by_doc(model.value.log10(seg, levels))
+            yield pa.record_batch(
+                [
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(seg.held),
+                    pa.array(seg.ends - seg.start),
+                    pa.array(by_doc((levels.plain > 0).astype(np.int64))),
+                    pa.array(np.full(len(seg.ends), tokens, np.int64)),
+                    pa.array(by_doc(np.log10(levels.plain + 1.0) - norm)),
+                    pa.array(result),
+                    pa.array(-result / np.log10(2) / np.maximum(np.asarray(row["sizes"]), 1)),
+                ],
+                names=[f.split()[0] for f in SCORED.split(", ")],
+            )
+
+    return every.mapInArrow(rate, SCORED)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
