@@ -75,3 +75,35 @@ def test_em_recovers_reliable_labelers():
     rel, prior = pii.fit_labelers(pats)
     assert 0.6 < prior["email"] < 0.75
     assert pii.posterior("email", (1, 1, 0, 1), prior, rel) > 0.95 > 0.05 > pii.posterior("email", (-1, -1, 0, -1), prior, rel)
+
+
+def test_votes_turn_down_and_add(spark):
+    import random
+
+    rnd = random.Random(8)
+    pick = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+
+    def number(valid):
+        while True:
+            d = rnd.choice("456") + pick("0123456789", 15)
+            if luhn(d) == valid:
+                return d
+
+    wanted, refused, rows = {}, {}, []
+    for i in range(400):
+        good = rnd.choice([f"token = \"{pick('0123456789abcdef', 40)}\"", f"API_KEY: {pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 24)}", f"{pick('abcdef', 6)} [at] {pick('abcdef', 7)} [dot] org", f"{rnd.randint(2, 9)}12-{rnd.randint(2, 9)}55-{pick('0123456789', 4)}"])
+        bad = rnd.choice([number(False), f"{rnd.randint(256, 999)}.1.2.{rnd.randint(0, 255)}", "page=" + pick("0123456789", 9), "version: aaaaaaaaaaaa"])
+        text = f"some words {number(True)} then {bad} more x{i}@mail.example.com and 10.2.3.{i % 250} call +1 (212) 555-0{i % 900:03d} so {good} end"
+        rows.append((i, text))
+        wanted[i], refused[i] = (text.index(good), text.index(good) + len(good)), (text.index(bad), text.index(bad) + len(bad))
+    got = {r.doc_id: {(x["start"], x["end"]) for x in r.added} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = sum(wanted[i] in got[i] for i in wanted) / len(rows)
+    wrong = sum(bool(got[i] - {wanted[i]}) for i in got) / len(rows)
+    assert recall >= 0.95 and wrong <= 0.05, (recall, wrong)
+    assert sum(refused[i] in got[i] for i in refused) <= 0.02 * len(rows)
+
+
+def test_long_secret_is_whole(spark):
+    text = "token = \"" + "a1b2c3d4" * 200 + "\" and pw"
+    r = pii.find_pii(spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")).first()
+    assert [(x["kind"], x["start"], x["end"]) for x in r.added] == [("secret", 0, text.rindex("\"") + 1)]

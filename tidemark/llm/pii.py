@@ -5,15 +5,15 @@ patterns (national phone numbers, obfuscated addresses, key=value secrets and ba
 matches that failed their check). Four labelers vote +1, 0 or -1 on every candidate:
 
 * pattern: the kind's strict pattern and check,
-* gazetteer: known mail domains, card issuer ranges, public address ranges, key names,
+* gazetteer: mail providers and top-level domains, card issuer ranges, country and area codes, reserved address blocks, names of secrets and of plain values,
 * context: trigger words shortly before the span, or what makes them unlikely,
 * shape: variety of characters.
 
 Expectation-maximisation over the counts of distinct vote patterns (at most 3^4 for each
 kind, whatever the corpus size) estimates each labeler's reliability and each kind's prior.
-The posteriors are soft labels for a naive-Bayes span classifier on votes-free features
-(kind, length, neighbours, digits), whose counts are one aggregation over all candidates. A candidate the
-classifier puts at one half or more is added, unless it overlaps a base span.
+The posteriors are soft labels for a naive-Bayes span classifier on features of the span
+(kind, length, neighbours, digits, whether its check holds, what the gazetteer and its characters say), whose counts are one aggregation over all candidates. A candidate the
+classifier puts at one half or more is added, unless it overlaps a base span; so numbers that fail their check and values with plain names are turned down.
 
 Defined results: null text is empty text (no spans, the digest of the empty string); very
 long texts are read whole, in linear time (possessive patterns anchored at
@@ -36,22 +36,44 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Looser candidates that only the votes can turn into spans.
+#: Looser candidates that only the votes can turn into spans, of any length.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,63}){1,4}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,}+)++",
     "phone": r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
-    "secret": r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?[A-Za-z0-9_./+-]{8,256}[\"']?",
+    "secret": r"(?i)(?<![a-z0-9_])(?:[a-z0-9]++[_-])*+(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|id|key|page|session|hash|version)\s*+[=:]\s*+[\"']?[A-Za-z0-9_./+-]{8,}+[\"']?",
 }
 #: Kinds in the order that breaks ties of start.
 KINDS = ("email", "ip", "card", "phone", "secret")
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
+# What the gazetteer knows.
+#: Mail domains of large providers, and the top-level domains of most of the web (two letters stand for a country).
+PROVIDERS = ("gmail", "googlemail", "yahoo", "ymail", "outlook", "hotmail", "live", "msn", "icloud", "aol", "gmx", "web", "t-online", "orange", "free", "laposte", "proton", "protonmail", "mail", "zoho", "yandex", "qq", "163", "126", "naver", "fastmail", "tutanota", "comcast", "verizon", "btinternet")
+TOP_LEVEL = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "app", "dev", "cloud", "online", "site", "tech", "xyz")
+#: Issuer prefixes of payment cards and their lengths.
+ISSUERS = (
+    r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})",
+    r"(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}",
+    r"3[47][0-9]{13}",
+    r"(?:6011|64[4-9][0-9]|65[0-9]{2})[0-9]{12,15}",
+    r"35(?:2[89]|[3-8][0-9])[0-9]{12,15}",
+    r"3(?:0[0-5]|[689][0-9])[0-9]{11,16}",
+    r"62[0-9]{14,17}",
+    r"(?:50|5[6-8]|6[0379])[0-9]{10,17}",
+)
+#: Country calling codes.
+CALLING = r"1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|35|37|38|42|50|59|6[7-9]|80|85|87|88|96|97|99)[0-9]"
+#: Address blocks that belong to no one in particular.
+RESERVED = r"^(?:0|10|127|22[4-9]|2[3-5][0-9]|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7]))\."
+#: Names of values that are secrets, names of values that aren't, and how known kinds of tokens begin.
+SECRET_NAMES = r"(?i)^(?:[a-z0-9]++[_-])*?(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]"
+PLAIN_NAMES = r"(?i)^(?:page|id|version|hash)\s*[=:]"
+TOKEN_STARTS = r"[=:]\s*[\"']?(?:gh[opsu]_|github_pat_|AKIA|ASIA|sk_live_|sk-|xox[abpr]-|glpat-|AIza|eyJ)"
 TRIGGERS = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|@)",
     "ip": r"(?i)(?:\bip\b|host|addr|server|client)",
     "card": r"(?i)(?:card|visa|master|payment|credit)",
     "phone": r"(?i)(?:tel|phone|call|mobile|fax|contact)",
-    "secret": r"(?i)(?:password|passwd|secret|token|key)",
+    "secret": r"(?i)(?:login|auth|credential|export|config|env|secret|bearer)",
 }
 LABELERS = ("pattern", "gazetteer", "context", "shape")
 BLOCK = 256
@@ -113,15 +135,18 @@ def _votes(kind: str, x: Column, before: Column, strict: Column) -> dict[str, Co
     """Each labeler's vote on a candidate."""
     d = _digits(x)
     yes = lambda c: F.when(c, 1).otherwise(-1)
+    top = rf"(?i)(?:^|[@.\])t])\s?(?:(?:{'|'.join(PROVIDERS)})[.\[( ].*|.*[.)\]]\s?(?:{'|'.join(TOP_LEVEL)}|[a-z]{{2}}))$"
     gazetteer = {
-        "email": F.when(x.rlike(DOMAINS), 1).otherwise(0),
-        "ip": yes(x.rlike(r"^0*(?:[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])\.")),
-        "card": yes(d.rlike(r"^(?:4|5[1-5]|3[47]|6011|65)")),
-        "phone": F.when(x.rlike(r"^\+(?:1|33|34|44|49)[^0-9]"), 1).when(x.rlike(r"^\("), 1).otherwise(0),
-        "secret": F.when(x.rlike(r"(?i)^(?:password|token|secret)"), 1).otherwise(0),
+        "email": F.when(x.rlike(top), 1).otherwise(-1),
+        "ip": F.when(x.rlike(RESERVED), -1).otherwise(1),
+        "card": yes(d.rlike(rf"^(?:{'|'.join(ISSUERS)})$")),
+        "phone": F.when(x.startswith("+"), yes(d.rlike(rf"^(?:{CALLING})"))).otherwise(yes(d.rlike("^[2-9][0-9]{2}[2-9]"))),
+        "secret": F.when(x.rlike(SECRET_NAMES) | x.rlike(TOKEN_STARTS), 1).when(x.rlike(PLAIN_NAMES), -1).otherwise(0),
     }[kind]
     context = F.when(before.rlike(TRIGGERS[kind] + r"\W{0,3}(?:\w{1,12}\W{1,3})?$"), 1).when(before.rlike(r"(?:[#=/]|(?i)version|isbn|page)\s?$"), -1).otherwise(0)
-    shape = yes(F.size(F.array_distinct(F.split(F.when(F.lit(kind in ("email", "secret")), x).otherwise(d), ""))) >= 4)
+    value = F.regexp_replace(x, r"^[^=:]*[=:]\s*", "") if kind == "secret" else x if kind == "email" else d
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= (8 if kind == "secret" else 4)
+    shape = yes(varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]")) if kind == "secret" else F.when(varied, 0).otherwise(-1)
     return {"pattern": strict, "gazetteer": gazetteer, "context": context, "shape": shape}
 
 
@@ -142,6 +167,9 @@ def _candidate(kind: str, m: Column, strict: Column) -> Column:
         F.concat(F.lit(f"{kind}:before:"), side(F.right(before, F.lit(1)))),
         F.concat(F.lit(f"{kind}:after:"), side(after)),
         F.concat(F.lit(f"{kind}:first:"), side(F.left(m["text"], F.lit(1)))),
+        F.concat(F.lit(f"{kind}:check:"), strict.cast("string")),
+        F.concat(F.lit(f"{kind}:known:"), votes["gazetteer"].cast("string")),
+        F.concat(F.lit(f"{kind}:varied:"), votes["shape"].cast("string")),
     )
     return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.struct(*[votes[k].cast("int").alias(k) for k in LABELERS]).alias("votes"), features.alias("features"))
 
@@ -155,7 +183,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     df = documents.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     for kind, pattern, needle in (("email", EMAIL, "@"), ("ip", IP, "digits"), ("card", CARD, "digits"), ("phone", PHONE, "+")):
         df = _with_matches(df, f"_{kind}", pattern, needle)
-    for kind, needle in (("email", "at"), ("phone", "digits"), ("secret", None)):
+    for kind, needle in (("email", "at"), ("phone", "digits"), ("secret", "digits")):
         df = _with_matches(df, f"_loose_{kind}", LOOSE[kind], needle)
     span = lambda kind: F.transform(F.filter(F.col(f"_{kind}"), lambda m: CHECKS[kind](m["text"])), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     base = F.concat(*[span(k) for k in KINDS[:4]])
@@ -166,30 +194,39 @@ def candidates(documents: DataFrame) -> DataFrame:
     return df.select("doc_id", base.alias("base"), F.concat(*strict, *loose).alias("cands"))
 
 
+#: What is thought of a labeler before any data, P(vote | truth). What a strict check is worth is known (one in ten numbers has a good check digit), so it isn't estimated.
+CHECKED = {1: {1: 0.75, 0: 0.23, -1: 0.02}, 0: {1: 0.05, 0: 0.15, -1: 0.8}}
+OTHERS = {1: {1: 0.6, 0: 0.25, -1: 0.15}, 0: {1: 0.15, 0: 0.25, -1: 0.6}}
+#: That belief counts as so many of a kind's candidates: data may sharpen a labeler but not turn it round.
+BELIEF = 0.2
+
+
 def fit_labelers(patterns: list[tuple[str, tuple[int, ...], float]], rounds: int = 50) -> tuple[dict, dict]:
-    """EM over (kind, votes, count): reliabilities {(labeler, truth): {vote: probability}} and priors {kind: P(true)}."""
-    kinds = sorted({k for k, _, _ in patterns})
-    prior = dict.fromkeys(kinds, 0.5)
-    rel = {(j, t): {v: (0.6 if v == (1 if t else -1) else 0.25 if v == 0 else 0.15) for v in (-1, 0, 1)} for j in range(len(LABELERS)) for t in (0, 1)}
-    for _ in range(rounds):
-        post = [posterior(k, votes, prior, rel) for k, votes, _ in patterns]
-        for k in kinds:
-            n = sum(c for kk, _, c in patterns if kk == k)
-            prior[k] = (sum(p * c for p, (kk, _, c) in zip(post, patterns, strict=True) if kk == k) + 1) / (n + 2)
-        for j in range(len(LABELERS)):
-            for t in (0, 1):
-                mass = {v: 1.0 for v in (-1, 0, 1)}
-                mass[1 if t else -1] += 2.0  # labelers are better than chance
-                for p, (_, votes, c) in zip(post, patterns, strict=True):
+    """EM over (kind, votes, count): reliabilities {(kind, labeler, truth): {vote: probability}} and priors {kind: P(true)}."""
+    rel, prior = {}, {}
+    for kind in sorted({k for k, _, _ in patterns}):
+        mine = [(votes, c) for k, votes, c in patterns if k == kind]
+        n = sum(c for _, c in mine)
+        start = {(j, t): dict((CHECKED if j == 0 else OTHERS)[t]) for j in range(len(LABELERS)) for t in (0, 1)}
+        prior[kind] = 0.5
+        rel |= {(kind, j, t): v for (j, t), v in start.items()}
+        for _ in range(rounds):
+            post = [posterior(kind, votes, prior, rel) for votes, _ in mine]
+            prior[kind] = (sum(p * c for p, (_, c) in zip(post, mine, strict=True)) + 1) / (n + 2)
+            for (j, t), before in start.items():
+                if j == 0:
+                    continue
+                mass = {v: BELIEF * n * before[v] for v in (-1, 0, 1)}
+                for p, (votes, c) in zip(post, mine, strict=True):
                     mass[votes[j]] += c * (p if t else 1 - p)
                 total = sum(mass.values())
-                rel[j, t] = {v: m / total for v, m in mass.items()}
+                rel[kind, j, t] = {v: m / total for v, m in mass.items()}
     return rel, prior
 
 
 def posterior(kind: str, votes: tuple[int, ...], prior: dict, rel: dict) -> float:
     odds = math.log(prior[kind] / (1 - prior[kind]))
-    odds += sum(math.log(rel[j, 1][v] / rel[j, 0][v]) for j, v in enumerate(votes))
+    odds += sum(math.log(rel[kind, j, 1][v] / rel[kind, j, 0][v]) for j, v in enumerate(votes))
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
 
 
@@ -197,10 +234,12 @@ def fit_classifier(cands: DataFrame, rel: dict, prior: dict) -> dict[str, float]
     """Naive-Bayes log-odds for each feature value, from soft labels over all candidates."""
     odds = F.lit(0.0)
     for kind, p in prior.items():
-        odds = F.when(F.col("c.kind") == kind, math.log(p / (1 - p))).otherwise(odds)
-    for j, name in enumerate(LABELERS):
-        vote = F.col(f"c.votes.{name}")
-        odds = odds + F.when(vote == 1, math.log(rel[j, 1][1] / rel[j, 0][1])).when(vote == -1, math.log(rel[j, 1][-1] / rel[j, 0][-1])).otherwise(math.log(rel[j, 1][0] / rel[j, 0][0]))
+        own = F.lit(math.log(p / (1 - p)))
+        for j, name in enumerate(LABELERS):
+            weight = {v: math.log(rel[kind, j, 1][v] / rel[kind, j, 0][v]) for v in (-1, 0, 1)}
+            vote = F.col(f"c.votes.{name}")
+            own = own + F.when(vote == 1, weight[1]).when(vote == -1, weight[-1]).otherwise(weight[0])
+        odds = F.when(F.col("c.kind") == kind, own).otherwise(odds)
     soft = cands.select(F.explode("cands").alias("c")).select(F.col("c.features").alias("f"), (1 / (1 + F.exp(-odds))).alias("p"))
     rows = soft.select(F.explode("f").alias("f"), "p").groupBy("f").agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("n")).collect()  # one row a feature value: under 400
     by_kind = {r["f"]: (r["t"], r["n"]) for r in rows if ":" not in r["f"]}
@@ -244,4 +283,5 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(joined(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
         joined(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
