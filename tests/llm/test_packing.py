@@ -5,44 +5,60 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing as P
 
 
-def naive(lengths, tokens, documents, attention):
-    bins, out = [], [None] * len(lengths)
+def naive(lengths, tokens, documents, attention, tile):
+    """Vector best fit by trying every open sequence."""
+    w, bins, out = P.WEIGHTS, [], [None] * len(lengths)
     for k in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        n = lengths[k]
-        fit = [(P.WEIGHTS[0] * (t - n) / tokens + P.WEIGHTS[1] * (d - 1) / documents + P.WEIGHTS[2] * (a - n * n) / attention, i) for i, (t, d, a) in enumerate(bins) if t >= n and d >= 1 and a >= n * n]
+        n, cost = lengths[k], (-(-lengths[k] // tile)) ** 2
+        norm = lambda t, d, a: w[0] * (t - n) * documents * attention + w[1] * (d - 1) * tokens * attention + w[2] * (a - cost) * tokens * documents  # noqa: B023, E731
+        fit = [(norm(t, d, a), t, i) for i, (t, d, a) in enumerate(bins) if t >= n and d >= 1 and a >= cost]
         if not fit:
             bins.append([tokens, documents, attention])
-            fit = [(0, len(bins) - 1)]
-        i = min(fit)[1]
+            fit = [(0, 0, len(bins) - 1)]
+        i = min(fit)[2]
         out[k] = i
-        bins[i] = [bins[i][0] - n, bins[i][1] - 1, bins[i][2] - n * n]
-    return out, len(bins)
+        bins[i] = [bins[i][0] - n, bins[i][1] - 1, bins[i][2] - cost]
+    return out
 
 
-@pytest.mark.parametrize("caps", [(100, 512, 10_000), (100, 3, 10_000), (100, 5, 4_000), (100, 1, 10_000)])
-def test_best_fit_keeps_every_constraint_and_matches_naive(caps):
+@pytest.mark.parametrize("caps", [(100, 512, 10_000, 1), (100, 3, 10_000, 1), (100, 5, 4_000, 1), (100, 1, 10_000, 1), (100, 6, 25, 20)])
+def test_placement_equals_plain_vector_best_fit(caps):
+    tokens, documents, attention, tile = caps
     rnd = random.Random(sum(caps))
-    lengths = [min(rnd.choice([3, 7, 20, 33, 50, 60, rnd.randint(1, 100)]), int(caps[2] ** 0.5)) for _ in range(500)]
-    seq, off = P.best_fit(np.array(lengths), *caps)
+    most = min(100, tile * int(attention**0.5))
+    lengths = [min(rnd.choice([1, 2, 3, 7, 20, 33, 50, 60, rnd.randint(1, 100)]), most) for _ in range(500)]
+    seq, off = P.best_fit(np.array(lengths), tokens, documents, attention, tile=tile)
     rows = defaultdict(list)
     for s, o, n in zip(seq, off, lengths, strict=True):
         rows[s].append((o, n))
     for r in rows.values():
         r.sort()
         assert [o for o, _ in r] == list(np.cumsum([0] + [n for _, n in r])[:-1])
-        assert sum(n for _, n in r) <= caps[0] and len(r) <= caps[1] and sum(n * n for _, n in r) <= caps[2]
-    assert abs(len(rows) - naive(lengths, *caps)[1]) <= 2
+        assert sum(n for _, n in r) <= tokens and len(r) <= documents and sum((-(-n // tile)) ** 2 for _, n in r) <= attention
+    assert seq.tolist() == naive(lengths, *caps)
+
+
+def test_every_capacity_binds():
+    """With the production parameters each of the three limits closes some sequence."""
+    full = lambda lengths: np.bincount(P.best_fit(np.array(lengths))[0])
+    assert max(full([2] * 500)) == P.DOCUMENTS  # documents
+    assert max(full([130] * 40)) == 7 and max(full([512] * 9)) == 2  # tokens
+    assert max(full([260] * 3 + [3] * 200)) <= P.DOCUMENTS
+    mixed = P.best_fit(np.array([640] + [20] * 45))[0]  # 660 to 1024 tokens would hold 18 more of 20; 25 + 39 tiles hold 39
+    assert np.bincount(mixed).max() <= P.DOCUMENTS
+    tiles = P.best_fit(np.array([770] + [5] * 47))[0]  # 49 tiles, so 15 more documents, though tokens and documents have room
+    assert np.bincount(tiles)[tiles[0]] == 16
 
 
 def test_query_round_trip(spark, tmp_path):
     rnd = random.Random(2)
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     texts = [None, "", " ", "a<|endoftext|>b", "Ünï \n\n cödé's  text\t!", "x" * 5000] + [" ".join(rnd.choice(["the", "räre", "of\n", " token", "9 9"]) for _ in range(rnd.randint(1, 4000))) for _ in range(40)]
     rows = [(i, t, 5) for i, t in enumerate(texts)] + [(3, texts[3], 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length int")
@@ -68,3 +84,6 @@ def test_query_round_trip(spark, tmp_path):
     seqs = P.sequences(docs).collect()
     assert sum(len(r.ids) // 4 for r in seqs) == sum(len(ids[i]) for i, _, _ in rows)
     assert P.pack(P.pieces(docs.limit(0))).count() == 0
+    odd = P.pieces(docs).withColumns({"_w_g": F.lit(7), "offset": F.lit("x"), "__in_w_g": F.lit(8)})
+    out = P.pack(odd)
+    assert out.columns == [*[c for c in odd.columns if c != "offset"], "sequence_id", "offset"] and {(r._w_g, r["__in_w_g"]) for r in out.collect()} == {(7, 8)}

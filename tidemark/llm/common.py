@@ -43,14 +43,18 @@ def dropped(df: DataFrame) -> None:
 WORKING = "_w_"
 
 
+def _moved(name: str) -> str:
+    return f"__in{name}" if name.startswith((WORKING, "__in")) else name
+
+
 def aside(df: DataFrame) -> DataFrame:
     """``df`` with the caller's columns that look like working columns renamed, so that no name clashes. ``restored`` undoes it."""
-    return df.withColumnsRenamed({c: f"__in{c}" for c in df.columns if c.startswith(WORKING) or c.startswith("__in")})
+    return df.select(*[F.col(f"`{c}`").alias(_moved(c)) for c in df.columns])
 
 
 def restored(out: DataFrame, df: DataFrame) -> DataFrame:
     """The columns of ``df``, in order, from what was made of ``aside(df)``."""
-    return out.select(*[F.col(f"`__in{c}`").alias(c) if c.startswith(WORKING) or c.startswith("__in") else F.col(f"`{c}`") for c in df.columns])
+    return out.select(*[F.col(f"`{_moved(c)}`").alias(c) for c in df.columns])
 
 
 def ascii_lower(col: Column) -> Column:
