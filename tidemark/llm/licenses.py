@@ -5,8 +5,7 @@ digest joined with those of known licenses. Whole documents are looked up, and
 each of their lines as well, since notices stand alone on a line.
 
 Defined results: null text is empty text; a text whose canonical form is empty matches nothing; a document with
-several notices lists each license once, sorted; lines longer than any known text aren't looked up as they can't
-match; repeated rows get equal results; an empty table gives no rows; other
+several notices lists each license once, sorted; lines of any length are looked up; repeated rows get equal results; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -17,6 +16,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower
 
+NO_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+#: The notice of the three GNU licenses, for a name and a version.
+GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.\n\nThis {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.\n\nYou should have received a copy of the GNU {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
 # Short license texts and notices, as published.
 KNOWN = (
     ("MIT", "Released under the MIT License."),
@@ -48,6 +51,20 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ),
+    ("BSD-3-Clause", BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + NO_WARRANTY),
+    ("BSD-2-Clause", BSD + NO_WARRANTY),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((f"{tag}-{version}.0", GNU.format(what=what, name=name, version=version)) for tag, name, version in (("GPL", "General Public License", 3), ("GPL", "General Public License", 2), ("LGPL", "Lesser General Public License", 3), ("AGPL", "Affero General Public License", 3)) for what in ("program", "library", "file")),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", 'Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)'),
+    ("0BSD", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "LGPL-3.0", "AGPL-3.0", "Unlicense", "Zlib", "CC-BY-4.0", "CC0-1.0")),
 )
 #: Spellings that mean the same, fixed values, applied in this order.
 SPELLINGS = (("licence", "license"), ("licencing", "licensing"), ("copyright holder", "copyright owner"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("https", "http"), ("per cent", "percent"), ("organis", "organiz"), ("acknowledgement", "acknowledgment"))
@@ -81,10 +98,9 @@ def scan(documents: DataFrame, known=KNOWN) -> DataFrame:
     """(doc_id, text_digest, license, notices, n_notices) for every row of ``documents``."""
     spark = documents.sparkSession
     table = F.broadcast(known_digests(spark, known))  # a list that the caller holds: its size doesn't depend on the documents
-    most = 2 * max(len(t) for _, t in known)
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
-    lines = docs.select("doc_id", "key", F.posexplode(F.filter(F.split("text", "\n"), lambda x: (x != "") & (F.length(x) <= most))).alias("at", "line"))
+    lines = docs.select("doc_id", "key", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("at", "line"))
     hits = with_digest(lines, "line").select("doc_id", "key", "at", "text_digest").join(table, "text_digest")
     notices = hits.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("license")).alias("notices"), F.count_distinct("at").alias("n_notices"))
     notices = notices.withColumnsRenamed({"doc_id": "nd", "key": "nk"})

@@ -36,6 +36,8 @@ SIZE = 5
 SAMPLE, COMMON, MOST = 8, 4, 100_000
 #: Rounds with one hub a shingle at most, before all pairs of different classes that are left.
 ROUNDS = 8
+#: Bits of the map that tells which texts are asked for.
+BITMAP = 1 << 24
 #: All pairs are compared once a text has at most so many partners of other classes on average.
 PARTNERS = 16
 
@@ -99,6 +101,22 @@ def _prefixes(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(of, "doc_id bigint, key bigint, sig bigint, n int, fp bigint, prefix array<bigint>")
 
 
+def _asked(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, key, text) of the rows whose key may be among ``keys``: a bitmap of fixed size spares the others' texts the exchange. What it lets through is joined exactly."""
+    h = F.pmod("key", F.lit(BITMAP))
+    words = keys.groupBy(F.shiftright(h, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(key, {BITMAP}) % 64 as int)))").alias("bits")).collect()  # at most BITMAP / 64 rows
+    table = np.zeros(BITMAP // 64, np.int64)
+    table[[r["w"] for r in words]] = [r["bits"] for r in words]
+    bits = documents.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy() % BITMAP
+            yield batch.filter(pa.array((bits.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+    return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(of, "doc_id bigint, key bigint, text string")
+
+
 def _alike(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) whose whole sets have a Jaccard similarity of at least 0.8."""
 
@@ -108,13 +126,15 @@ def _alike(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame
 
     asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     one = rows.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("sig", F.col("r.doc_id").alias("rd"), F.col("r.key").alias("rk"))
-    texts = documents.select("doc_id", row_key().alias("key"), "text").join(one, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("key") == F.col("rk")))
+    one = stored(one, "near-asked")
+    texts = _asked(documents, one.select(F.col("rk").alias("key"))).join(one, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("key") == F.col("rk")))
     held = stored(texts.select("sig", "text").mapInArrow(of, "sig bigint, s array<bigint>"), "near-sets")
     sets = held.dropDuplicates(["sig"])
     met = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
     # shared / (n + m - shared) >= 4 / 5
     out = stored(met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
-    dropped(held)
+    for frame in (held, one):
+        dropped(frame)
     return out
 
 

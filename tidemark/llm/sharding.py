@@ -6,8 +6,7 @@ maps it to a place in the shuffle; ``shard = place % shards`` and
 no gaps. ``place_of`` and ``row_of`` compute either direction without any lookup.
 
 Row numbers: rows are dealt to hash buckets of (doc_id, CRC-32, size), numbered inside
-each bucket, and shifted by the counts of the buckets before. Only the per-bucket counts
-are gathered. Equal rows are numbered as one group with a count and unfolded afterwards in
+each bucket, and shifted by the counts of the buckets before. Equal rows are numbered as one group with a count and unfolded afterwards in
 chunks, so that even a row that fills a third of the table meets no single task.
 
 Defined results: null text has size 8 and the CRC of no bytes (0); empty text likewise; null
@@ -17,9 +16,14 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import aside, stored
+
 ROUNDS = 6
 #: Rows of one group of equal rows that one task unfolds at a time.
 CHUNK = 1 << 16
@@ -103,21 +107,17 @@ def number_rows(df: DataFrame, keys: list[str], rows_per_bucket: int = 500_000)
     total = df.count()
     buckets = max(16, -(-total // rows_per_bucket))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    counts = df.select(bucket.alias("_b")).groupBy("_b").count().collect()  # one row a bucket
-    start, first = 0, []
-    by = {r["_b"]: r["count"] for r in counts}
-    for b in range(buckets):
-        first.append(start)
-        start += by.get(b, 0)
+    # one row a bucket, so one in ``rows_per_bucket`` of the rows: few enough for one window
+    counts = df.select(bucket.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select(F.col("_b").alias("_bucket"), (F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")).alias("_first"))
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", bucket)
     upto = F.sum("_n").over(Window.partitionBy("_b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    at = F.get(F.array(*[F.lit(x).cast("long") for x in first]), F.col("_b"))
-    base = groups.withColumn("_at", upto - F.col("_n") + at)
+    base = groups.withColumn("_upto", upto).join(before, F.col("_b") == F.col("_bucket")).withColumn("_at", F.col("_upto") - F.col("_n") + F.col("_first"))
     # a group of equal rows unfolds chunk by chunk, the chunks dealt out anew
     chunks = base.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"), F.lit(CHUNK).cast("long"))))
     dealt = chunks.repartition(F.xxhash64(*keys, "_c"))
     out = dealt.withColumn("row_number", F.explode(F.sequence(F.col("_at") + F.col("_c"), F.col("_at") + F.least("_n", F.col("_c") + CHUNK) - 1)))
-    return out.select(*keys, "row_number"), start
+    return out.select(*keys, "row_number"), total
 
 
 def shard_rows(documents: DataFrame, shards: int, seed: int = 0) -> DataFrame:
@@ -136,20 +136,31 @@ def shard_rows(documents: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
 
 def write_shards(documents: DataFrame, path: str, shards: int, seed: int = 0) -> None:
-    """Write the texts themselves, one folder a shard, rows in slot order within each file.
+    """Write the rows themselves, one folder a shard, rows in slot order within each file.
 
     ``documents`` is joined with its places by (doc_id, size, CRC); equal rows
-    are told apart by a rank within their group.
+    are told apart by a number within their group, given part by part of the table, so a large group meets no single task. A caller's columns
+    ``shard`` and ``slot`` are written as ``shard_before`` and ``slot_before``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = ["doc_id", "size", "text_crc32"]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    places = shard_rows(documents, shards, seed).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("slot", "shard")))
-    full = documents.withColumns({"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8"))}).withColumn("_nth", nth)
-    same = [full[k].eqNullSafe(places[k]) for k in [*keys, "_nth"]]
-    joined = full.join(places.select(*keys, "_nth", "shard", "slot"), same[0] & same[1] & same[2] & same[3])
-    cols = [full[c] for c in documents.columns if c not in ("shard", "slot")]
-    joined.select(*cols, places["shard"], places["slot"]).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    mine = [f"_w_{k}" for k in keys]
+    placed = shard_rows(documents, shards, seed)
+    full = aside(documents).withColumns({"_w_doc_id": F.col("doc_id"), "_w_size": (F.octet_length(text) + 8).cast("long"), "_w_text_crc32": F.crc32(F.encode(text, "UTF-8")), "_w_part": F.spark_partition_id()})
+    full = stored(full, "shard-rows")  # the part must not change between its two uses
+    sizes = full.groupBy(*mine, "_w_part").agg(F.count(F.lit(1)).alias("_w_c"))
+    over = Window.partitionBy(*mine).orderBy("_w_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = sizes.select(*[F.col(k).alias(f"_b{k}") for k in [*mine, "_w_part"]], (F.sum("_w_c").over(over) - F.col("_w_c")).alias("_w_begin"))
+    nth = F.row_number().over(Window.partitionBy(*mine, "_w_part").orderBy(*mine)) - 1
+    same = lambda a, b, names: reduce(and_, [F.col(a + k).eqNullSafe(F.col(b + k)) for k in names])
+    numbered = full.withColumn("_w_nth", nth).join(begins, same("", "_b", [*mine, "_w_part"])).withColumn("_w_nth", F.col("_w_nth") + F.col("_w_begin"))
+    # equal rows have neighbouring row numbers
+    first = placed.groupBy(*keys).agg(F.min("row_number").alias("_p_first"))
+    numbered = numbered.join(first.select(*[F.col(k).alias(f"_f_w_{k}") for k in keys], "_p_first"), same("", "_f", mine)).withColumn("_w_row", F.col("_p_first") + F.col("_w_nth"))
+    joined = numbered.join(placed.select(F.col("row_number").alias("_w_number"), F.col("shard").alias("_w_shard"), F.col("slot").alias("_w_slot")), F.col("_w_row") == F.col("_w_number"))
+    named = lambda c: f"{c}_before" if c in ("shard", "slot") else c
+    out = joined.select(*[F.col(f"`{m}`").alias(named(c)) for m, c in zip(aside(documents).columns, documents.columns, strict=True)], F.col("_w_shard").alias("shard"), F.col("_w_slot").alias("slot"))
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:

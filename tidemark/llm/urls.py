@@ -96,14 +96,16 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     found = pages.select("page_id", "url", F.when(url.contains("://"), host_of(url)).otherwise("").alias("host"), F.when(url.contains("://"), path_of(url)).otherwise("").alias("path"), spelling(url).alias("node"))
     found = found.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     parts = link_components(alias_edges(pages))
+    # rows without a spelling have no alias and would all meet on one null key
+    named, alone = found.where("node is not null"), found.where("node is null")
     # one row a spelling; copies of a url count once before anything meets
-    nodes = found.groupBy("node").agg(F.max(F.coalesce(F.col("r.verdict") == "allow", F.lit(False))).alias("allow"), F.max(F.coalesce(F.col("r.verdict") == "block", F.lit(False))).alias("block"))
-    named = nodes.where("node is not null").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    said = named.groupBy("component").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
-    by_node = named.select("node", "component").join(said, "component")
-    out = found.join(by_node, "node", "left")
+    said = lambda verdict: F.max(F.coalesce(F.col("r.verdict") == verdict, F.lit(False))).alias(verdict)
+    nodes = named.groupBy("node").agg(said("allow"), said("block")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = nodes.groupBy("component").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
+    out = named.join(nodes.select("node", "component").join(whole, "component"), "node", "left")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("block") & ~F.col("allow"), "block").otherwise("allow"))
-    return out.select("page_id", "url", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "component")
+    cols = ["page_id", "url", "host", "path", F.col("r.rule").alias("rule")]
+    return out.select(*cols, verdict.alias("verdict"), "component").unionByName(alone.select(*cols, F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("component")))
 
 
 def op3_urls(spark, sf_dir: str) -> DataFrame:
