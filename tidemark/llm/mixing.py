@@ -46,7 +46,7 @@ SUFFIX = 3
 #: Levels from the longest context down; the last is the text itself (words that no other text has), then spelling.
 LEVELS = ("ppw", "pw", "sw", "w", "own")
 #: Slots of the spelling predictors: one byte before (exact), then hashed: two, three bytes, word so far. Letters need no more however large the corpus.
-SIZES = (1 << 16, 1 << 18, 1 << 20, 1 << 20)
+SIZES = (1 << 16, 1 << 18, 1 << 19, 1 << 20)
 #: Slots of each of the level predictors.
 LEVEL_SLOTS, LEVEL_INPUTS = 1 << 14, 4
 LEVEL_GATES, SPELL_GATES = len(LEVELS) * 16, 64
@@ -55,7 +55,7 @@ SLICE = 1 << 16
 DELTA = 0.4
 START = np.uint64(0x2545F4914F6CDD1D)
 #: Bits that are predicted before they are learned.
-BATCH = 1 << 15
+BATCH, WORDS = 1 << 15, 2048
 
 SEGMENT = "seg bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, ends array<bigint>, words binary, code binary"
 
@@ -115,38 +115,43 @@ class Segment:
         import xxhash
 
         self.words = row["words"].split(b" ")
-        self.code = np.frombuffer(row["code"], np.int32).astype(np.int64)
+        self.code = np.frombuffer(row["code"], np.int32)
         self.ends = np.asarray(row["ends"], np.int64)
         self.start = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.ends)), self.ends - self.start)
         self.held = np.asarray(row["held"], bool)
-        digest = xxhash.xxh64_intdigest
+        self.train = ~self.held[self.doc]
+        digest, tails = xxhash.xxh64_intdigest, {}
         self.hash = np.fromiter(map(digest, self.words), np.uint64, len(self.words))
-        tail = np.fromiter((digest(w[-SUFFIX:], 1) for w in self.words), np.uint64, len(self.words))
-        self.suffix = after(tail[self.code], self.start, START)
+        tail = np.fromiter((tails.setdefault(w[-SUFFIX:], len(tails)) for w in self.words), np.int64, len(self.words))
+        self.tails = np.array([*(digest(t, 1) for t in tails), int(START)], np.uint64)
+        self.tail = after(tail[self.code], self.start, len(tails))
 
     def keys(self, order: str) -> np.ndarray:
+        """Hashed context of every token, for the orders of more than one word."""
         h = self.hash[self.code]
-        if order == "w":
-            return h
-        if order == "s":
-            return mixed_hash(self.suffix)
         if order == "sw":
-            return mixed_hash(self.suffix * np.uint64(0xD6E8FEB86659FD93) + h)
+            return mixed_hash(self.tails[self.tail] * np.uint64(0xD6E8FEB86659FD93) + h)
         before = after(h, self.start, START)
         if order == "pw":
             return mixed_hash(before * np.uint64(0xBF58476D1CE4E5B9) + h)
         return mixed_hash(mixed_hash(after(before, self.start, START) * np.uint64(0x94D049BB133111EB) + before) + h)
 
-    def distinct(self, order: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct keys, each token's key, and the counts in training texts."""
-        key, at = np.unique(self.keys(order), return_inverse=True)
-        return key, at, np.bincount(at[~self.held[self.doc]], minlength=len(key))
-
-    def own(self, at: np.ndarray, size: int) -> np.ndarray:
-        """How often each token's key stands in its own training text; 0 in held-out texts."""
-        _, which, times = np.unique(self.doc * size + at, return_inverse=True, return_counts=True)
-        return np.where(self.held[self.doc], 0, times[which])
+    def distinct(self, order: str) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys, and each token's place among them."""
+        if order not in ("w", "s"):
+            return np.unique(self.keys(order), return_inverse=True)
+        few, at = (self.hash, self.code) if order == "w" else (mixed_hash(self.tails), self.tail)
+        key, rank = np.unique(few, return_inverse=True)
+        return key, rank[at]
+
+    def own(self, at: np.ndarray, every: np.ndarray) -> np.ndarray:
+        """How often each token's key stands in its own training text; 0 in held-out texts. What the corpus has once needs no search."""
+        out = self.train.astype(np.int32)
+        several = np.flatnonzero(self.train & (every > 1))
+        _, which, times = np.unique(self.doc[several] * (int(at.max(initial=0)) + 1) + at[several], return_inverse=True, return_counts=True)
+        out[several] = times[which]
+        return out
 
 
 ASKED = "ord int, part bigint, seg bigint, keys binary, n binary"
@@ -170,7 +175,8 @@ def ask(held: DataFrame, bits: int) -> DataFrame:
                 row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
                 seg = Segment(row)
                 for order, name in enumerate(ORDERS):
-                    key, _, n = seg.distinct(name)
+                    key, at = seg.distinct(name)
+                    n = np.bincount(at[seg.train], minlength=len(key))
                     part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
                     sub = key if name == "w" else (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     names, begin = np.unique(part, return_index=True)
@@ -221,68 +227,93 @@ def counted(held: DataFrame, told: DataFrame) -> DataFrame:
     return held.join(per, held["seg"] == per["of"]).drop("of").mapInArrow(put, COUNTED)
 
 
-def _log2(x: np.ndarray, most: int = 15) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(x, 0) + 1), most).astype(np.int64)
+def _log2(x: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(x, 0).astype(np.float32) + np.float32(1)), 15).astype(np.int64)
 
 
-class Levels:
-    """Every token's levels: context counts, seen counts, outcome and predictor slots, as (token, level) arrays in stream order."""
+class Tokens:
+    """Every token's counts in the other texts: of each level's context, and of the word in it."""
 
     def __init__(self, seg: Segment, row: dict, tokens: int, texts: int):
         n = len(seg.code)
-        train = ~seg.held[seg.doc]
-        seen, context = {}, {}
+        self.seg, self.seen, self.context = seg, {}, {}
         for o in ORDERS:
-            key, at, _ = seg.distinct(o)
-            every = _unpack(row[f"c_{o}"])[at]
+            _, at = seg.distinct(o)
+            every = _unpack(row[f"c_{o}"]).astype(np.int32)[at]
             if o == "w":
                 self.plain = every
-            seen[o] = every - seg.own(at, len(key))
+            self.seen[o] = every - seg.own(at, every)
         first = np.zeros(n, bool)
         first[seg.start] = True
-        context["w"] = tokens - np.where(train, (seg.ends - seg.start)[seg.doc], 0)
-        context["pw"] = np.where(first, texts - train, after(seen["w"], seg.start, 0))
-        context["ppw"] = after(seen["pw"], seg.start, 0)
-        context["sw"] = seen["s"]
+        c = self.context
+        c["w"] = tokens - np.where(seg.train, (seg.ends - seg.start)[seg.doc], 0)
+        c["pw"] = np.where(first, texts - seg.train, after(self.seen["w"], seg.start, 0))
+        c["ppw"] = after(self.seen["pw"], seg.start, 0)
+        c["sw"] = self.seen.pop("s")
         # words that no other text has: told by the text's own earlier ones
-        new = seen["w"] <= 0
-        pair = np.where(new, seg.doc * len(seg.words) + seg.code, -1)
-        order = np.argsort(pair, kind="stable")
-        run = pair[order]
-        begin = np.maximum.accumulate(np.where(np.concatenate([[True], run[1:] != run[:-1]]), np.arange(n), 0))
-        seen["own"] = np.zeros(n, np.int64)
-        seen["own"][order] = np.arange(n) - begin
-        upto = np.cumsum(new) - new
-        context["own"] = upto - upto[seg.start][seg.doc]
-        c = np.stack([context[o] for o in LEVELS], 1)
-        s = np.minimum(np.stack([seen[o] for o in LEVELS], 1), c)
-        s[:, LEVELS.index("own")][~new] = 0
-        yes = (s > 0) & (c > 0)
+        self.new = self.seen["w"] <= 0
+        at = np.flatnonzero(self.new)
+        _, which = np.unique(seg.doc[at] * len(seg.words) + seg.code[at], return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        run = which[order]
+        begin = np.maximum.accumulate(np.where(np.concatenate([[True], run[1:] != run[:-1]])[: len(run)], np.arange(len(run)), 0))
+        self.seen["own"] = np.zeros(n, np.int32)
+        self.seen["own"][at[order]] = np.arange(len(run)) - begin
+        upto = np.cumsum(self.new) - self.new
+        c["own"] = upto - upto[seg.start][seg.doc]
+
+    def chunks(self, size: int = 50_000) -> Iterator[Levels]:
+        """Levels of whole texts, about ``size`` tokens at a time (a longer text by itself)."""
+        ends, a = self.seg.ends, 0
+        while a < len(self.seg.code):
+            b = int(ends[min(np.searchsorted(ends, a + size), len(ends) - 1)])
+            yield Levels(self, a, b)
+            a = b
+
+
+class Levels:
+    """The level bits of the tokens a to b, in stream order, with their predictor slots."""
+
+    def __init__(self, tokens: Tokens, a: int, b: int):
+        seg, n = tokens.seg, b - a
+        self.seg, self.a, self.b = seg, a, b
+        start = seg.start[(seg.start >= a) & (seg.start < b)] - a
+        c = np.stack([tokens.context[o][a:b] for o in LEVELS], 1)
+        s = np.stack([tokens.seen[o][a:b] for o in LEVELS], 1)
+        np.minimum(s, c, out=s, casting="unsafe")
+        yes = s > 0
         #: The level that gives the word, len(LEVELS) for spelling.
         self.level = np.where(yes.any(1), yes.argmax(1), len(LEVELS))
-        at = np.arange(len(LEVELS))
         # a bit for every level with a context, down to the one that gives the word
-        token, level = np.nonzero((c > 0) & (at <= self.level[:, None]))
+        token, level = np.nonzero((c > 0) & (np.arange(len(LEVELS)) <= self.level[:, None]))
         self.token, self.of, self.bit = token, level, (level == self.level[token]).astype(np.int64)
-        inside = np.minimum(self.level, len(LEVELS) - 1)
-        pick = (np.arange(n), inside)
+        pick = (np.arange(n), np.minimum(self.level, len(LEVELS) - 1))
         self.share = np.where(self.level < len(LEVELS), np.log10(np.maximum(s[pick], 1) / np.maximum(c[pick], 1)), 0.0)
         size = _log2(c)
-        last = after(self.level, seg.start, 0)
-        history = (last * 6 + after(last, seg.start, 0)) * 6 + after(after(last, seg.start, 0), seg.start, 0)
-        before = after(seg.hash[seg.code], seg.start, START)
-        self.gate = level * 16 + size[token, level]
+        last = after(self.level, start, 0)
+        third = after(last, start, 0)
+        history = (last * 6 + third) * 6 + after(third, start, 0)
+        before = np.concatenate([[START], seg.hash[seg.code[max(0, a - 1) : b - 1]]])[-n:].astype(np.uint64)
+        before[start] = START
+        own = size[token, level]
+        self.gate = level * 16 + own
         lower = size[token, np.minimum(level + 1, len(LEVELS) - 1)]
         base = [
             (self.gate * 16 + lower).astype(np.uint64),
-            (history[token] * 16 + size[token, level]).astype(np.uint64) * np.uint64(8) + level.astype(np.uint64),
+            ((history[token] * 16 + own) * 8 + level).astype(np.uint64),
             before[token] * np.uint64(8) + level.astype(np.uint64),
-            seg.suffix[token] * np.uint64(128) + self.gate.astype(np.uint64),
+            seg.tails[seg.tail[a:b]][token] * np.uint64(128) + self.gate.astype(np.uint64),
         ]
-        self.slots = [(mixed_hash(b + np.uint64(17 * k)) & np.uint64(LEVEL_SLOTS - 1)).astype(np.int64) + k * LEVEL_SLOTS for k, b in enumerate(base)]
+        self.slots = [(mixed_hash(x + np.uint64(17 * k)) & np.uint64(LEVEL_SLOTS - 1)).astype(np.int64) + k * LEVEL_SLOTS for k, x in enumerate(base)]
         #: First occurrences, in each text, of words to spell.
         self.spelled = np.flatnonzero(self.level == len(LEVELS))
 
+    def to_spell(self, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Words, and the last letters of the words before."""
+        seg, first = self.seg, set(self.seg.start.tolist())
+        code, at = seg.code, (at + self.a).tolist()
+        return [seg.words[code[k]] for k in at], [b"" if k in first else seg.words[code[k - 1]][-SUFFIX:] for k in at]
+
 
 def flat(words: list[bytes], tails: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of tail, a blank, word and terminator; each byte's word; and its place in the word (negative in the tail)."""
@@ -309,38 +340,43 @@ def contexts(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.n
 FIRST = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SIZES)[:-1]]))
 
 
-def spell_slots(ctx: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    """Table slot of each predictor for a byte's bit; node: the bits seen of the byte, after a leading 1."""
-    out = [(ctx[0] * np.uint64(256) + node).astype(np.int64)]
-    for k in (1, 2, 3):
-        out.append((mixed_hash(ctx[k] + node * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(SIZES[k] - 1)).astype(np.int64) + FIRST[k])
-    return out
-
-
 def spell_bits(words: list[bytes], tails: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(word, bit, slots) for the eight bits of all bytes."""
+    """(word, bit, slots) for the eight bits of all bytes. A hashed context has a block of 16 slots for each half of a byte, so its bits lie together."""
     data, word, place = flat(words, tails)
     at, ctx = contexts(data, place)
     byte, word = data[at], word[at]
-    for k in range(8):
-        node = ((byte | 256) >> (8 - k)).astype(np.uint64)
-        yield word, (byte >> (7 - k)) & 1, spell_slots(ctx, node)
+    for half in (0, 1):
+        high = (byte >> 4).astype(np.uint64) + np.uint64(1) if half else np.uint64(0)
+        base = [FIRST[k] + 16 * (mixed_hash(ctx[k] + high * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(SIZES[k] // 16 - 1)).astype(np.int64) for k in (1, 2, 3)]
+        value = byte & 15 if half else byte >> 4
+        for k in range(4):
+            node = (value | 16) >> (4 - k)
+            whole = (byte | 256) >> (8 - k - 4 * half)
+            yield word, (value >> (3 - k)) & 1, [(ctx[0] << np.uint64(8)).astype(np.int64) + whole, *(b + node for b in base)]
 
 
 class Mixer:
-    """Predictor tables, gated weights and refinement of one kind of bits, over slices of the model's vectors."""
+    """Predictor tables, gated weights and refinement of one kind of bits."""
 
     def __init__(self, slots: int, inputs: int, gates: int):
-        self.slots, self.inputs, self.gates = slots, inputs, gates
-        self.counts = np.zeros((2, slots), np.float32)
-        self.weights = np.full((gates, inputs), 1.2 / inputs)
-        self.refine = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0)), (gates, 1))
+        self.inputs, self.gates = inputs, gates
+        self.counts = np.zeros((slots, 2), np.float32)
+        self.weights = np.full((gates, inputs), 1.2 / inputs, np.float32)
+        self.refine = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0)), (gates, 1)).astype(np.float32)
         self.seen = 0.0
 
-    def inputs_of(self, slots: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        zeros, ones = [self.counts[0][s] for s in slots], [self.counts[1][s] for s in slots]
-        stretch = [np.log((b + DELTA) / (a + DELTA)) for a, b in zip(zeros, ones, strict=True)]
-        return np.stack(stretch, 1), [a + b for a, b in zip(zeros, ones, strict=True)]
+    def inputs_of(self, slots: list[np.ndarray], bit: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Stretched probabilities, and how often each slot was seen. ``own`` marks bits that the counts have learned from this very text: they are taken out."""
+        stretch, seen = np.empty((len(slots[0]), len(slots)), np.float32), []
+        table = self.counts.view(np.uint64)[:, 0]
+        for k, at in enumerate(slots):
+            both = table[at].view(np.float32).reshape(-1, 2)
+            zeros, ones = both[:, 0], both[:, 1]
+            if own is not None:
+                zeros, ones = np.maximum(zeros - (own & (bit == 0)), 0), np.maximum(ones - (own & (bit == 1)), 0)
+            stretch[:, k] = np.log((ones + np.float32(DELTA)) / (zeros + np.float32(DELTA)))
+            seen.append(zeros + ones)
+        return stretch, seen
 
     def mix(self, stretch: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", stretch, self.weights[gate]), -12, 12)
@@ -353,7 +389,8 @@ class Mixer:
     def probability(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a one: the mean of the mixed and the refined probability."""
         low, part = self.place(mixed)
-        refined = self.refine[gate, low] * (1 - part) + self.refine[gate, low + 1] * part
+        cell, flat_refine = gate * STEPS + low, self.refine.ravel()
+        refined = flat_refine[cell] * (1 - part) + flat_refine[cell + 1] * part
         return np.clip(0.5 * (1 / (1 + np.exp(-mixed)) + refined), 1e-5, 1 - 1e-5)
 
     def learn(self, slots: list[np.ndarray], gate, bit: np.ndarray) -> None:
@@ -374,16 +411,12 @@ class Mixer:
             self.refine += (wrong / (total + 100)).reshape(self.refine.shape)
         np.clip(self.refine, 1e-5, 1 - 1e-5, out=self.refine)
         for s in slots:
-            np.add.at(self.counts.reshape(-1), s + bit * self.slots, np.float32(1))
+            np.add.at(self.counts.reshape(-1), 2 * s + bit, np.float32(1))
         self.seen += len(bit)
 
     def log10(self, slots: list[np.ndarray], gate, bit: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """log10 probability of each bit; ``own`` marks bits that the counts have learned from this very text: they are taken out."""
-        zeros, ones = [self.counts[0][s] for s in slots], [self.counts[1][s] for s in slots]
-        if own is not None:
-            zeros, ones = [np.maximum(z - (own & (bit == 0)), 0) for z in zeros], [np.maximum(o - (own & (bit == 1)), 0) for o in ones]
-        stretch = np.stack([np.log((b + DELTA) / (a + DELTA)) for a, b in zip(zeros, ones, strict=True)], 1)
-        seen = [a + b for a, b in zip(zeros, ones, strict=True)]
+        """log10 probability of each bit."""
+        stretch, seen = self.inputs_of(slots, bit, own)
         gate = gate(seen) if callable(gate) else gate
         p = self.probability(self.mix(stretch, gate), gate)
         return np.log10(np.where(bit == 1, p, 1 - p))
@@ -391,7 +424,7 @@ class Mixer:
 
 def spell_gate(seen: list[np.ndarray]) -> np.ndarray:
     """How often the word so far and the three bytes before were seen."""
-    return _log2(seen[3]) * 4 + _log2(seen[2], 15) // 4
+    return _log2(seen[3]) * 4 + _log2(seen[2]) // 4
 
 
 class Model:
@@ -420,35 +453,35 @@ class Model:
                 m.weights, m.refine = parts[1].reshape(m.weights.shape) / m.seen, parts[2].reshape(m.refine.shape) / m.seen
         return out
 
-    def _spelled(self, seg: Segment, levels: Levels, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-        before = after(seg.code, seg.start, 0)
-        return [seg.words[k] for k in seg.code[at].tolist()], [seg.words[k][-SUFFIX:] for k in before[at].tolist()]
-
-    def learn(self, seg: Segment, levels: Levels) -> None:
+    def learn(self, seg: Segment, tokens: Tokens) -> None:
         """Train on the segment's training texts, in their order."""
-        mine = ~seg.held[seg.doc[levels.token]]
-        at = np.flatnonzero(mine)
-        for k in range(0, len(at), BATCH):
-            a = at[k : k + BATCH]
-            self.levels.learn([s[a] for s in levels.slots], levels.gate[a], levels.bit[a])
-        new = levels.spelled[~seg.held[seg.doc[levels.spelled]]]
-        for k in range(0, len(new), BATCH // 64):
-            for _, bit, slots in spell_bits(*self._spelled(seg, levels, new[k : k + BATCH // 64])):
-                self.spelling.learn(slots, spell_gate, bit)
-
-    def log10(self, seg: Segment, levels: Levels) -> np.ndarray:
+        for part in tokens.chunks():
+            train = seg.train[part.a : part.b]
+            at = np.flatnonzero(train[part.token])
+            for k in range(0, len(at), BATCH):
+                x = at[k : k + BATCH]
+                self.levels.learn([s[x] for s in part.slots], part.gate[x], part.bit[x])
+            new = part.spelled[train[part.spelled]]
+            for k in range(0, len(new), WORDS):
+                for _, bit, slots in spell_bits(*part.to_spell(new[k : k + WORDS])):
+                    self.spelling.learn(slots, spell_gate, bit)
+
+    def log10(self, seg: Segment, tokens: Tokens) -> np.ndarray:
         """log10 probability of every token."""
-        out = levels.share.copy()
-        for k in range(0, len(levels.token), BATCH):
-            a = slice(k, k + BATCH)
-            p = self.levels.log10([s[a] for s in levels.slots], levels.gate[a], levels.bit[a])
-            np.add.at(out, levels.token[a], p)
-        for k in range(0, len(levels.spelled), 1024):
-            at = levels.spelled[k : k + 1024]
-            own = ~seg.held[seg.doc[at]]
-            for word, bit, slots in spell_bits(*self._spelled(seg, levels, at)):
-                out[at] += np.bincount(word, self.spelling.log10(slots, spell_gate, bit, own[word]), len(at))
-        return out
+        every = []
+        for part in tokens.chunks():
+            out = part.share.copy()
+            for k in range(0, len(part.token), BATCH):
+                x = slice(k, k + BATCH)
+                p = self.levels.log10([s[x] for s in part.slots], part.gate[x], part.bit[x])
+                out += np.bincount(part.token[x], p, len(out))
+            for k in range(0, len(part.spelled), WORDS):
+                at = part.spelled[k : k + WORDS]
+                own = seg.train[at + part.a]
+                for word, bit, slots in spell_bits(*part.to_spell(at)):
+                    out[at] += np.bincount(word, self.spelling.log10(slots, spell_gate, bit, own[word]), len(at))
+            every.append(out)
+        return np.concatenate(every)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -465,7 +498,7 @@ def train(every: DataFrame, tokens: int, texts: int) -> Model:
         model, some = Model(), False
         for row in _rows(batches):
             seg = Segment(row)
-            model.learn(seg, Levels(seg, row, tokens, texts))
+            model.learn(seg, Tokens(seg, row, tokens, texts))
             some = True
         vector = model.vector() if some else np.zeros(0)
         for part in range(-(-len(vector) // SLICE)):
@@ -510,17 +543,17 @@ def score(documents: DataFrame) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             seg = Segment(row)
-            levels = Levels(seg, row, tokens, texts)
+            counts = Tokens(seg, row, tokens, texts)
             by_doc = lambda x: np.add.reduceat(x, seg.start)  # noqa: B023, E731
-            result = by_doc(model.value.log10(seg, levels))
+            result = by_doc(model.value.log10(seg, counts))
             yield pa.record_batch(
                 [
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array(seg.held),
                     pa.array(seg.ends - seg.start),
-                    pa.array(by_doc((levels.plain > 0).astype(np.int64))),
+                    pa.array(by_doc((counts.plain > 0).astype(np.int64))),
                     pa.array(np.full(len(seg.ends), tokens, np.int64)),
-                    pa.array(by_doc(np.log10(levels.plain + 1.0) - norm)),
+                    pa.array(by_doc(np.log10(counts.plain + 1.0) - norm)),
                     pa.array(result),
                     pa.array(-result / np.log10(2) / np.maximum(np.asarray(row["sizes"]), 1)),
                 ],
