@@ -34,9 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    """Delete what ``stored`` wrote, once nothing reads it any more.
+
+    Shuffle files go when the driver's garbage collector finds their plans unused, so it is asked for here: steps with many exchanges would
+    otherwise fill the executors' disks.
+    """
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    df.sparkSession._jvm.System.gc()
 
 
 #: Names of working columns start so.

@@ -1,7 +1,7 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is the sequence of its lower-cased words and one end. Every word is coded by bits: from the longest context down, one bit says
-whether the word was seen in it (two words before, one word before, the last letters of the word before, anywhere, earlier in this text); the first
+whether the word was seen in it (after the word before, after the last letters of the word before, anywhere, earlier in this text); the first
 yes gives the word by its share of the context's count. A word never seen is spelled by the bits of its bytes and a terminator. Each bit is predicted by several hashed-context
 predictors; gated weights mix their stretched probabilities and a table over (gate, mixed probability) refines the result. Weights, predictors and
 refinement learn online over the whole training stream: each bit is predicted first and learned then. The total is in log10; bits per byte follow from it.
@@ -40,11 +40,11 @@ from tidemark.llm.common import dropped, stored
 SEGMENT_TOKENS = 1_000_000
 #: Distinct contexts of a part on average.
 PART_KEYS = 3_000_000
-#: Contexts that are counted: word; word before and word; two words before and word; last letters before and word; last letters before.
-ORDERS = ("w", "pw", "ppw", "sw", "s")
+#: Contexts that are counted: word; word before and word; last letters before and word; last letters before.
+ORDERS = ("w", "pw", "sw", "s")
 SUFFIX = 3
 #: Levels from the longest context down; the last is the text itself (words that no other text has), then spelling.
-LEVELS = ("ppw", "pw", "sw", "w", "own")
+LEVELS = ("pw", "sw", "w", "own")
 #: Slots of the spelling predictors: one byte before (exact), then hashed: two, three bytes, word so far. Letters need no more however large the corpus.
 SIZES = (1 << 16, 1 << 18, 1 << 19, 1 << 20)
 #: Slots of each of the level predictors.
@@ -132,10 +132,7 @@ class Segment:
         h = self.hash[self.code]
         if order == "sw":
             return mixed_hash(self.tails[self.tail] * np.uint64(0xD6E8FEB86659FD93) + h)
-        before = after(h, self.start, START)
-        if order == "pw":
-            return mixed_hash(before * np.uint64(0xBF58476D1CE4E5B9) + h)
-        return mixed_hash(mixed_hash(after(before, self.start, START) * np.uint64(0x94D049BB133111EB) + before) + h)
+        return mixed_hash(after(h, self.start, START) * np.uint64(0xBF58476D1CE4E5B9) + h)
 
     def distinct(self, order: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct keys, and each token's place among them."""
@@ -166,6 +163,20 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64)
 
 
+def _shrunk(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as their differences, three bytes each if these are small."""
+    gaps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u4")
+    return gaps.tobytes() if len(gaps) and gaps.max() >> 24 else gaps.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _grown(blob: bytes, n: int) -> np.ndarray:
+    if len(blob) == 4 * n:
+        return np.cumsum(np.frombuffer(blob, "<u4"), dtype=np.uint32)
+    gaps = np.zeros((n, 4), np.uint8)
+    gaps[:, :3] = np.frombuffer(blob, np.uint8).reshape(-1, 3)
+    return np.cumsum(gaps.view("<u4")[:, 0], dtype=np.uint32)
+
+
 def ask(held: DataFrame, bits: int) -> DataFrame:
     """Each segment's distinct contexts and training counts, cut by the upper ``bits`` of the hash (see ``ASKED``)."""
 
@@ -181,7 +192,7 @@ def ask(held: DataFrame, bits: int) -> DataFrame:
                     sub = key if name == "w" else (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     names, begin = np.unique(part, return_index=True)
                     spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True))
-                    cols = [pa.array([order] * len(names), pa.int32()), pa.array(names), pa.array([row["seg"]] * len(names), pa.int64()), pa.array([sub[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([_pack(n[a:b]) for a, b in spans], pa.binary())]
+                    cols = [pa.array([order] * len(names), pa.int32()), pa.array(names), pa.array([row["seg"]] * len(names), pa.int64()), pa.array([sub[a:b].tobytes() if name == "w" else _shrunk(sub[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(n[a:b]) for a, b in spans], pa.binary())]
                     yield pa.record_batch(cols, names=["ord", "part", "seg", "keys", "n"])
 
     return held.mapInArrow(cut, ASKED)
@@ -191,10 +202,11 @@ def answers(asked: DataFrame) -> DataFrame:
     """Corpus counts of the contexts asked for, in the order asked (see ``ANSWER``); known: distinct contexts of the part with a count, on one of its rows."""
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        kind = np.uint64 if ORDERS[part["ord"].iloc[0]] == "w" else np.uint32
-        blobs = [np.frombuffer(k, kind) for k in part["keys"]]
+        counts = [_unpack(n) for n in part["n"]]
+        whole = ORDERS[part["ord"].iloc[0]] == "w"
+        blobs = [np.frombuffer(k, np.uint64) if whole else _grown(k, len(n)) for k, n in zip(part["keys"], counts, strict=True)]
         _, at = np.unique(np.concatenate(blobs), return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unpack(n) for n in part["n"]])).astype(np.int64)
+        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
         out, upto = [], 0
         for b in blobs:
             out.append(_pack(total[at[upto : upto + len(b)]]))
@@ -248,7 +260,6 @@ class Tokens:
         c = self.context
         c["w"] = tokens - np.where(seg.train, (seg.ends - seg.start)[seg.doc], 0)
         c["pw"] = np.where(first, texts - seg.train, after(self.seen["w"], seg.start, 0))
-        c["ppw"] = after(self.seen["pw"], seg.start, 0)
         c["sw"] = self.seen.pop("s")
         # words that no other text has: told by the text's own earlier ones
         self.new = self.seen["w"] <= 0
@@ -292,7 +303,7 @@ class Levels:
         size = _log2(c)
         last = after(self.level, start, 0)
         third = after(last, start, 0)
-        history = (last * 6 + third) * 6 + after(third, start, 0)
+        history = (last * 6 + third) * 6 + after(third, start, 0)  # the last three outcomes, of five each
         before = np.concatenate([[START], seg.hash[seg.code[max(0, a - 1) : b - 1]]])[-n:].astype(np.uint64)
         before[start] = START
         own = size[token, level]
@@ -533,6 +544,7 @@ def score(documents: DataFrame) -> DataFrame:
     train_texts = F.filter(ends, lambda x: x["held"] == F.lit(False))
     all_tokens, tokens, texts = held.select(F.element_at("ends", -1).alias("n"), F.aggregate(train_texts, F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["b"]).alias("t"), F.size(train_texts).alias("d")).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "d")]).first()
     told = stored(answers(ask(held, max(0, int(np.ceil(np.log2(max(1, all_tokens / PART_KEYS))))))), "answers")
+    sc._jvm.System.gc()  # the exchange of contexts is the largest: see ``common.dropped``
     distinct = told.where(F.col("ord") == ORDERS.index("w")).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     every = stored(counted(held, told), "counted")
     dropped(held)
