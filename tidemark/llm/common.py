@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,14 +36,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once nothing reads it any more.
-
-    Shuffle files go when the driver's garbage collector finds their plans unused, so it is asked for here: steps with many exchanges would
-    otherwise fill the executors' disks.
-    """
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_path)
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    df.sparkSession._jvm.System.gc()
+    df.sparkSession._jvm.System.gc()  # see ``freed``
+
+
+def freed(spark: SparkSession) -> None:
+    """Let the shuffle files of plans that nothing refers to go now.
+
+    Spark deletes them when the driver's garbage collector finds the plans unused. Steps with large exchanges would otherwise fill the
+    executors' disks first. References from Python go in one collection, the plans in the next, and files a moment later.
+    """
+    gc.collect()
+    for _ in range(3):
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 #: Names of working columns start so.

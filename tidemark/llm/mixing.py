@@ -2,7 +2,7 @@
 
 A text is the sequence of its lower-cased words and one end. Every word is coded by bits: from the longest context down, one bit says
 whether the word was seen in it (after the word before, after the last letters of the word before, anywhere, earlier in this text); the first
-yes gives the word by its share of the context's count. A word never seen is spelled by the bits of its bytes and a terminator. Each bit is predicted by several hashed-context
+yes gives the word by its share of the context's count. A word never seen is spelled by the bits of its bytes (five of each frequent one, see ``SYMBOL``) and a terminator. Each bit is predicted by several hashed-context
 predictors; gated weights mix their stretched probabilities and a table over (gate, mixed probability) refines the result. Weights, predictors and
 refinement learn online over the whole training stream: each bit is predicted first and learned then. The total is in log10; bits per byte follow from it.
 
@@ -26,6 +26,7 @@ repeated rows get equal results up to the order of their neighbours in a segment
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, stored
+from tidemark.llm.common import dropped, freed, stored
 
 SEGMENT_TOKENS = 1_000_000
 #: Distinct contexts of a part on average.
@@ -45,7 +46,7 @@ ORDERS = ("w", "pw", "sw", "s")
 SUFFIX = 3
 #: Levels from the longest context down; the last is the text itself (words that no other text has), then spelling.
 LEVELS = ("pw", "sw", "w", "own")
-#: Slots of the spelling predictors: one byte before (exact), then hashed: two, three bytes, word so far. Letters need no more however large the corpus.
+#: Slots of the spelling predictors: one, two, three bytes before, word so far. Letters need no more however large the corpus.
 SIZES = (1 << 16, 1 << 18, 1 << 19, 1 << 20)
 #: Slots of each of the level predictors.
 LEVEL_SLOTS, LEVEL_INPUTS = 1 << 14, 4
@@ -60,16 +61,31 @@ BATCH, WORDS = 1 << 15, 2048
 SEGMENT = "seg bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, ends array<bigint>, words binary, code binary"
 
 
+def _planes(code: np.ndarray) -> bytes:
+    """Compressed word numbers: lower two bytes, then the upper ones, which are mostly zero."""
+    whole = code.astype("<i4").view("<u2")
+    return zlib.compress(whole[::2].tobytes() + whole[1::2].tobytes(), 1)
+
+
+def _code(blob: bytes) -> np.ndarray:
+    halves = np.frombuffer(zlib.decompress(blob), "<u2").reshape(2, -1).astype(np.int32)
+    return halves[0] | halves[1] << 16
+
+
 def segments(documents: DataFrame) -> DataFrame:
     """Segments (see ``SEGMENT``) of whole texts. The end token is the empty word."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        fresh = lambda: ([], [], [], [], {b"": 0}, [], 0)
+
+        def fresh() -> tuple:
+            lookup = defaultdict(int, {b"": 0})
+            lookup.default_factory = lookup.__len__  # a new word gets the next number
+            return [], [], [], [], lookup, [], 0
 
         def made() -> pa.RecordBatch:
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            cols = [pa.array([number], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int64()), one(ends, pa.int64()), pa.array([b" ".join(lookup)], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary())]
+            cols = [pa.array([number], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int64()), one(ends, pa.int64()), pa.array([zlib.compress(b" ".join(lookup), 1)], pa.binary()), pa.array([_planes(np.concatenate(codes))], pa.binary())]
             return pa.record_batch(cols, names=[f.split()[0] for f in SEGMENT.split(", ")])
 
         ids, held, sizes, ends, lookup, codes, n = fresh()
@@ -82,7 +98,7 @@ def segments(documents: DataFrame) -> DataFrame:
                     yield made()
                     number += 1
                     ids, held, sizes, ends, lookup, codes, n = fresh()
-                codes.append(np.fromiter((lookup.setdefault(x, len(lookup)) for x in w), np.int32, len(w)))
+                codes.append(np.fromiter(map(lookup.__getitem__, w), np.int32, len(w)))
                 n += len(w)
                 ids.append(doc_id.as_py())
                 held.append(out.as_py())
@@ -114,8 +130,8 @@ class Segment:
     def __init__(self, row: dict):
         import xxhash
 
-        self.words = row["words"].split(b" ")
-        self.code = np.frombuffer(row["code"], np.int32)
+        self.words = zlib.decompress(row["words"]).split(b" ")
+        self.code = _code(row["code"])
         self.ends = np.asarray(row["ends"], np.int64)
         self.start = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.ends)), self.ends - self.start)
@@ -351,19 +367,27 @@ def contexts(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.n
 FIRST = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SIZES)[:-1]]))
 
 
+#: A byte's first five bits tell frequent ones apart: letters, the terminator, three signs and the first byte of Latin letters with accents; the last code is any other byte, whose own eight bits follow.
+FREQUENT = b"abcdefghijklmnopqrstuvwxyz .,-\xc3"
+SYMBOL = np.full(256, len(FREQUENT), np.int64)
+SYMBOL[list(FREQUENT)] = np.arange(len(FREQUENT))
+
+
 def spell_bits(words: list[bytes], tails: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(word, bit, slots) for the eight bits of all bytes. A hashed context has a block of 16 slots for each half of a byte, so its bits lie together."""
+    """(word, bit, slots) of every bit. A context has a block of 32 slots for the first five bits, so these lie together."""
     data, word, place = flat(words, tails)
     at, ctx = contexts(data, place)
     byte, word = data[at], word[at]
-    for half in (0, 1):
-        high = (byte >> 4).astype(np.uint64) + np.uint64(1) if half else np.uint64(0)
-        base = [FIRST[k] + 16 * (mixed_hash(ctx[k] + high * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(SIZES[k] // 16 - 1)).astype(np.int64) for k in (1, 2, 3)]
-        value = byte & 15 if half else byte >> 4
-        for k in range(4):
-            node = (value | 16) >> (4 - k)
-            whole = (byte | 256) >> (8 - k - 4 * half)
-            yield word, (value >> (3 - k)) & 1, [(ctx[0] << np.uint64(8)).astype(np.int64) + whole, *(b + node for b in base)]
+    base = [FIRST[k] + 32 * (mixed_hash(c + np.uint64(k)) & np.uint64(SIZES[k] // 32 - 1)).astype(np.int64) for k, c in enumerate(ctx)]
+    symbol = SYMBOL[byte]
+    for k in range(5):
+        node = (symbol | 32) >> (5 - k)
+        yield word, (symbol >> (4 - k)) & 1, [b + node for b in base]
+    rare = np.flatnonzero(symbol == len(FREQUENT))
+    byte, word, ctx = byte[rare], word[rare], [c[rare] for c in ctx]
+    for k in range(8 if len(rare) else 0):
+        node = ((byte | 256) >> (8 - k)).astype(np.uint64)
+        yield word, (byte >> (7 - k)) & 1, [FIRST[j] + (mixed_hash(c + node * np.uint64(0xBF58476D1CE4E5B9)) & np.uint64(SIZES[j] - 1)).astype(np.int64) for j, c in enumerate(ctx)]
 
 
 class Mixer:
@@ -415,11 +439,9 @@ class Mixer:
         for k in range(self.inputs):
             self.weights[:, k] += rate * np.bincount(gate, error[:, k], self.gates) / (n + 50)
         low, part = self.place(mixed)
-        cell, size = gate * STEPS + low, self.gates * STEPS
-        for at, share in ((cell, 1 - part), (cell + 1, part)):
-            total = np.bincount(at, share, size)
-            wrong = np.bincount(at, share * (bit - self.refine.ravel()[at]), size)
-            self.refine += (wrong / (total + 100)).reshape(self.refine.shape)
+        cell, size = gate * STEPS + low + (part > 0.5), self.gates * STEPS
+        wrong = np.bincount(cell, bit - self.refine.ravel()[cell], size)
+        self.refine += (wrong / (np.bincount(cell, minlength=size) + 100)).reshape(self.refine.shape)
         np.clip(self.refine, 1e-5, 1 - 1e-5, out=self.refine)
         for s in slots:
             np.add.at(self.counts.reshape(-1), 2 * s + bit, np.float32(1))
@@ -544,7 +566,7 @@ def score(documents: DataFrame) -> DataFrame:
     train_texts = F.filter(ends, lambda x: x["held"] == F.lit(False))
     all_tokens, tokens, texts = held.select(F.element_at("ends", -1).alias("n"), F.aggregate(train_texts, F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["b"]).alias("t"), F.size(train_texts).alias("d")).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "d")]).first()
     told = stored(answers(ask(held, max(0, int(np.ceil(np.log2(max(1, all_tokens / PART_KEYS))))))), "answers")
-    sc._jvm.System.gc()  # the exchange of contexts is the largest: see ``common.dropped``
+    freed(documents.sparkSession)  # the exchange of contexts is the largest
     distinct = told.where(F.col("ord") == ORDERS.index("w")).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     every = stored(counted(held, told), "counted")
     dropped(held)
