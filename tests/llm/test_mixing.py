@@ -140,7 +140,7 @@ def test_levels_and_scores_against_plain_loops(spark, monkeypatch):
                     at = [s[j] for s in slots]
                     own = not seg.held[seg.doc[t]]
                     left = [max(0, model.spelling.counts[s][b] - (own and bit[j] == b)) for s in at for b in (0, 1)]
-                    gate = X.spell_gate([np.array([left[2 * i] + left[2 * i + 1]]) for i in range(4)])[0]
+                    gate = X.spell_gate([np.array([left[2 * i] + left[2 * i + 1]]) for i in range(len(at))])[0]
                     cost[t] += chance(model.spelling, at, gate, bit[j], own)
         assert list(got) == pytest.approx(cost, abs=1e-4)
     assert used == set(range(4))

@@ -25,7 +25,6 @@ repeated rows get equal results up to the order of their neighbours in a segment
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,10 +45,10 @@ ORDERS = ("w", "pw", "sw", "s")
 SUFFIX = 3
 #: Levels from the longest context down; the last is the text itself (words that no other text has), then spelling.
 LEVELS = ("pw", "sw", "w", "own")
-#: Slots of the spelling predictors: one, two, three bytes before, word so far. Letters need no more however large the corpus.
-SIZES = (1 << 16, 1 << 18, 1 << 19, 1 << 20)
+#: Slots of the spelling predictors: one byte before, three bytes before, word so far. Letters need no more however large the corpus.
+SIZES = (1 << 16, 1 << 19, 1 << 20)
 #: Slots of each of the level predictors.
-LEVEL_SLOTS, LEVEL_INPUTS = 1 << 14, 4
+LEVEL_SLOTS, LEVEL_INPUTS = 1 << 14, 3
 LEVEL_GATES, SPELL_GATES = len(LEVELS) * 16, 64
 STEPS = 33
 SLICE = 1 << 16
@@ -61,14 +60,22 @@ BATCH, WORDS = 1 << 15, 2048
 SEGMENT = "seg bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, ends array<bigint>, words binary, code binary"
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _full(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 def _planes(code: np.ndarray) -> bytes:
     """Compressed word numbers: lower two bytes, then the upper ones, which are mostly zero."""
     whole = code.astype("<i4").view("<u2")
-    return zlib.compress(whole[::2].tobytes() + whole[1::2].tobytes(), 1)
+    return _squeezed(whole[::2].tobytes() + whole[1::2].tobytes())
 
 
 def _code(blob: bytes) -> np.ndarray:
-    halves = np.frombuffer(zlib.decompress(blob), "<u2").reshape(2, -1).astype(np.int32)
+    halves = np.frombuffer(_full(blob), "<u2").reshape(2, -1).astype(np.int32)
     return halves[0] | halves[1] << 16
 
 
@@ -85,13 +92,13 @@ def segments(documents: DataFrame) -> DataFrame:
 
         def made() -> pa.RecordBatch:
             one = lambda values, kind: pa.array([values], pa.list_(kind))
-            cols = [pa.array([number], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int64()), one(ends, pa.int64()), pa.array([zlib.compress(b" ".join(lookup), 1)], pa.binary()), pa.array([_planes(np.concatenate(codes))], pa.binary())]
+            cols = [pa.array([number], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(sizes, pa.int64()), one(ends, pa.int64()), pa.array([_squeezed(b" ".join(lookup))], pa.binary()), pa.array([_planes(np.concatenate(codes))], pa.binary())]
             return pa.record_batch(cols, names=[f.split()[0] for f in SEGMENT.split(", ")])
 
         ids, held, sizes, ends, lookup, codes, n = fresh()
         for batch in batches:
-            for doc_id, out, text in zip(*(batch.column(c) for c in range(3)), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for doc_id, out, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                raw = raw.as_py() or b""
                 w = raw.lower().split()
                 w.append(b"")
                 if n and n + len(w) > SEGMENT_TOKENS:
@@ -100,8 +107,8 @@ def segments(documents: DataFrame) -> DataFrame:
                     ids, held, sizes, ends, lookup, codes, n = fresh()
                 codes.append(np.fromiter(map(lookup.__getitem__, w), np.int32, len(w)))
                 n += len(w)
-                ids.append(doc_id.as_py())
-                held.append(out.as_py())
+                ids.append(doc_id)
+                held.append(out)
                 sizes.append(len(raw))
                 ends.append(n)
         if ids:
@@ -130,7 +137,7 @@ class Segment:
     def __init__(self, row: dict):
         import xxhash
 
-        self.words = zlib.decompress(row["words"]).split(b" ")
+        self.words = _full(row["words"]).split(b" ")
         self.code = _code(row["code"])
         self.ends = np.asarray(row["ends"], np.int64)
         self.start = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
@@ -172,11 +179,11 @@ ANSWER = "ord int, part bigint, seg bigint, n binary, known bigint"
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
+    return _squeezed(x.astype("<u4").tobytes())
 
 
 def _unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64)
+    return np.frombuffer(_full(x), "<u4").astype(np.int64)
 
 
 def _shrunk(keys: np.ndarray) -> bytes:
@@ -320,15 +327,12 @@ class Levels:
         last = after(self.level, start, 0)
         third = after(last, start, 0)
         history = (last * 6 + third) * 6 + after(third, start, 0)  # the last three outcomes, of five each
-        before = np.concatenate([[START], seg.hash[seg.code[max(0, a - 1) : b - 1]]])[-n:].astype(np.uint64)
-        before[start] = START
         own = size[token, level]
         self.gate = level * 16 + own
         lower = size[token, np.minimum(level + 1, len(LEVELS) - 1)]
         base = [
             (self.gate * 16 + lower).astype(np.uint64),
             ((history[token] * 16 + own) * 8 + level).astype(np.uint64),
-            before[token] * np.uint64(8) + level.astype(np.uint64),
             seg.tails[seg.tail[a:b]][token] * np.uint64(128) + self.gate.astype(np.uint64),
         ]
         self.slots = [(mixed_hash(x + np.uint64(17 * k)) & np.uint64(LEVEL_SLOTS - 1)).astype(np.int64) + k * LEVEL_SLOTS for k, x in enumerate(base)]
@@ -354,14 +358,14 @@ def flat(words: list[bytes], tails: list[bytes]) -> tuple[np.ndarray, np.ndarray
 def contexts(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Positions of the bytes to code, and per predictor a hash of what comes before: bytes reach into the word before, the word so far doesn't."""
     at = np.flatnonzero(place >= 0)
-    one, two, three = (data[at - k] for k in (1, 2, 3))
-    pairs, triples = one | two << 8, one | two << 8 | three << 16
+    one = data[at - 1]
+    triples = one | data[at - 2] << 8 | data[at - 3] << 16
     power = np.multiply.accumulate(np.full(int(place.max(initial=0)) + 1, 0xD6E8FEB86659FD93, np.uint64))
     total = np.cumsum(np.where(place >= 0, (data + 1).astype(np.uint64) * power[np.maximum(place, 0)], np.uint64(0)), dtype=np.uint64)
     prior = np.concatenate([np.zeros(1, np.uint64), total])[:-1]
     begin = at - place[at]
     so_far = prior[at] - prior[begin]
-    return at, [one.astype(np.uint64), mixed_hash(pairs.astype(np.uint64) + np.uint64(1)), mixed_hash(triples.astype(np.uint64) + np.uint64(7)), mixed_hash(so_far + np.uint64(13))]
+    return at, [one.astype(np.uint64), mixed_hash(triples.astype(np.uint64) + np.uint64(7)), mixed_hash(so_far + np.uint64(13))]
 
 
 FIRST = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SIZES)[:-1]]))
@@ -402,7 +406,7 @@ class Mixer:
 
     def inputs_of(self, slots: list[np.ndarray], bit: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Stretched probabilities, and how often each slot was seen. ``own`` marks bits that the counts have learned from this very text: they are taken out."""
-        stretch, seen = np.empty((len(slots[0]), len(slots)), np.float32), []
+        stretch, seen = np.empty((len(slots), len(slots[0])), np.float32).T, []
         table = self.counts.view(np.uint64)[:, 0]
         for k, at in enumerate(slots):
             both = table[at].view(np.float32).reshape(-1, 2)
@@ -418,8 +422,8 @@ class Mixer:
 
     def place(self, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.clip(mixed * 2 + STEPS // 2, 0, STEPS - 1.001)
-        low = x.astype(np.int64)
-        return low, x - low
+        low = x.astype(np.int32)
+        return low, x - low.astype(np.float32)
 
     def probability(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a one: the mean of the mixed and the refined probability."""
@@ -433,14 +437,14 @@ class Mixer:
         stretch, seen = self.inputs_of(slots)
         gate = gate(seen) if callable(gate) else gate
         mixed = self.mix(stretch, gate)
-        n = np.bincount(gate, minlength=self.gates)
-        error = (bit - 1 / (1 + np.exp(-mixed)))[:, None] * stretch
+        n, y = np.bincount(gate, minlength=self.gates), bit.astype(np.float32)
+        error = y - 1 / (1 + np.exp(-mixed))
         rate = 0.5 / (1 + self.seen / 4_000_000)
         for k in range(self.inputs):
-            self.weights[:, k] += rate * np.bincount(gate, error[:, k], self.gates) / (n + 50)
+            self.weights[:, k] += rate * np.bincount(gate, error * stretch[:, k], self.gates) / (n + 50)
         low, part = self.place(mixed)
         cell, size = gate * STEPS + low + (part > 0.5), self.gates * STEPS
-        wrong = np.bincount(cell, bit - self.refine.ravel()[cell], size)
+        wrong = np.bincount(cell, y - self.refine.ravel()[cell], size)
         self.refine += (wrong / (np.bincount(cell, minlength=size) + 100)).reshape(self.refine.shape)
         np.clip(self.refine, 1e-5, 1 - 1e-5, out=self.refine)
         for s in slots:
@@ -457,7 +461,7 @@ class Mixer:
 
 def spell_gate(seen: list[np.ndarray]) -> np.ndarray:
     """How often the word so far and the three bytes before were seen."""
-    return _log2(seen[3]) * 4 + _log2(seen[2]) // 4
+    return _log2(seen[2]) * 4 + _log2(seen[1]) // 4
 
 
 class Model:
@@ -537,20 +541,20 @@ def train(every: DataFrame, tokens: int, texts: int) -> Model:
         for part in range(-(-len(vector) // SLICE)):
             piece = vector[part * SLICE : (part + 1) * SLICE]
             if piece.any():
-                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([zlib.compress(piece.astype(np.float32).tobytes(), 1)], pa.binary())], names=["part", "data"])
+                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([_squeezed(piece.astype(np.float32).tobytes())], pa.binary())], names=["part", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                piece = np.frombuffer(zlib.decompress(data.as_py()), np.float32).astype(np.float64)
+                piece = np.frombuffer(_full(data.as_py()), np.float32).astype(np.float64)
                 total[part] = total[part] + piece if part in total else piece
         for part, piece in total.items():
-            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["part", "data"])
+            yield pa.record_batch([pa.array([part], pa.int64()), pa.array([_squeezed(piece.tobytes())], pa.binary())], names=["part", "data"])
 
     vector = Model().vector() * 0
     for row in every.mapInArrow(work, schema).repartition("part").mapInArrow(add, schema).collect():  # one vector of fixed size
-        piece = np.frombuffer(zlib.decompress(row["data"]))
+        piece = np.frombuffer(_full(row["data"]))
         vector[row["part"] * SLICE : row["part"] * SLICE + len(piece)] = piece
     return Model.of(vector)
 
