@@ -1,7 +1,7 @@
 """Snapshot against state: identity, one full outer join, guard, roll-forward, events and reports.
 
 Every function takes and returns DataFrames and an explicit ``as_of``. The diff is partitioned by (source_id, key), never by
-source alone; per-source figures are partial aggregates joined back by broadcast (one row a source).
+source alone; per-source figures are partial aggregates joined back, one row a source, which Spark broadcasts while they are small.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def guard(changes: DataFrame, sizes: DataFrame, sources: DataFrame, ratio: float
 def flagged(changes: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Changes with ``accepted`` and ``may_close`` of their source."""
     v = verdicts.select("source_id", "accepted", (F.col("accepted") & F.col("complete") & ~F.col("rebaseline")).alias("may_close"))
-    return changes.join(F.broadcast(v), "source_id")
+    return changes.join(v, "source_id")
 
 
 def roll_forward(flags: DataFrame, as_of: Column) -> DataFrame:
@@ -110,6 +110,10 @@ def roll_forward(flags: DataFrame, as_of: Column) -> DataFrame:
     return kept.select("source_id", "key", *[cols[n].cast(t).alias(n) for n, t in types[2:]])
 
 
+def state_columns() -> list[str]:
+    return [x.strip().split()[0] for x in STATE.split(",")]
+
+
 def change_events(flags: DataFrame, as_of: Column, cycle_id: str) -> DataFrame:
     """Opened, updated, reposted, closed and vanished-while-claimed events with their payload columns and JSON."""
     ok = flags.where("accepted")
@@ -151,7 +155,7 @@ def totals(report: DataFrame) -> DataFrame:
 
 def mark_polled(sources: DataFrame, status: DataFrame, as_of: Column) -> DataFrame:
     """Failure counter, etag and last poll. ``status``: (source_id, status ok | not_modified | failed | refused, etag)."""
-    j = sources.join(F.broadcast(status.withColumnRenamed("etag", "new_etag")), "source_id", "left")
+    j = sources.join(status.withColumnRenamed("etag", "new_etag"), "source_id", "left")
     good, bad = F.col("status").isin("ok", "not_modified"), F.col("status").isin("failed", "refused")
     return j.withColumns(
         {
@@ -167,13 +171,23 @@ def high_fit(scored: DataFrame, as_of: Column, threshold: int = 75, fresh_hours:
     return scored.where((F.col("fit_score") >= threshold) & F.col("posted_at_exact") & (hours <= fresh_hours)).withColumn("age_hours", hours)
 
 
+def is_stale(as_of: Column, days: int) -> Column:
+    """Open, claimed over ``days`` ago, not applied to, and not nudged yet."""
+    return (F.col("state") == "open") & F.col("claimed_by").isNotNull() & F.col("applied_at").isNull() & F.col("stale_notified_at").isNull() & F.coalesce(F.col("claimed_at") < as_of - F.make_interval(days=F.lit(days)), F.lit(False))
+
+
+def is_due(as_of: Column, days: int) -> Column:
+    """Open, not applied to, closing within ``days``, and not nudged yet."""
+    soon = (F.col("closes_at") > as_of) & (F.col("closes_at") <= as_of + F.make_interval(days=F.lit(days)))
+    return (F.col("state") == "open") & F.col("applied_at").isNull() & F.col("deadline_notified_at").isNull() & F.coalesce(soon, F.lit(False))
+
+
 def stale_sweep(state: DataFrame, as_of: Column, days: int) -> DataFrame:
-    return state.where((F.col("state") == "open") & F.col("claimed_at").isNotNull() & F.col("applied_at").isNull() & F.col("stale_notified_at").isNull() & (F.col("claimed_at") < as_of - F.make_interval(days=F.lit(days)))).withColumn("days", elapsed_days(F.col("claimed_at"), as_of))
+    return state.where(is_stale(as_of, days)).withColumn("days", elapsed_days(F.col("claimed_at"), as_of))
 
 
 def deadline_sweep(state: DataFrame, as_of: Column, days: int) -> DataFrame:
-    due = (F.col("closes_at") > as_of) & (F.col("closes_at") <= as_of + F.make_interval(days=F.lit(days)))
-    return state.where((F.col("state") == "open") & F.col("applied_at").isNull() & F.col("deadline_notified_at").isNull() & due).withColumn("days", elapsed_days(as_of, F.col("closes_at")))
+    return state.where(is_due(as_of, days)).withColumn("days", elapsed_days(as_of, F.col("closes_at")))
 
 
 def scoring_queue(state: DataFrame, budget: int = 25) -> DataFrame:

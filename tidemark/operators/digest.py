@@ -25,9 +25,9 @@ def split(events: DataFrame, state: DataFrame) -> DataFrame:
     return j.withColumn("route", F.when(F.col("posting").isNull(), "orphan").when(F.col("type").isin(*ALERTS), "alert").otherwise("quiet"))
 
 
-def as_digest(quiet: DataFrame, above: int = DIGEST_ABOVE) -> DataFrame:
-    """One row (n_postings, digest): more listings than ``above`` go out as one digest."""
-    return quiet.agg(F.count_distinct("source_id", "key").alias("n_postings")).withColumn("digest", F.col("n_postings") > above)
+def as_digest(quiet: DataFrame, above: int = DIGEST_ABOVE, *batch: str) -> DataFrame:
+    """(n_postings, digest), one row (a batch, if columns tell batches): more listings than ``above`` go out as one digest."""
+    return quiet.groupBy(*batch).agg(F.count_distinct("source_id", "key").alias("n_postings")).withColumn("digest", F.col("n_postings") > above)
 
 
 def location_line() -> Column:

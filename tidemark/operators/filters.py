@@ -44,7 +44,7 @@ def resolve(sources: DataFrame, specs: DataFrame) -> DataFrame:
     out = sources.select("source_id", "kind", "ident")
     for name, scope in (("d", F.lit("default")), ("k", F.concat(F.col("kind"), F.lit(":*"))), ("i", F.concat_ws(":", "kind", "ident"))):
         side = specs.select(F.col("scope").alias(f"_{name}"), F.struct(*[c for c in specs.columns if c != "scope"]).alias(name))
-        out = out.join(F.broadcast(side), scope == F.col(f"_{name}"), "left").drop(f"_{name}")
+        out = out.join(side, scope == F.col(f"_{name}"), "left").drop(f"_{name}")
     return out.select("source_id", *[F.coalesce(f"i.{c}", f"k.{c}", f"d.{c}").alias(c) for c in specs.columns if c != "scope"])
 
 
@@ -56,18 +56,17 @@ def needle(term: Column) -> Column:
 
 
 def compiled(specs: DataFrame, by: str = "source_id") -> DataFrame:
-    """Specs with needles instead of terms. Terms are exploded, so folding runs over a column of the small table."""
-    out = specs
-    for c in LISTS:
-        terms = specs.select(by, F.explode(c).alias("t")).select(by, needle(F.col("t")).alias("n")).where("n is not null")
-        sets = terms.groupBy(by).agg(F.array_sort(F.collect_set("n")).alias(f"{c}_n"))
-        out = out.join(sets, by, "left").withColumn(f"{c}_n", F.coalesce(f"{c}_n", F.array().cast("array<string>")))
-    return out
+    """Specs with needles instead of terms. All lists are unpivoted at once, so folding is one pass over a column of the small table."""
+    lists = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("terms")) for c in LISTS]))
+    terms = specs.select(by, lists.alias("l")).select(by, "l.c", F.explode("l.terms").alias("t")).select(by, "c", needle(F.col("t")).alias("n")).where("n is not null")
+    sets = terms.groupBy(by).agg(*[F.array_sort(F.collect_set(F.when(F.col("c") == c, F.col("n")))).alias(f"{c}_n") for c in LISTS])
+    none = F.array().cast("array<string>")
+    return specs.join(sets, by, "left").withColumns({f"{c}_n": F.coalesce(f"{c}_n", none) for c in LISTS})
 
 
 def matching(listings: DataFrame, specs: DataFrame, as_of: Column) -> DataFrame:
     """Every listing with ``matches``. ``specs`` is compiled, one row a source; haystacks are normalised once a row."""
-    j = listings.join(F.broadcast(specs.withColumnRenamed("remote", "mode")), "source_id", "left")
+    j = listings.join(specs.withColumnRenamed("remote", "mode"), "source_id", "left")
     j = j.withColumns({f"_h_{c}": filter_normalise(F.col(c)) for c in ("title", "company", "location")})
     hit = lambda c, field: F.exists(F.coalesce(F.col(f"{field}_n"), F.array().cast("array<string>")), lambda n: F.col(f"_h_{c}").contains(n))
     needs = lambda field: F.size(F.coalesce(F.col(field), F.array().cast("array<string>"))) > 0

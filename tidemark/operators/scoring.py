@@ -72,9 +72,9 @@ def overlap_score(profile: str) -> Column:
 
 
 def merge_scores(state: DataFrame, scored: DataFrame, as_of: Column) -> DataFrame:
-    """State with the scores of (source_id, key, result struct(score, reason)). A null result leaves the row unscored; ``scored`` is at most the queue's budget."""
+    """State with the scores of (source_id, key, result struct(score, reason)). A null result leaves the row unscored."""
     got = scored.where("result is not null").select("source_id", "key", F.col("result").alias("_r"))
-    j = state.join(F.broadcast(got), ["source_id", "key"], "left")
+    j = state.join(got, ["source_id", "key"], "left")
     new = F.col("_r").isNotNull()
     pick = lambda value, c: F.when(new, value).otherwise(F.col(c))
     return j.withColumns({"fit_score": pick(F.col("_r.score"), "fit_score"), "fit_reason": pick(F.col("_r.reason"), "fit_reason"), "fit_scored_at": pick(as_of, "fit_scored_at")}).drop("_r")

@@ -90,8 +90,8 @@ def completeness_tolerant(spark, d):
 
 
 def _snapshot(spark, d):
-    keyed = X.keyed(spark, d)
-    return keyed.where(X.in_snapshot()), X.state_of(D.first_wins(keyed.where("okey % 20 = 1")))
+    keyed = X.landed_keyed(spark, d)
+    return keyed.where(X.in_snapshot()), X.state_of(D.first_wins(keyed.where(X.in_state())))
 
 
 def seed_sources(spark, d):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import sql_company, sql_location, sql_title, with_keys
+from tidemark.sources.landing import landed
 
 AS_OF = "1998-06-01 00:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its part and supplier as listings; the nation is the source."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey")).join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
-    pos = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
+    # the place in the feed: order and line, then part, supplier and date; no window over the few sources
+    day = F.datediff("l_shipdate", F.lit("1970-01-01"))
+    pos = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_048_576 + (F.col("l_partkey") * 31 + F.col("l_suppkey") + day * 7) % 1_048_576
     n, name = F.col("l_linenumber"), F.col("p_name")
     c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
     title = F.when(n == 1, c(name, " (m/w/d)")).when(n == 2, c(name, " - Full-time")).when(n == 3, c("URGENT: ", name)).when(n == 4, c(name, " REQ-10004")).when(n == 5, c(name, " - Remote")).when(n == 6, c("Senior ", name)).otherwise(name)
@@ -46,6 +49,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("description"),
         F.col("l_orderkey").alias("okey"),
         F.col("l_shipdate").cast("timestamp").alias("shipped"),
+        # the same for all copies of a posting: decides which postings come and go
+        ((F.col("l_suppkey") * 7 + F.ascii(name) * 3 + F.length(name)) % 20).alias("lot"),
     )
 
 
@@ -53,9 +58,20 @@ def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_keys(listings(spark, sf_dir))
 
 
+def landed_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed listings, landed: both sides of the diff and the sizes read them without keying again."""
+    return landed(keyed(spark, sf_dir), "keyed")
+
+
 def in_snapshot():
-    o, s = F.col("okey"), F.col("source_id")
-    return o.isNotNull() & (o % 20).isin(1, 2) & (o % 60 != 1) & (s != 1) & ((s % 5 != 0) | (o % 60 == 21))
+    """All listings but those that vanish: source 1 is empty, every fifth source loses most, source 20 less than half, the others a few."""
+    s, lot = F.col("source_id"), F.col("lot")
+    return (s != 1) & F.when(s == 20, lot >= 8).when(s % 5 == 0, lot >= 12).otherwise(lot != 3)
+
+
+def in_state():
+    """All listings but the new ones."""
+    return F.col("lot") != 2
 
 
 def state_of(first: DataFrame) -> DataFrame:
@@ -65,14 +81,14 @@ def state_of(first: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     return first.select(
         "source_id", "key", "external_id",
-        F.when(o % 100 == 1, F.concat("title", F.lit(" (old)"))).otherwise(F.col("title")).alias("title"),
+        F.when(o % 10 == 1, F.concat("title", F.lit(" (old)"))).otherwise(F.col("title")).alias("title"),
         "company", "location", "remote", "department", "url",
         F.coalesce("posted_at", seen).alias("posted_at"), F.col("posted_at").isNotNull().alias("posted_at_exact"), "closes_at",
         seen.alias("first_seen"), seen.alias("last_seen"),
-        F.when(o % 140 == 1, "closed").otherwise("open").alias("state"),
-        F.when(o % 140 == 1, as_of() - F.make_interval(days=F.lit(10))).alias("closed_at"),
+        F.when(o % 14 == 1, "closed").otherwise("open").alias("state"),
+        F.when(o % 14 == 1, as_of() - F.make_interval(days=F.lit(10))).alias("closed_at"),
         F.lit(0).alias("repost_count"), "description", none("int").alias("fit_score"), none("string").alias("fit_reason"), none("timestamp").alias("fit_scored_at"), none("string").alias("message_id"),
-        F.when(o % 60 == 1, "user").alias("claimed_by"), F.when(o % 60 == 1, F.col("shipped")).alias("claimed_at"), F.when(o % 180 == 1, F.col("shipped")).alias("applied_at"),
+        F.when(o % 6 == 1, "user").alias("claimed_by"), F.when(o % 6 == 1, F.col("shipped")).alias("claimed_at"), F.when(o % 18 == 1, F.col("shipped")).alias("applied_at"),
         none("timestamp").alias("stale_notified_at"), none("timestamp").alias("deadline_notified_at"),
     )
 
@@ -80,7 +96,7 @@ def state_of(first: DataFrame) -> DataFrame:
 # ---- the same in DuckDB SQL ----
 LISTINGS_SQL = """
 SELECT s_nationkey::BIGINT AS source_id,
-  row_number() OVER (PARTITION BY s_nationkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS pos,
+  (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 31 + l_suppkey + date_diff('day', DATE '1970-01-01', l_shipdate::DATE) * 7) % 1048576 AS pos,
   concat(l_orderkey, '-', l_linenumber) AS external_id,
   CASE l_linenumber WHEN 1 THEN p_name || ' (m/w/d)' WHEN 2 THEN p_name || ' - Full-time' WHEN 3 THEN 'URGENT: ' || p_name WHEN 4 THEN p_name || ' REQ-10004' WHEN 5 THEN p_name || ' - Remote' WHEN 6 THEN 'Senior ' || p_name ELSE p_name END AS title,
   s_name || CASE l_returnflag WHEN 'A' THEN ' GmbH' WHEN 'R' THEN ', Inc.' ELSE '' END AS company,
@@ -88,7 +104,7 @@ SELECT s_nationkey::BIGINT AS source_id,
   CASE WHEN l_linenumber = 7 THEN true WHEN l_linestatus = 'O' THEN false END AS remote,
   p_type AS department, concat('https://boards.example/', l_suppkey, '/', l_orderkey, '-', l_linenumber) AS url,
   CASE WHEN l_tax <> 0 THEN l_shipdate::TIMESTAMP END AS posted_at, l_shipdate::TIMESTAMP + to_days(l_quantity::INT) AS closes_at,
-  l_orderkey AS okey, l_shipdate::TIMESTAMP AS shipped
+  l_orderkey AS okey, l_shipdate::TIMESTAMP AS shipped, (l_suppkey * 7 + ascii(p_name) * 3 + length(p_name)) % 20 AS lot
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 """
 KEYED_SQL = f"""
@@ -96,22 +112,33 @@ listings AS ({LISTINGS_SQL}),
 norm AS (SELECT *, {sql_title("title")} AS nt, {sql_company("company")} AS nc, {sql_location("location", "remote")} AS nl FROM listings),
 cut AS (SELECT *, CASE WHEN nl NOT IN ('', 'remote') AND ends_with(nt, ' ' || nl) AND trim(left(nt, length(nt) - length(nl) - 1)) <> '' THEN trim(left(nt, length(nt) - length(nl) - 1)) ELSE nt END AS ct FROM norm),
 hashed AS (SELECT *, sha256(nc || chr(0) || ct || chr(0) || nl) AS key_full FROM cut),
-keyed AS (SELECT *, left(key_full, 12) AS key FROM hashed)
+keyed AS MATERIALIZED (SELECT *, left(key_full, 12) AS key FROM hashed)
 """
-SNAP_WHERE = "okey % 20 IN (1, 2) AND okey % 60 <> 1 AND source_id <> 1 AND (source_id % 5 <> 0 OR okey % 60 = 21)"
-DIFF_SQL = f"""{KEYED_SQL},
-fetched AS (SELECT * FROM keyed WHERE {SNAP_WHERE} QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY pos) = 1),
-before AS (SELECT * FROM keyed WHERE okey % 20 = 1 QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY pos) = 1),
-state AS (SELECT source_id, key, external_id, CASE WHEN okey % 100 = 1 THEN title || ' (old)' ELSE title END AS title, company, location, remote, department, url,
-  coalesce(posted_at, TIMESTAMP '1998-05-01') AS posted_at, posted_at IS NOT NULL AS posted_at_exact, closes_at, CASE WHEN okey % 140 = 1 THEN 'closed' ELSE 'open' END AS state,
-  CASE WHEN okey % 140 = 1 THEN TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY END AS closed_at, CASE WHEN okey % 60 = 1 THEN 'user' END AS claimed_by, CASE WHEN okey % 60 = 1 THEN shipped END AS claimed_at, CASE WHEN okey % 180 = 1 THEN shipped END AS applied_at FROM before),
+SNAP_WHERE = "source_id <> 1 AND CASE WHEN source_id = 20 THEN lot >= 8 WHEN source_id % 5 = 0 THEN lot >= 12 ELSE lot <> 3 END"
+STATE_WHERE = "lot <> 2"
+
+
+def diff_sql(snapshot: str = SNAP_WHERE, sources: str = "SELECT n_nationkey::BIGINT AS source_id, true AS complete, false AS rebaseline FROM nation", extra: str = "") -> str:
+    """CTEs up to ``flags``. ``sources``: those that take part, (source_id, complete, rebaseline)."""
+    return f"""{KEYED_SQL}, {extra}
+live AS MATERIALIZED ({sources}),
+snap AS MATERIALIZED (SELECT keyed.* FROM keyed SEMI JOIN live USING (source_id) WHERE {snapshot}),
+fetched AS MATERIALIZED (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY pos) = 1),
+before AS (SELECT * FROM keyed WHERE {STATE_WHERE} QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY pos) = 1),
+state AS MATERIALIZED (SELECT source_id, key, external_id, CASE WHEN okey % 10 = 1 THEN title || ' (old)' ELSE title END AS title, company, location, remote, department, url,
+  coalesce(posted_at, TIMESTAMP '1998-05-01') AS posted_at, posted_at IS NOT NULL AS posted_at_exact, closes_at, CASE WHEN okey % 14 = 1 THEN 'closed' ELSE 'open' END AS state,
+  CASE WHEN okey % 14 = 1 THEN TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY END AS closed_at, CASE WHEN okey % 6 = 1 THEN 'user' END AS claimed_by, CASE WHEN okey % 6 = 1 THEN shipped END AS claimed_at, CASE WHEN okey % 18 = 1 THEN shipped END AS applied_at FROM before),
 diffed AS (SELECT coalesce(f.source_id, s.source_id) AS source_id, coalesce(f.key, s.key) AS key,
   list_filter([CASE WHEN s.title IS DISTINCT FROM f.title THEN 'title' END, CASE WHEN s.location IS DISTINCT FROM f.location THEN 'location' END, CASE WHEN s.url IS DISTINCT FROM f.url THEN 'url' END, CASE WHEN s.closes_at IS DISTINCT FROM f.closes_at THEN 'closes_at' END], lambda x: x IS NOT NULL) AS fields,
   f.key IS NOT NULL AS here, s.key IS NOT NULL AS known, s.state AS s_state, s.closed_at AS s_closed_at, s.claimed_by, s.claimed_at, s.applied_at, s.external_id AS s_ext, f.external_id AS f_ext, s.title AS s_title, f.title AS f_title, s.company AS s_company, f.company AS f_company, s.posted_at AS s_posted, f.posted_at AS f_posted
-  FROM fetched f FULL JOIN state s ON f.source_id = s.source_id AND f.key = s.key),
-changes AS (SELECT *, CASE WHEN NOT known THEN 'new' WHEN NOT here THEN CASE WHEN s_state = 'open' THEN 'vanished' ELSE 'absent' END WHEN s_state = 'closed' THEN 'reposted' WHEN len(fields) > 0 THEN 'updated' ELSE 'unchanged' END AS change FROM diffed),
-sizes AS (SELECT source_id, count(*) AS size FROM keyed WHERE {SNAP_WHERE} GROUP BY source_id),
-guard AS (SELECT n_nationkey::BIGINT AS source_id, coalesce(any_value(size), 0) AS size, count(*) FILTER (s_state = 'open') AS open_before, count(*) FILTER (change = 'vanished') AS vanished FROM nation LEFT JOIN changes ON n_nationkey = changes.source_id LEFT JOIN sizes ON n_nationkey = sizes.source_id GROUP BY n_nationkey),
-verdict AS (SELECT *, open_before = 0 OR (size > 0 AND (open_before < 4 OR vanished <= 0.5 * open_before)) AS accepted FROM guard),
-flags AS (SELECT changes.*, accepted FROM changes JOIN verdict USING (source_id))
+  FROM fetched f FULL JOIN (SELECT state.* FROM state SEMI JOIN live USING (source_id)) s ON f.source_id = s.source_id AND f.key = s.key),
+changes AS MATERIALIZED (SELECT *, CASE WHEN NOT known THEN 'new' WHEN NOT here THEN CASE WHEN s_state = 'open' THEN 'vanished' ELSE 'absent' END WHEN s_state = 'closed' THEN 'reposted' WHEN len(fields) > 0 THEN 'updated' ELSE 'unchanged' END AS change FROM diffed),
+sizes AS (SELECT source_id, count(*) AS size FROM snap GROUP BY source_id),
+per AS (SELECT source_id, count(*) FILTER (s_state = 'open') AS open_before, count(*) FILTER (change = 'vanished') AS vanished FROM changes GROUP BY source_id),
+guard AS (SELECT live.*, coalesce(size, 0) AS size, coalesce(open_before, 0) AS open_before, coalesce(vanished, 0) AS vanished FROM live LEFT JOIN per USING (source_id) LEFT JOIN sizes USING (source_id)),
+verdict AS MATERIALIZED (SELECT *, rebaseline OR NOT complete OR open_before = 0 OR (size > 0 AND (open_before < 4 OR vanished <= 0.5 * open_before)) AS accepted FROM guard),
+flags AS MATERIALIZED (SELECT changes.*, accepted, accepted AND complete AND NOT rebaseline AS may_close FROM changes JOIN verdict USING (source_id))
 """
+
+
+DIFF_SQL = diff_sql()

@@ -10,25 +10,22 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import diff as D
 from tidemark.operators import filters as FL
-from tidemark.plans import boards
+from tidemark.plans import boards, cycles, payloads
 from tidemark.plans import fixtures as X
 
-CONFIG = {
-    "default": {"titleNone": ["Senior"], "remote": "include", "maxAgeDays": 1200},
-    "perSource": {"nation:*": {"locationNone": ["|china|"]}, "nation:3": {"titleNone": [], "titleAny": ["|a", "e|"], "remote": "only"}, "nation:7": {"titleNone": ["urgent", "|senior|"], "remote": "exclude"}},
-}
-
-
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), F.lit(True).alias("complete"), F.lit(False).alias("rebaseline"))
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    keyed = X.keyed(spark, sf_dir)
+    keyed = X.landed_keyed(spark, sf_dir)
     snap = keyed.where(X.in_snapshot())
-    state = X.state_of(D.first_wins(keyed.where("okey % 20 = 1")))
-    changes = D.diff(D.first_wins(snap), state)
-    return changes, snap, state
+    state = X.state_of(D.first_wins(keyed.where(X.in_state())))
+    return D.diff(D.first_wins(snap), state), snap, state
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.state_of(D.first_wins(X.keyed(spark, sf_dir).where(X.in_state())))
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +48,9 @@ def duplicate_keys(spark, d):
 
 
 def snapshot_diff(spark, d):
-    return _changes(spark, d)[0].groupBy("source_id", "change").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fields")).alias("n_fields"))
+    """Every listing of today and of the state, with what happened to it and the news in it."""
+    c = _changes(spark, d)[0]
+    return c.select("source_id", "key", "change", F.when(F.col("change").isin("updated", "reposted"), F.array_join("fields", ",")).alias("fields"), F.col("s.external_id").alias("stored_id"), F.col("f.external_id").alias("fetched_id"))
 
 
 def vanished(spark, d):
@@ -85,20 +84,21 @@ def newest_per_source(spark, d):
 
 
 def stale_sweep(spark, d):
-    return D.stale_sweep(_changes(spark, d)[2], X.as_of(), 14).select("source_id", "key", "days")
+    return D.stale_sweep(_state(spark, d), X.as_of(), 14).select("source_id", "key", "days")
 
 
 def deadline_sweep(spark, d):
-    return D.deadline_sweep(_changes(spark, d)[2], X.as_of(), 30).select("source_id", "key", "days")
+    return D.deadline_sweep(_state(spark, d), X.as_of(), 30).select("source_id", "key", "days")
 
 
 def cross_source_matches(spark, d):
-    return D.cross_source(X.keyed(spark, d))
+    """Postings as five boards would list them, each order on one of them."""
+    return D.cross_source(X.keyed(spark, d).withColumn("source_id", F.col("okey") % 5))
 
 
 def source_health(spark, d):
     s = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), (F.col("n_nationkey") % 7).cast("int").alias("fail_count"), F.when(F.col("n_nationkey") % 3 > 0, X.as_of()).alias("last_poll"))
-    return D.source_health(s, _changes(spark, d)[2]).select("source_id", "open", "health")
+    return D.source_health(s, _state(spark, d)).select("source_id", "open", "health")
 
 
 def quiet_groups(spark, d):
@@ -115,8 +115,7 @@ def strip_html(spark, d):
 
 
 def filter_listings(spark, d):
-    src = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), F.lit("nation").alias("kind"), F.col("n_nationkey").cast("string").alias("ident"))
-    specs = FL.compiled(FL.resolve(src, FL.spec_frame(spark, CONFIG)))
+    specs = cycles.specs_of(spark, d)
     return FL.matching(X.listings(spark, d), specs, X.as_of()).where("matches").select("source_id", "pos")
 
 
@@ -128,7 +127,7 @@ def term_matches(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (posting_key, first_listing_wins, duplicate_keys, snapshot_diff, vanished, mass_delist_guard, state_roll_forward, change_events, poll_report, cycle_totals, newest_per_source, stale_sweep, deadline_sweep, cross_source_matches, source_health, quiet_groups, age_labels, strip_html, filter_listings, term_matches)
-    return {f.__name__: f for f in own} | boards.queries()
+    return {f.__name__: f for f in own} | boards.queries() | cycles.queries() | payloads.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -146,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "posting_key": keyed + "SELECT source_id, pos, key, key_full FROM keyed",
         "first_listing_wins": keyed + "SELECT source_id, key, pos, external_id FROM keyed QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY pos) = 1",
         "duplicate_keys": keyed + "SELECT source_id, key, count(*) AS copies FROM keyed GROUP BY source_id, key HAVING count(*) > 1",
-        "snapshot_diff": diff + "SELECT source_id, change, count(*) AS n, sum(len(fields))::BIGINT AS n_fields FROM changes GROUP BY source_id, change",
+        "snapshot_diff": diff + "SELECT source_id, key, change, CASE WHEN change IN ('updated', 'reposted') THEN array_to_string(fields, ',') END AS fields, s_ext AS stored_id, f_ext AS fetched_id FROM changes",
         "vanished": diff + "SELECT source_id, key FROM changes WHERE change = 'vanished'",
         "mass_delist_guard": diff + "SELECT source_id, open_before, vanished, size, accepted FROM verdict",
         "state_roll_forward": diff
@@ -162,14 +161,15 @@ def oracle_sql() -> dict[str, str]:
         "newest_per_source": f"WITH l AS ({X.LISTINGS_SQL}) SELECT source_id, pos, row_number() OVER (PARTITION BY source_id ORDER BY posted_at DESC NULLS LAST, pos)::INT AS nth FROM l QUALIFY nth <= 25",
         "stale_sweep": diff + f"SELECT source_id, key, {days('claimed_at', ts)} AS days FROM state WHERE state = 'open' AND applied_at IS NULL AND claimed_at < {ts} - INTERVAL 14 DAY",
         "deadline_sweep": diff + f"SELECT source_id, key, {days(ts, 'closes_at')} AS days FROM state WHERE state = 'open' AND applied_at IS NULL AND closes_at > {ts} AND closes_at <= {ts} + INTERVAL 30 DAY",
-        "cross_source_matches": keyed + "SELECT key_full, count(DISTINCT source_id) AS n_sources, count(*) AS n_listings FROM keyed GROUP BY key_full HAVING count(DISTINCT source_id) > 1",
+        "cross_source_matches": keyed + "SELECT key_full, count(DISTINCT okey % 5) AS n_sources, count(*) AS n_listings FROM keyed GROUP BY key_full HAVING count(DISTINCT okey % 5) > 1",
         "source_health": diff
         + "SELECT n_nationkey::BIGINT AS source_id, count(key) AS open, CASE WHEN n_nationkey % 7 >= 5 THEN 'MUTED' WHEN n_nationkey % 3 = 0 THEN 'never polled' WHEN n_nationkey % 7 > 0 THEN concat(n_nationkey % 7, ' failures') ELSE 'ok' END AS health FROM nation LEFT JOIN state ON n_nationkey = source_id AND state = 'open' GROUP BY n_nationkey",
         "quiet_groups": "SELECT user_id AS source_id, (user_id % 10)::VARCHAR AS key, string_agg(DISTINCT 'posting_' || event_type, ',' ORDER BY 'posting_' || event_type) AS types, count(*) AS n_events, min(ts) AS first_at FROM events GROUP BY user_id",
         "age_labels": f"""WITH m AS (SELECT {minutes} AS m FROM events) SELECT CASE WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h' || CASE WHEN m % 60 > 0 THEN ' ' || (m % 60) || 'm' ELSE '' END
           WHEN m < 10080 THEN (m // 1440) || 'd' || CASE WHEN (m // 60) % 24 > 0 THEN ' ' || ((m // 60) % 24) || 'h' ELSE '' END ELSE (m // 1440) || 'd' END AS age, count(*) AS n FROM m GROUP BY 1""",
         "strip_html": f"SELECT page_id, {T.sql_html('html')} AS prose FROM pages",
+        "term_matches": "WITH h AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')) || ' ' AS hay FROM documents) SELECT doc_id, lang, contains(hay, ' license') AS start, contains(hay, 'tion ') AS \"end\", contains(hay, ' the ') AS word FROM h",
         "filter_listings": f"""WITH l AS ({X.LISTINGS_SQL}), h AS (SELECT *, {h['title']} AS ht, {h['location']} AS hl FROM l)
           SELECT source_id, pos FROM h WHERE (posted_at IS NULL OR date_diff('microsecond', posted_at, {ts}) / 86400000000 <= 1200) AND NOT contains(hl, ' china ')
           AND CASE source_id WHEN 3 THEN coalesce(remote, false) AND (contains(ht, ' a') OR contains(ht, 'e ')) WHEN 7 THEN NOT coalesce(remote, false) AND NOT contains(ht, 'urgent') AND NOT contains(ht, ' senior ') ELSE NOT contains(ht, 'senior') END""",
-    } | boards.oracle_sql()
+    } | boards.oracle_sql() | cycles.oracle_sql() | payloads.oracle_sql()

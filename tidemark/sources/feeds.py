@@ -6,7 +6,7 @@ an empty snapshot. Each mapper returns listings with ``pos``, the place in the f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip_html, unescape
@@ -76,6 +76,19 @@ def paged(raw: DataFrame) -> DataFrame:
     return _listing(r, external_id=j["id"], title=j["name"], company=F.coalesce(F.nullif(j["company"]["name"], F.lit("")), F.col("ident")), location=F.nullif(place, F.lit("")), remote=j["location"]["remote"], department=F.coalesce(j["department"]["label"], j["function"]["label"]), url=F.concat(F.lit("https://jobs.smartrecruiters.com/"), F.col("ident"), F.lit("/"), j["id"]), posted_at=_ts(j["releasedDate"]))
 
 
+SECTION = "struct<text:string>"
+DETAIL = f"jobAd struct<sections:struct<jobDescription:{SECTION},qualifications:{SECTION},additionalInformation:{SECTION},companyDescription:{SECTION}>>"
+
+
+def with_details(listings: DataFrame, details: DataFrame) -> DataFrame:
+    """``listings`` described by their detail pages, (source_id, external_id, payload): the sections in a fixed order, whatever the payload's. Listings without a page keep theirs."""
+    s = F.from_json("payload", DETAIL)["jobAd"]["sections"]
+    names = ("jobDescription", "qualifications", "additionalInformation", "companyDescription")
+    parts = details.select("source_id", "external_id", *[strip_html(s[n]["text"]).alias(n) for n in names])
+    text = parts.select("source_id", "external_id", F.nullif(F.concat_ws("\n\n", *names), F.lit("")).alias("_text"))
+    return listings.join(text, ["source_id", "external_id"], "left").withColumn("description", F.coalesce("_text", "description")).select(*listings.columns)
+
+
 def public_search(raw: DataFrame) -> DataFrame:
     r = _rows(raw, F.from_json("payload", PUBLIC)["stellenangebote"])
     j = F.col("j")
@@ -86,13 +99,14 @@ def public_search(raw: DataFrame) -> DataFrame:
 
 
 def exact_complete(pages: DataFrame, most: int = 80) -> DataFrame:
-    """(source_id, status) of (source_id, page_no, total, rows): every promised row must be there."""
+    """(source_id, status) of (source_id, page_no, total, rows): every promised row must be there, and no page before the last is empty."""
     a = pages.groupBy("source_id").agg(F.sum("rows").alias("got"), F.min_by("total", "page_no").alias("total"), F.count(F.lit(1)).alias("n"))
     return a.select("source_id", "got", "total", F.when((F.col("got") >= F.col("total")) & (F.col("n") <= most), "ok").otherwise("failed").alias("status"))
 
 
 def tolerant_complete(pages: DataFrame, distinct: DataFrame, cap: int = 800) -> DataFrame:
-    """Live searches may shrink while read: the least total, less 2 % or five rows, must be there. ``distinct``: (source_id, ids)."""
+    """Live searches may shrink while read: the least total, less 2 % or five rows, must be there; a first page without a total counts for its rows. ``distinct``: (source_id, ids)."""
+    pages = pages.withColumn("total", F.coalesce("total", F.when(F.col("page_no") == F.min("page_no").over(Window.partitionBy("source_id")), F.col("rows"))))
     a = pages.groupBy("source_id").agg(F.min("total").alias("least"), F.min_by("total", "page_no").alias("first")).join(distinct, "source_id", "left")
     allowed = F.greatest(F.lit(5), F.ceil(F.col("least") * 0.02))
     ok = (F.col("first") <= cap) & (F.coalesce("ids", F.lit(0)) >= F.col("least") - allowed)
@@ -104,3 +118,37 @@ def strict_rows(listings: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     bad = blank("external_id") | blank("title") | blank("company") | ~F.coalesce(F.col("url").rlike("^https?://"), F.lit(False))
     return listings.groupBy("source_id").agg(F.count_if(bad).alias("bad")).withColumn("status", F.when(F.col("bad") > 0, "failed").otherwise("ok"))
+
+
+#: Fields of a strict row: those that must be there, and texts that may be.
+REQUIRED, OPTIONAL = {"externalId": "external_id", "title": "title", "company": "company", "url": "url"}, ("location", "department", "description")
+
+
+def strict(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listings, violations) of a producer that can't be trusted: ``payload`` is a JSON array of objects.
+
+    ``violations``: (source_id, page_no, pos, reason), one row for each fault; pos is null if the payload isn't an array. A source with any of them has failed, and the caller drops
+    its listings as a whole. Types are checked as JSON has them: the text "true" is no boolean.
+    """
+    items = raw.select("source_id", "page_no", F.from_json("payload", "array<string>").alias("items"))
+    shapeless = items.where("items is null").select("source_id", "page_no", F.lit(None).cast("long").alias("pos"), F.lit("not a JSON array").alias("reason"))
+    rows = items.select("source_id", "page_no", F.posexplode("items").alias("n", "item")).withColumn("pos", F.col("page_no").cast("long") * 1_000_000 + F.col("n"))
+    v = F.try_parse_json("item")
+    every = [*REQUIRED, *OPTIONAL, "postedAt", "remote"]
+    kind = {f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")) for f in every}
+    text = {f: F.trim(F.try_variant_get(v, f"$.{f}", "string")) for f in every}
+    rows = rows.select("source_id", "page_no", "pos", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("object"), *[kind[f].alias(f"k_{f}") for f in every], *[text[f].alias(f) for f in every])
+    given = lambda f: F.coalesce(~F.col(f"k_{f}").isin("VOID"), F.lit(False))
+    is_text = lambda f: F.coalesce(F.col(f"k_{f}") == "STRING", F.lit(False))
+    when = F.coalesce(F.try_to_timestamp("postedAt"), F.try_to_timestamp("postedAt", F.lit("yyyy-MM-dd")))
+    filled = {f: is_text(f) & (F.col(f) != "") for f in REQUIRED}
+    faults = [F.when(~filled[f], F.lit(f"missing {f}")) for f in REQUIRED]
+    faults.append(F.when(filled["url"] & ~F.col("url").rlike("(?i)^https?://"), F.lit("url is not http(s)")))
+    faults += [F.when(given(f) & ~is_text(f), F.lit(f"{f} is not a string")) for f in OPTIONAL]
+    faults.append(F.when(given("postedAt") & ~(is_text("postedAt") & when.isNotNull()), F.lit("postedAt is neither null nor a date")))
+    faults.append(F.when(given("remote") & (F.coalesce("k_remote", F.lit("")) != "BOOLEAN"), F.lit("remote is not a boolean")))
+    reasons = F.when(F.col("object"), F.filter(F.array(*faults), lambda x: x.isNotNull())).otherwise(F.array(F.lit("not an object")))
+    found = rows.select("source_id", "page_no", "pos", F.explode(reasons).alias("reason"))
+    blank = lambda f: F.nullif(f, F.lit(""))
+    good = _listing(rows.where(F.col("object")), **{c: F.col(f) for f, c in REQUIRED.items()}, **{f: blank(f) for f in OPTIONAL}, remote=F.col("remote").try_cast("boolean"), posted_at=when)
+    return good, found.unionByName(shapeless)

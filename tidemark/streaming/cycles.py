@@ -11,8 +11,8 @@ from tidemark.operators import diff as D
 def apply_cycle(snapshot: DataFrame, state: DataFrame, sources: DataFrame, cycle_id: str, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(next state, events) of one cycle. Sources without rows in ``sources`` keep their state."""
     at = F.lit(as_of).cast("timestamp")
-    here = state.join(F.broadcast(sources.select("source_id")), "source_id", "left_semi")
-    rest = state.join(F.broadcast(sources.select("source_id")), "source_id", "left_anti")
+    here = state.join(sources.select("source_id"), "source_id", "left_semi")
+    rest = state.join(sources.select("source_id"), "source_id", "left_anti")
     changes = D.diff(D.first_wins(snapshot), here)
     sizes = snapshot.groupBy("source_id").agg(F.count(F.lit(1)).alias("size"))
     flags = D.flagged(changes, D.guard(changes, sizes, sources))
