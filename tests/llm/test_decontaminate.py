@@ -62,3 +62,11 @@ def test_stage_near_and_empty(spark):
     hits = D.near(D.build_index(docs), ["four one", "three zebra"], 3).collect()
     assert [(r.doc_id, r.phrase, r.position) for r in hits] == [(1, 0, 3)]
     assert D.near(D.build_index(docs), ["four one"], 2).count() == 0
+
+
+def test_clashing_names_and_a_long_text(spark):
+    words = " ".join(f"w{i % 997}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, words + " one two three", 5, 6), (2, words, 5, 6)], "doc_id long, text string, _w_hit int, _hit_id int")
+    bench = spark.createDataFrame([(7, "one two three"), (7, "one two three"), (8, "w3 zzz")], "item_id long, text string")
+    kept = D.drop_hits(docs, bench)
+    assert kept.columns == docs.columns and [(r.doc_id, r._w_hit, r._hit_id) for r in kept.collect()] == [(2, 5, 6)]
