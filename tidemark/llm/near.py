@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import dropped, link_components, one_of_each, row_key, stored
+from tidemark.llm.common import dropped, freed, link_components, one_of_each, row_key, stored
 
 SIZE = 5
 #: One text of so many is counted to order the shingles; those in at least COMMON of them, MOST at most, go last.
@@ -135,6 +135,7 @@ def _alike(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame
     out = stored(met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
     for frame in (held, one):
         dropped(frame)
+    freed(documents.sparkSession)
     return out
 
 
@@ -159,6 +160,7 @@ def classes_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
     posts = rows.dropDuplicates(["sig"]).select("sig", "n", F.posexplode("prefix").alias("i", "s"))
     many = posts.groupBy("s").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("s")
     posts = stored(posts.join(many, "s", "left_semi"), "near-posts")
+    freed(documents.sparkSession)
 
 
     def alike(x: str, y: str) -> Column:
@@ -167,6 +169,7 @@ def classes_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
         return (4 * F.greatest(n, m) <= 5 * F.least(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
 
     tried = stored(_ordered(_close(rows)), "near-tried")
+    freed(documents.sparkSession)
     found = _alike(tried, documents, rows)
     linked, asked = 1, 1
     for turn in range(ROUNDS + 1):
@@ -195,6 +198,7 @@ def classes_of(documents: DataFrame, rows: DataFrame) -> DataFrame:
             met = left.join(hub, "s").where((F.col("part") != F.col("hub.part")) & alike("", "hub."))
             pairs = met.select(F.col("hub.sig").alias("a"), F.col("sig").alias("b"))
         pairs = stored(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        freed(documents.sparkSession)
         asked, new = pairs.count(), _alike(pairs, documents, rows)
         linked = new.count()
         found = stored(parts.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(new), "near-links")
