@@ -50,3 +50,26 @@ def test_stages_by_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == set(seen[3])
     assert sum(r.length for r in got) > 0 and {r.piece for r in got} == {0}
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and repeated doc_ids, repeated rows, working columns' names, a very long text, and no rows at all."""
+    rnd = random.Random(3)
+    word = lambda: rnd.choice(["the ", "and ", "of "]) + "w" + str(rnd.randrange(10**6))
+    text = lambda n: "\n".join(" ".join(word() for _ in range(12)) + "." for _ in range(n))
+    a, b, c, long = text(6), text(7), text(8), text(2500)
+    rows = [(1, a, 5, 6, 7), (None, b, 5, 6, 7), (None, c, 5, 6, 7), (3, c + "\n" + text(9), 5, 6, 7), (3, long, 5, 6, 7), (3, long, 5, 6, 7), (4, None, 5, 6, 7), (5, "", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _w_gone int, _w_key int, size int")
+    spark.createDataFrame([(9, " ".join(a.split()[20:40]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table, n in ((docs, 4), (docs.limit(0), 0)):
+        at = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == docs.columns
+            at.write.parquet(str(tmp_path / f"odd{n}-{k}"))
+            at = spark.read.parquet(str(tmp_path / f"odd{n}-{k}"))
+        left = at.collect()
+        assert len(left) == n and all(tuple(r)[2:] == (5, 6, 7) for r in left)
+        if n:
+            assert {r.text for r in left} >= {b, c, long} and all(r.doc_id != 1 for r in left)
+        assert corpus_pipeline.packing_stage(spark, at, str(tmp_path)).select("doc_id").distinct().count() == min(n, 2)

@@ -3,29 +3,19 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.landing import shared_dir
+
 #: ASCII white space as the contracts state it: space and \x09 to \x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it. Only in local mode, where driver and tasks share one machine, an unset one becomes a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidemark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
