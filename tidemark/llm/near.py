@@ -118,17 +118,21 @@ def _asked(documents: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the candidate pairs (a, b) whose whole sets have a Jaccard similarity of at least 0.8."""
+    """Those of the candidate pairs (a, b) whose whole sets have a Jaccard similarity of at least 0.8.
+
+    The sets travel as the upper halves of their hashes: of two texts of 1,000 words, one pair of unlike shingles in 4,000 such pairs of texts looks alike.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], names=["sig", "s"])
+            halves = [np.unique((shingles(t.as_py()) >> 32).astype(np.int32)) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(halves, pa.list_(pa.int32()))], names=["sig", "s"])
 
     asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     one = rows.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("sig", F.col("r.doc_id").alias("rd"), F.col("r.key").alias("rk"))
     one = stored(one, "near-asked")
     texts = _asked(documents, one.select(F.col("rk").alias("key"))).join(one, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("key") == F.col("rk")))
-    held = stored(texts.select("sig", "text").mapInArrow(of, "sig bigint, s array<bigint>"), "near-sets")
+    held = stored(texts.select("sig", "text").mapInArrow(of, "sig bigint, s array<int>"), "near-sets")
     sets = held.dropDuplicates(["sig"])
     met = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
     # shared / (n + m - shared) >= 4 / 5
