@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, licenses, lines, mixing, packing, pii, quality, sharding, simhash, tokens, urls
+from tidemark.llm import decontaminate, licenses, lines, mixing, packing, pii, quality, sharding, simhash, tokens, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_lines": lines.op10_lines,
         "op12_tokens": tokens.op12_tokens,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
