@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, licenses, lines, mixing, packing, pii, quality, sharding, simhash, tokens, urls, whitening
+from tidemark.llm import decontaminate, licenses, lines, mixing, negatives, packing, pii, quality, sharding, simhash, tokens, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": licenses.op8_licenses,
         "op9_packing": packing.op9_packing,
         "op10_lines": lines.op10_lines,
+        "op11_negatives": negatives.op11_negatives,
         "op12_tokens": tokens.op12_tokens,
         "op13_whitening": whitening.op13_whitening,
     }
