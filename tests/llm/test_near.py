@@ -62,3 +62,21 @@ def test_equal_and_null_ids(spark):
     got = N.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(7, "d e f"), (7, "g h i"), (8, "A b c")]
     assert N.keep_first(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_half_hashes_decide_nothing_alone(spark, monkeypatch):
+    """Pairs that half hashes leave open are decided on the whole sets."""
+    import random
+
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    base = [r.choice(words) for _ in range(120)]
+    texts = [" ".join(base)] + [" ".join(base[:k] + [r.choice(words) for _ in range(120 - k)]) for k in range(60, 120, 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = N.stored(N._prefixes(docs), "near-prefixes")
+    sigs = {x.doc_id: x.sig for x in rows.collect()}
+    pairs = spark.createDataFrame([(sigs[0], sigs[i]) for i in range(1, len(texts))], "a long, b long")
+    sets = [set(N.shingles(t).tolist()) for t in texts]
+    want = {sigs[i] for i in range(1, len(texts)) if 5 * len(sets[0] & sets[i]) >= 4 * len(sets[0] | sets[i])}
+    monkeypatch.setattr(N, "SLACK", 10_000)  # no pair counts as certain: all are decided on the whole hashes
+    assert {x.b for x in N._alike(pairs, docs, rows).collect()} == want and want and len(want) < len(texts) - 1

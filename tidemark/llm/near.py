@@ -117,30 +117,58 @@ def _asked(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(of, "doc_id bigint, key bigint, text string")
 
 
+#: So many chance hits of half hashes are allowed for, and so many times the expected number, before a pair counts as certain.
+SLACK = 8
+
+
 def _alike(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) whose whole sets have a Jaccard similarity of at least 0.8.
 
-    The sets travel as the upper halves of their hashes: of two texts of 1,000 words, one pair of unlike shingles in 4,000 such pairs of texts looks alike.
+    The sets travel as the upper halves of their hashes first. Halves bound the number of shared shingles from both sides: of equal shingles the
+    halves are equal, and unlike ones share theirs by chance, of which more than ``SLACK`` allows for don't occur. Pairs that the bounds leave open are decided on the whole hashes.
     """
+    shared = F.size(F.array_intersect("x", "y"))
+    # shared / (n + m - shared) >= 4 / 5, for the least and the greatest number of shared shingles
+    chance = F.ceil(SLACK + 4 * F.col("n").cast("double") * F.col("m") / (1 << 32))
+    merged = F.least(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
+    met, held = _met(pairs, documents, rows, 32)
+    met = met.withColumns({"sure": 9 * (shared - chance) >= 4 * (F.col("n") + F.col("m")), "maybe": 9 * (shared + merged) >= 4 * (F.col("n") + F.col("m"))})
+    first = stored(met.where("maybe").select("a", "b", "sure"), "near-links")
+    dropped(held)
+    freed(documents.sparkSession)
+    open_ = first.where("not sure").select("a", "b")
+    if open_.isEmpty():
+        out = first.select("a", "b")
+        out.stored_path = first.stored_path
+        return out
+    whole, held = _met(open_, documents, rows, 64)
+    whole = whole.where(9 * shared >= 4 * (F.col("n") + F.col("m")))
+    out = stored(first.where("sure").select("a", "b").unionByName(whole.select("a", "b")), "near-links")
+    for frame in (held, first):
+        dropped(frame)
+    freed(documents.sparkSession)
+    return out
+
+
+def _met(pairs: DataFrame, documents: DataFrame, rows: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b, n, m, x, y), the stored sets): candidate pairs with the sizes of their sets, and the sets as the upper ``bits`` of their hashes."""
+    kind, np_kind = ("int", np.int32) if bits == 32 else ("bigint", np.int64)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves = [np.unique((shingles(t.as_py()) >> 32).astype(np.int32)) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(halves, pa.list_(pa.int32()))], names=["sig", "s"])
+            whole = [shingles(t.as_py()) for t in batch.column(1)]
+            cut = [np.unique((s >> (64 - bits)).astype(np_kind)) for s in whole]
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in whole], pa.int32()), pa.array(cut, pa.list_(pa.from_numpy_dtype(np_kind)))], names=["sig", "n", "s"])
 
     asked = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     one = rows.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("r")).select("sig", F.col("r.doc_id").alias("rd"), F.col("r.key").alias("rk"))
     one = stored(one, "near-asked")
     texts = _asked(documents, one.select(F.col("rk").alias("key"))).join(one, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("key") == F.col("rk")))
-    held = stored(texts.select("sig", "text").mapInArrow(of, "sig bigint, s array<int>"), "near-sets")
+    held = stored(texts.select("sig", "text").mapInArrow(of, f"sig bigint, n int, s array<{kind}>"), "near-sets")
+    dropped(one)
     sets = held.dropDuplicates(["sig"])
-    met = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b")
-    # shared / (n + m - shared) >= 4 / 5
-    out = stored(met.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-links")
-    for frame in (held, one):
-        dropped(frame)
-    freed(documents.sparkSession)
-    return out
+    x, y = (sets.select(F.col("sig").alias(a), F.col("n").alias(n), F.col("s").alias(s)) for a, n, s in (("a", "n", "x"), ("b", "m", "y")))
+    return pairs.join(x, "a").join(y, "b"), held
 
 
 def _close(rows: DataFrame) -> DataFrame:
