@@ -107,3 +107,11 @@ def test_long_secret_is_whole(spark):
     text = "token = \"" + "a1b2c3d4" * 200 + "\" and pw"
     r = pii.find_pii(spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")).first()
     assert [(x["kind"], x["start"], x["end"]) for x in r.added] == [("secret", 0, text.rindex("\"") + 1)]
+
+
+def test_candidates_need_no_digit_elsewhere(spark):
+    """A secret is a candidate whether or not its text holds a digit, and an obfuscated address in any case."""
+    texts = ["api_key: sk_live_abcdefghijk end", "write jane [AT] example [DOT] org", "write jane(at)example.org"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {c.kind for c in r.cands} for r in pii.candidates(df).collect()}
+    assert "secret" in got[0] and "email" in got[1] and "email" in got[2]
