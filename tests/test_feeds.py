@@ -1,10 +1,7 @@
 import json
 
-from pyspark.sql import functions as F
-
-from tidemark.operators import diff as D
 from tidemark.sources import feeds as S
-from tidemark.streaming import cycles
+from tidemark.sources import adapters
 
 RAW = "source_id long, page_no int, ident string, payload string"
 
@@ -35,15 +32,41 @@ def test_completeness(spark):
     assert {r.source_id: r.status for r in S.tolerant_complete(pages, ids).collect()} == {1: "ok", 2: "failed", 3: "failed"}
 
 
-def test_stream_applies_cycles_in_order_once(spark, tmp_path):
-    cols = "cycle_id string, as_of string, source_id long, pos long, external_id string, title string, company string, location string, remote boolean, department string, url string, posted_at timestamp, closes_at timestamp, description string"
-    row = lambda c, i: (c, f"2026-07-0{c} 00:00:00", 1, i, f"e{i}", f"Engineer Level {'abcdef'[i]}", "Acme", "Berlin", None, None, "http://x", None, None, None)
-    land = str(tmp_path / "in")
-    spark.createDataFrame([row("2", i) for i in range(5)] + [row("1", i) for i in range(6)], cols).write.parquet(land)
-    sources = spark.createDataFrame([(1, True, False)], "source_id long, complete boolean, rebaseline boolean")
-    for k in range(2):
-        cycles.run(spark.readStream.schema(cols).parquet(land), sources, str(tmp_path / "out"), str(tmp_path / f"cp{k}")).awaitTermination()
-        state = spark.read.schema(D.STATE).parquet(str(tmp_path / "out/state/version=2"))
-        assert {r.state: r["count"] for r in state.groupBy("state").count().collect()} == {"open": 5, "closed": 1}
-        events = spark.read.parquet(str(tmp_path / "out/events")).groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()
-        assert {r.type: r.n for r in events} == {"posting_opened": 6, "posting_closed": 1}
+def test_walks_that_fall_short_fail(spark):
+    """What each kind's pages promise is held against what they brought."""
+    ads = lambda n, start=0: [{"refnr": f"r{i}", "titel": "T"} for i in range(start, start + n)]
+    search = lambda total, rows: {"maxErgebnisse": total, "stellenangebote": rows}
+    board = lambda total, n: {"totalFound": total, "content": [{"id": str(i), "name": "N"} for i in range(n)]}
+    walks = {
+        ("smartrecruiters", "ok"): [board(3, 2), board(3, 1)],
+        ("smartrecruiters", "failed"): [board(500, 1)],
+        ("arbeitsagentur", "ok"): [search(102, ads(100)), {"maxErgebnisse": 100}],
+        ("arbeitsagentur", "failed"): [search(150, ads(100)), search(150, [])],
+        ("arbeitsagentur", " failed"): [search(801, ads(801))],  # more than may be read at all
+        ("arbeitsagentur", "  failed"): [search(110, ads(60)), search(110, ads(50))],  # rows that repeat count once
+        ("arbeitsagentur", "   failed"): [{"maxErgebnisse": 0}],
+        ("personio", "ok"): [[{"id": "1", "name": "N"}], "<workzag-jobs></workzag-jobs>"],
+        ("personio", "failed"): [{"error": 1}, "<workzag-jobs></workzag-jobs>"],
+        ("personio", " ok"): [[], "not xml"],
+        ("greenhouse", "failed"): [{"jobs": []}, {}],
+    }
+    rows = [(i, n, kind, "acme", p if isinstance(p, str) else json.dumps(p), None, None) for i, ((kind, _), pages) in enumerate(walks.items()) for n, p in enumerate(pages)]
+    rows += [(50, 0, "lever", "acme", None, "not_modified", "e"), (51, 0, "lever", "acme", "[]", None, None), (51, 1, "lever", "acme", None, "failed", None)]
+    pages = spark.createDataFrame(rows, "source_id long, page_no int, kind string, ident string, payload string, status string, etag string")
+    got = {r.source_id: (r.status, r.etag) for r in adapters.statuses_of(pages).collect()}
+    assert got == {i: (want.strip(), None) for i, (_, want) in enumerate(walks)} | {50: ("not_modified", "e"), 51: ("failed", None)}
+    both = [(60, 0, "personio", "acme", '[{"id": "1", "name": "A"}]'), (60, 1, "personio", "acme", "<workzag-jobs><position><id>2</id><name>B</name></position></workzag-jobs>")]
+    listed = adapters.listings(spark.createDataFrame(both, "source_id long, page_no int, kind string, ident string, payload string")).orderBy("pos").collect()
+    assert [(r.kind, r.external_id, r.title) for r in listed] == [("personio", "1", "A"), ("personio", "2", "B")]
+
+
+def test_instants_without_a_zone_are_utc(spark):
+    texts = ["2026-07-01", "2026-07-01T09:00:00", "2026-07-01T09:00:00Z", "2026-07-01T09:00:00+02:00", "2026-07-01 09:00:00.5", "no", ""]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "t string").select(S._ts(S.F.col("t")).cast("double").alias("s"))
+        got = [r.s for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    day = 1782864000.0
+    assert got == [day, day + 32400, day + 32400, day + 25200, day + 32400.5, None, None]

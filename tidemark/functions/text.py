@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
 
 import pandas as pd
@@ -106,15 +106,58 @@ def fold(x: Column, last: str | None = "NFKC") -> Column:
     return F.when(plain, F.lower(x)).otherwise(helper(F.when(~plain, x)))
 
 
+@cache
+def _images(last: str | None) -> tuple[str, str, str]:
+    """(characters, their images, class of the rest): what folding makes of a character where that is at most one, whatever stands beside it.
+
+    Characters whose image is empty come last, so ``translate`` drops them. The class holds all others that folding changes, and those that may be joined
+    to the character before: a text without any is folded character by character.
+    """
+    fold = _folded("NFKD", last)
+    every = [chr(i) for i in range(128, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    images = dict(zip(every, fold(pd.Series(every)), strict=True))
+    joins = {c for c in every if unicodedata.combining(c) and not unicodedata.category(c).startswith("M")}
+    for c in every:
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            joins.add(chr(int(parts[1], 16)))
+    joins = {c for c in joins if not unicodedata.category(c).startswith("M")} | {chr(i) for i in range(0x1161, 0x1176)} | {chr(i) for i in range(0x11A8, 0x11C3)}
+    rest = {c for c, to in images.items() if len(to) > 1 or joins & {c, *to}} | {"\u03a3"}  # the form of a capital sigma depends on its place
+    some = {c: to for c, to in images.items() if c not in rest and c != to and c not in BLANKS} | {chr(i): chr(i + 32) for i in range(65, 91)} | dict.fromkeys(BLANKS, " ")
+    full, gone = [c for c in some if some[c]], [c for c in some if not some[c]]
+    codes, spans = sorted(map(ord, rest - set(BLANKS))), []
+    for i in codes:
+        if spans and spans[-1][1] == i - 1:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return "".join(full + gone), "".join(some[c] for c in full), "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+def fold_mapped(x: Column, last: str | None = "NFKC") -> Column:
+    """``fold`` in the JVM alone, for texts that ``needs_helper`` doesn't pick."""
+    characters, images, _ = _images(last)
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, characters, images))
+
+
+def needs_helper(x: Column, last: str | None = "NFKC") -> Column:
+    """Whether a text holds a character that only the helper of ``fold`` folds as it should."""
+    return F.coalesce((F.octet_length(x) != F.char_length(x)) & x.rlike(_images(last)[2]), F.lit(False))
+
+
 def squash(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, SQUASH, " "))
 
 
-def normalise_title(title: Column) -> Column:
-    return squash(_without(fold(title), TITLE_STEPS))
+#: Takes a column and gives the folded one: ``fold``, or ``fold_mapped`` for texts that need no helper.
+Fold = Callable[[Column], Column]
+
+
+def normalise_title(title: Column, by: Fold = fold) -> Column:
+    return squash(_without(by(title), TITLE_STEPS))
 
 
-def normalise_location(location: Column, remote: Column) -> Column:
+def normalise_location(location: Column, remote: Column, by: Fold = fold) -> Column:
     raw = F.trim(F.coalesce(location, F.lit("")))
     flag = F.coalesce(remote, F.lit(False))
     has = lambda x, p: _holds(x, p) & x.rlike(java(p))
@@ -125,10 +168,10 @@ def normalise_location(location: Column, remote: Column) -> Column:
         place = F.coalesce(F.get(parts, F.lit(0)), F.when(flag & ~has(low, HYBRID), "remote").otherwise("hybrid"))
         return F.when(low == "", F.when(flag, "remote").otherwise("")).when(~has(low, HYBRID) & has(low, REMOTE), "remote").otherwise(place)
 
-    return _let(fold(raw), named)
+    return _let(by(raw), named)
 
 
-def normalise_company(company: Column, strict_suffix: bool = False) -> Column:
+def normalise_company(company: Column, strict_suffix: bool = False, by: Fold = fold) -> Column:
     """``strict_suffix`` asks for a blank before a legal suffix; without it glued endings go too."""
     legal = java(LEGAL)
     if strict_suffix:
@@ -138,7 +181,7 @@ def normalise_company(company: Column, strict_suffix: bool = False) -> Column:
         """Suffixes go one at a time, until nothing changes."""
         return _let(F.regexp_replace(c, legal, ""), lambda less: F.when(less == c, less).otherwise(cut(less, passes - 1)) if passes > 1 else less)
 
-    return squash(_let(F.regexp_replace(fold(company), r"[.,]+\z", ""), lambda c: cut(c, 4)))
+    return squash(_let(F.regexp_replace(by(company), r"[.,]+\z", ""), lambda c: cut(c, 4)))
 
 
 def key_full(title: Column, company: Column, location: Column) -> Column:

@@ -5,6 +5,7 @@ Every step is a DataFrame operation over all sources at once; a source's status
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,14 @@ from pyspark.sql import functions as F
 from tidemark.operators import diff as D
 from tidemark.operators import filters as FL
 
+#: Takes a DataFrame and a name; gives the same rows.
+Land = Callable[[DataFrame, str], DataFrame]
+
+
+def kept_as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 EVENT = ("event_id", "source_id", "key", "type", "payload", "created_at")
 
 
@@ -38,27 +47,47 @@ def planned(sources: DataFrame, statuses: DataFrame, specs: DataFrame, most_fail
     return out.withColumns({"status": status, "rebaseline": ~F.col("filter_hash").eqNullSafe(F.col("new_hash"))}).drop("_s")
 
 
-def run_cycle(sources: DataFrame, statuses: DataFrame, listings: DataFrame, specs: DataFrame, state: DataFrame, as_of: Column, cycle_id: str, ratio: float = 0.5, most_failures: int = 5) -> Cycle:
+def run_cycle(sources: DataFrame, statuses: DataFrame, listings: DataFrame, specs: DataFrame, state: DataFrame, as_of: Column, cycle_id: str, ratio: float = 0.5, most_failures: int = 5, land: Land = kept_as_is) -> Cycle:
     """Apply one cycle's snapshots.
 
     ``sources``: (source_id, complete, fail_count, etag, last_poll, filter_hash, ..); ``statuses``: (source_id, status, etag); ``listings``: all sources'
     rows, keyed or not; ``specs``: compiled, with ``filter_hash`` (see ``filters``). Only sources with status ok are diffed: a source that failed, is muted or wasn't modified keeps its state, and of these
-    only the last has its poll recorded. A re-baseline closes nothing, isn't guarded, and stores its hash once the cycle went through.
+    only the last has its poll recorded. A re-baseline closes nothing, isn't guarded, and stores its hash once the cycle went through. ``land`` may store what the results read more than once: plan, compiled specs, changes, counts and verdict.
     """
-    plan = planned(sources, statuses, specs, most_failures)
+    plan = land(planned(sources, statuses, specs, most_failures), "plan")
+    live = plan.where("status = 'ok'").select("source_id")
+    step = compared(plan, listings, specs, state.join(live, "source_id", "left_semi"), as_of, ratio, land)
+    rest = state.join(live, "source_id", "left_anti")
+    after = D.roll_forward(step.flags, as_of).unionByName(rest.select(*D.state_columns()))
+    events = D.change_events(step.flags, as_of, cycle_id).select(*EVENT)
+    return Cycle(after, events, *settled(step, sources, as_of))
+
+
+@dataclass
+class Step:
+    """What a cycle found: ``plan`` and ``verdict`` have a row a source, ``counts`` (source_id, size, filtered), ``flags`` the flagged changes."""
+
+    plan: DataFrame
+    counts: DataFrame
+    verdict: DataFrame
+    flags: DataFrame
+
+
+def compared(plan: DataFrame, listings: DataFrame, specs: DataFrame, state: DataFrame, as_of: Column, ratio: float = 0.5, land: Land = kept_as_is) -> Step:
+    """Filter the snapshots of sources with status ok and compare them with ``state``, which holds rows of no other source."""
     live = plan.where("status = 'ok'").select("source_id", "complete", "rebaseline")
+    specs = land(specs, "specs")
     matched = FL.matching(listings.join(live.select("source_id"), "source_id", "left_semi"), specs, as_of)
     kept = matched.where("matches").select(*listings.columns)
-    here = state.join(live.select("source_id"), "source_id", "left_semi")
-    rest = state.join(live.select("source_id"), "source_id", "left_anti")
-    changes = D.diff(D.first_wins(kept), here)
-    counts = matched.groupBy("source_id").agg(F.count_if("matches").alias("size"), F.count_if(~F.col("matches")).alias("filtered"))
-    verdict = D.guard(changes, counts.select("source_id", "size"), live, ratio)
-    flags = D.flagged(changes, verdict)
-    after = D.roll_forward(flags, as_of).unionByName(rest.select(*D.state_columns()))
-    events = D.change_events(flags, as_of, cycle_id).select(*EVENT)
-    refused = verdict.select("source_id", (~F.col("accepted")).alias("refused"))
-    done = plan.join(refused, "source_id", "left")
+    changes = land(D.diff(D.first_wins(kept), state), "changes")
+    counts = land(matched.groupBy("source_id").agg(F.count_if("matches").alias("size"), F.count_if(~F.col("matches")).alias("filtered")), "counts")
+    verdict = land(D.guard(changes, counts.select("source_id", "size"), live, ratio), "verdict")
+    return Step(plan, counts, verdict, D.flagged(changes, verdict))
+
+
+def settled(step: Step, sources: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(next source table, report)."""
+    done = step.plan.join(step.verdict.select("source_id", (~F.col("accepted")).alias("refused")), "source_id", "left")
     marked = D.mark_polled(
         done.select(*sources.columns),
         done.select("source_id", F.when(F.col("refused"), "refused").otherwise(F.col("status")).alias("status"), F.col("new_etag").alias("etag")),
@@ -66,7 +95,7 @@ def run_cycle(sources: DataFrame, statuses: DataFrame, listings: DataFrame, spec
     )
     hashes = done.select("source_id", F.when((F.col("status") == "ok") & ~F.col("refused"), F.col("new_hash")).alias("_h"))
     new_sources = marked.join(hashes, "source_id").withColumn("filter_hash", F.coalesce("_h", "filter_hash")).select(*sources.columns)
-    per = D.poll_report(flags, counts.select("source_id", "filtered"))
+    per = D.poll_report(step.flags, step.counts.select("source_id", "filtered"))
     numbers = ("seen", "filtered", "opened", "updated", "closed")
     ok = F.col("status") == "ok"
     report = (
@@ -79,7 +108,7 @@ def run_cycle(sources: DataFrame, statuses: DataFrame, listings: DataFrame, spec
             F.when(F.col("status") == "failed", "failed").when(F.col("refused"), "refused: mass delist guard").alias("error"),
         )
     )
-    return Cycle(after, events, new_sources, report)
+    return new_sources, report
 
 
 def scored(state: DataFrame, results: DataFrame, as_of: Column, cycle_id: str, threshold: int = 75, fresh_hours: int = 48) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +128,13 @@ def nudges(state: DataFrame, as_of: Column, cycle_id: str, stale_days: int = 14,
     stale = _events(state.where(old), "stale", F.to_json(F.struct(F.lit(stale_days).alias("days"))), as_of, cycle_id)
     closes = F.date_format("closes_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     deadline = _events(state.where(due), "deadline", F.to_json(F.struct(closes.alias("closesAt"), F.lit(deadline_days).alias("days"))), as_of, cycle_id)
-    marked = state.withColumns({"stale_notified_at": F.when(old, as_of).otherwise(F.col("stale_notified_at")), "deadline_notified_at": F.when(due, as_of).otherwise(F.col("deadline_notified_at"))})
-    return marked, stale.unionByName(deadline)
+    return nudged(state, as_of, stale_days, deadline_days), stale.unionByName(deadline)
+
+
+def nudged(state: DataFrame, as_of: Column, stale_days: int = 14, deadline_days: int = 3) -> DataFrame:
+    """State with the guards of those set that are nudged now."""
+    old, due = D.is_stale(as_of, stale_days), D.is_due(as_of, deadline_days)
+    return state.withColumns({"stale_notified_at": F.when(old, as_of).otherwise(F.col("stale_notified_at")), "deadline_notified_at": F.when(due, as_of).otherwise(F.col("deadline_notified_at"))})
 
 
 def _events(rows: DataFrame, kind: str, payload: Column, as_of: Column, cycle_id: str) -> DataFrame:

@@ -6,6 +6,9 @@ source alone; per-source figures are partial aggregates joined back, one row a s
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,14 @@ def id_dedupe(listings: DataFrame, last: bool = False) -> DataFrame:
     return listings.withColumns({"_n": F.row_number().over(w.orderBy(order)), "_p": F.min("pos").over(w)}).where("_n = 1").withColumn("pos", F.col("_p")).drop("_n", "_p")
 
 
+#: What the stream stores of a posting: texts lie in a table of their own, told by their hash; a ``tracked`` row was last seen when its source was.
+SLIM = STATE.replace("description string", "text_hash string, tracked boolean")
+
+
+def text_hash(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
 def duplicate_keys(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("source_id", "key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
@@ -68,13 +79,13 @@ def guard(changes: DataFrame, sizes: DataFrame, sources: DataFrame, ratio: float
     """
     per = changes.groupBy("source_id").agg(F.count_if(F.col("s.state") == "open").alias("open_before"), F.count_if(F.col("change") == "vanished").alias("vanished"))
     out = sources.join(per, "source_id", "left").join(sizes, "source_id", "left").fillna(0, ["open_before", "vanished", "size"])
-    accepted = (
-        F.col("rebaseline")
-        | ~F.col("complete")
-        | (F.col("open_before") == 0)
-        | ((F.col("size") > 0) & ((F.col("open_before") < MIN_BOARD) | (F.col("vanished") <= F.lit(ratio) * F.col("open_before"))))
-    )
-    return out.withColumn("accepted", accepted)
+    return out.withColumn("accepted", accepts(ratio))
+
+
+def accepts(ratio: float = 0.5) -> Column:
+    """Over (complete, rebaseline, open_before, vanished, size): whether the snapshot may be applied."""
+    small, few = F.col("open_before") < MIN_BOARD, F.col("vanished") <= F.lit(ratio) * F.col("open_before")
+    return F.col("rebaseline") | ~F.col("complete") | (F.col("open_before") == 0) | ((F.col("size") > 0) & (small | few))
 
 
 def flagged(changes: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -83,17 +94,23 @@ def flagged(changes: DataFrame, verdicts: DataFrame) -> DataFrame:
     return changes.join(v, "source_id")
 
 
-def roll_forward(flags: DataFrame, as_of: Column) -> DataFrame:
-    """The next state. Refused sources keep theirs; columns that users own are never written from a snapshot."""
+def roll_forward(flags: DataFrame, as_of: Column, schema: str = STATE) -> DataFrame:
+    """The next state. Refused sources keep theirs; columns that users own are never written from a snapshot. ``schema`` may be ``SLIM``, if both sides of the diff are."""
+    kept = flags.where(F.col("s").isNotNull() | (F.col("accepted") & F.col("f").isNotNull()))
+    return kept.select("source_id", "key", *rolled(as_of, schema))
+
+
+def rolled(as_of: Column, schema: str = STATE) -> list[Column]:
+    """Columns of the next state (but source and key) over flagged changes."""
     s, f = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"f.{c}"))
     new, back = F.col("change") == "new", F.col("change") == "reposted"
     here = F.col("accepted") & F.col("f").isNotNull()
-    closing = (F.col("change") == "vanished") & F.col("may_close")
+    gone = F.col("accepted") & (F.col("change") == "vanished")
+    closing = gone & F.col("may_close")
     pick = lambda fetched, stored: F.when(here, fetched).otherwise(stored)
     cols = {c: pick(f(c), s(c)) for c in REFRESHED}
     cols |= {
         "company": F.when(here & new, f("company")).otherwise(s("company")),
-        "description": pick(F.coalesce(f("description"), s("description")), s("description")),
         "posted_at": F.when(here & new, F.coalesce(f("posted_at"), as_of)).when(here & back, F.coalesce(f("posted_at"), s("posted_at"))).otherwise(s("posted_at")),
         "posted_at_exact": F.when(here & (new | back), f("posted_at").isNotNull()).otherwise(s("posted_at_exact")),
         "first_seen": F.when(here & new, as_of).otherwise(s("first_seen")),
@@ -105,9 +122,21 @@ def roll_forward(flags: DataFrame, as_of: Column) -> DataFrame:
         "deadline_notified_at": F.when(here & (new | back), F.lit(None)).otherwise(s("deadline_notified_at")),
     }
     cols |= {c: s(c) for c in OURS}
-    kept = flags.where(F.col("s").isNotNull() | here)
-    types = [x.strip().split() for x in STATE.split(",")]
-    return kept.select("source_id", "key", *[cols[n].cast(t).alias(n) for n, t in types[2:]])
+    types = [x.strip().split() for x in schema.split(",")]
+    if "tracked boolean" in schema:
+        cols |= {"text_hash": pick(F.coalesce(f("text_hash"), s("text_hash")), s("text_hash")), "tracked": F.when(here, True).when(gone, False).otherwise(s("tracked"))}
+    else:
+        cols["description"] = pick(F.coalesce(f("description"), s("description")), s("description"))
+    return [cols[n].cast(t).alias(n) for n, t in types[2:]]
+
+
+def must_write() -> Column:
+    """Over flagged changes of slim rows: whether the stored row differs in more than when it was last seen, which is its source's if it is tracked."""
+    s, f = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"f.{c}"))
+    moved = reduce(or_, [~s(c).eqNullSafe(f(c)) for c in REFRESHED]) | (f("text_hash").isNotNull() & ~s("text_hash").eqNullSafe(f("text_hash"))) | ~s("tracked")
+    here = F.col("f").isNotNull() & (F.col("change").isin("new", "reposted") | moved)
+    gone = (F.col("change") == "vanished") & (F.col("may_close") | s("tracked"))
+    return F.col("accepted") & F.coalesce(here | gone, F.lit(False))
 
 
 def state_columns() -> list[str]:

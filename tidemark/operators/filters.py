@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,11 @@ def matching(listings: DataFrame, specs: DataFrame, as_of: Column) -> DataFrame:
     j = listings.join(specs.withColumnRenamed("remote", "mode"), "source_id", "left")
     j = j.withColumns({f"_h_{c}": filter_normalise(F.col(c)) for c in ("title", "company", "location")})
     hit = lambda c, field: F.exists(F.coalesce(F.col(f"{field}_n"), F.array().cast("array<string>")), lambda n: F.col(f"_h_{c}").contains(n))
+    return j.withColumn("matches", verdict(hit, as_of)).drop("_h_title", "_h_company", "_h_location")
+
+
+def verdict(hit: Callable[[str, str], Column], as_of: Column) -> Column:
+    """Whether a listing joined with its spec passes. ``hit``: of (column, list), whether the column holds a term of the list."""
     needs = lambda field: F.size(F.coalesce(F.col(field), F.array().cast("array<string>"))) > 0
     away = F.coalesce(F.col("remote"), F.lit(False))
     exempt = away & F.col("mode").isin("include", "only")
@@ -80,8 +87,7 @@ def matching(listings: DataFrame, specs: DataFrame, as_of: Column) -> DataFrame:
         ok = ok & any_of & ~hit(c, f"{c}None")
     ok = ok & ~(F.coalesce(F.col("mode") == "exclude", F.lit(False)) & away) & ~(F.coalesce(F.col("mode") == "only", F.lit(False)) & ~away)
     age = (F.unix_micros(as_of) - F.unix_micros("posted_at")) / F.lit(86_400_000_000)
-    ok = ok & F.coalesce(age <= F.col("maxAgeDays"), F.lit(True))
-    return j.withColumn("matches", ok).drop("_h_title", "_h_company", "_h_location")
+    return ok & F.coalesce(age <= F.col("maxAgeDays"), F.lit(True))
 
 
 def fingerprint(specs: DataFrame) -> DataFrame:

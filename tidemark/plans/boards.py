@@ -90,7 +90,7 @@ def completeness_tolerant(spark, d):
 
 
 def _snapshot(spark, d):
-    keyed = X.landed_keyed(spark, d)
+    keyed = X.kept_keyed(spark, d)
     return keyed.where(X.in_snapshot()), X.state_of(D.first_wins(keyed.where(X.in_state())))
 
 

@@ -24,7 +24,7 @@ def specs_of(spark, d):
 
 
 def _run(spark, d):
-    keyed = X.landed_keyed(spark, d)
+    keyed = X.kept_keyed(spark, d)
     state = X.state_of(D.first_wins(keyed.where(X.in_state())))
     n, text = F.col("n_nationkey"), lambda p: F.concat(F.lit(p), F.col("n_nationkey").cast("string"))
     nation = X.table(spark, d, "nation").withColumn("source_id", n.cast("long"))
@@ -34,7 +34,7 @@ def _run(spark, d):
         F.when(n % 3 > 0, X.as_of("1998-05-31 00:00:00")).alias("last_poll"), F.when(n == 3, "stale").when(n % 8 != 3, F.col("h")).alias("filter_hash"),
     )
     statuses = nation.where("n_nationkey <> 21").select("source_id", F.when(n % 7 == 2, "failed").when(n % 7 == 4, "not_modified").otherwise("ok").alias("status"), F.when(n % 4 == 0, text("n")).alias("etag"))
-    return C.run_cycle(sources, statuses, keyed.where(X.in_snapshot()), specs, state, X.as_of(), "c7")
+    return C.run_cycle(sources, statuses, keyed.where(X.in_snapshot()), specs, state, X.as_of(), "c7", land=lambda df, _: df.persist())
 
 
 def cycle_state(spark, d):
@@ -107,10 +107,10 @@ def high_fit_events(spark, d):
 
 
 def event_stream(spark, d):
-    """Counts of all event streams of a cycle as one."""
+    """All event streams of a cycle as one."""
     run = _run(spark, d)
     events = C.stream_of(run.events, C.nudges(run.state, X.as_of(), "c7", 14, 30)[1], _scored(spark, d)[1])
-    return events.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+    return events.select("source_id", "key", "type", "payload")
 
 
 def open_listing(spark, d):
@@ -177,11 +177,9 @@ def oracle_sql() -> dict[str, str]:
       r AS (SELECT doc_id, CASE WHEN usable THEN floor(least(100, greatest(0, x)) + 0.5)::INT END AS score, CASE WHEN usable THEN CASE WHEN doc_id % 4 = 0 THEN 'no reason given' ELSE 'fits {' || doc_id || '}' END END AS reason FROM a) """
     fit = "score >= 75 AND doc_id % 3 > 0 AND doc_id % 1000 <= 48"
     high = f"""SELECT doc_id % 25 AS source_id, doc_id::VARCHAR AS key, 'high_fit' AS type, '{{"score":' || score || ',"threshold":75,"ageHours":' || (doc_id % 1000) || ',"reason":"' || reason || '"}}' AS payload FROM r SEMI JOIN documents USING (doc_id) WHERE {fit}"""
-    state_stale = stale.replace("state = 'open'", "state = 'open' AND stale_free")
     stream = f"""{cycle}, after AS ({after}), ev AS ({events}), r AS (SELECT * FROM ({answers} SELECT * FROM r)),
       rolled AS (SELECT a.source_id, a.key, a.state, a.claimed_by, s.claimed_at, s.applied_at, coalesce(CASE WHEN v.accepted AND f.key IS NOT NULL THEN f.closes_at END, s.closes_at) AS closes_at FROM after a LEFT JOIN state s ON a.source_id = s.source_id AND a.key = s.key LEFT JOIN fetched f ON a.source_id = f.source_id AND a.key = f.key LEFT JOIN verdict v ON a.source_id = v.source_id),
-      every AS (SELECT type FROM ev UNION ALL SELECT 'stale' FROM rolled WHERE {stale} UNION ALL SELECT 'deadline' FROM rolled WHERE {due} UNION ALL SELECT type FROM ({high})) SELECT type, count(*) AS n, count(*) AS ids FROM every GROUP BY type"""
-    del state_stale
+      told AS ({nudge.replace("FROM state", "FROM rolled")}) SELECT source_id, key, type, payload FROM ev UNION ALL SELECT * FROM told UNION ALL ({high})"""
     return {
         "cycle_state": f"{cycle} {after}",
         "cycle_events": f"{cycle} {events}",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import sql_company, sql_location, sql_title, with_keys
-from tidemark.sources.landing import landed
+from tidemark.sources.landing import spread
 
 AS_OF = "1998-06-01 00:00:00"
 EVENTS_AS_OF = "2024-02-01 00:00:00"
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its part and supplier as listings; the nation is the source."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -58,9 +58,9 @@ def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_keys(listings(spark, sf_dir))
 
 
-def landed_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed listings, landed: both sides of the diff and the sizes read them without keying again."""
-    return landed(keyed(spark, sf_dir), "keyed")
+def kept_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed listings, persisted: both sides of the diff and the sizes read them without keying again. Nothing is computed before the query runs, and nothing is left in a folder."""
+    return keyed(spark, sf_dir).persist()
 
 
 def in_snapshot():

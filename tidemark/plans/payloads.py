@@ -117,7 +117,18 @@ def adapter_feeds(spark, d):
     for k, (kind, build) in enumerate(kinds.items()):
         rows = build(lines.where(F.col("l_suppkey") % 5 == k)).withColumn("kind", F.lit(kind))
         raw = rows if raw is None else raw.unionByName(rows)
-    return adapters.listings(raw, tuple(kinds)).groupBy("kind", "source_id").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("first_title"))
+    return adapters.listings(raw, tuple(kinds)).select("kind", "source_id", "pos", "external_id", "title")
+
+
+def walk_statuses(spark, d):
+    """Walks over pages of two kinds: what every page promises is more than the walk brought at some boards, by a few rows or by many."""
+    lines = _lines(spark, d)
+    s = F.col("source_id")
+    n = lines.groupBy(F.col("l_suppkey").alias("source_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    total = lambda name, x: F.concat(F.lit(f'{{"{name}":'), x.cast("string"), F.lit(","), F.substring("payload", F.lit(2), F.length("payload")))
+    exact = _paged(lines.where("l_suppkey % 2 = 0")).join(n, "source_id").withColumn("payload", total("totalFound", F.col("n") + F.when(s % 3 == 0, 1).otherwise(0))).withColumn("kind", F.lit("smartrecruiters"))
+    loose = _public(lines.where("l_suppkey % 2 = 1")).join(n, "source_id").withColumn("payload", total("maxErgebnisse", F.col("ids") + s % 40)).withColumn("kind", F.lit("arbeitsagentur"))
+    return adapters.statuses(exact.unionByName(loose), ("smartrecruiters", "arbeitsagentur"))
 
 
 def payload_shapes(spark, d):
@@ -136,15 +147,16 @@ def id_dedupes(spark, d):
 
 
 def _strict_raw(spark, d):
-    """Pages as rows of an extractor that errs: twenty of them a source."""
+    """Pages as rows of an extractor that errs at every third source: twenty of them a source."""
     i = F.col("page_id")
     no = lambda kind: F.lit(None).cast(kind)
-    title = F.when(i % 23 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" T"), i.cast("string")))
-    url = F.when(i % 19 == 0, F.lit("ftp://x")).otherwise(F.lit("https://x"))
-    posted = F.when(i % 17 == 0, F.lit("soon")).when(i % 3 == 0, F.lit("2026-07-01")).otherwise(no("string"))
+    bad = lambda n: (i % n == 0) & (F.floor(i / 20) % 3 == 0)
+    title = F.when(bad(23), F.lit(" ")).otherwise(F.concat(F.lit(" T"), i.cast("string")))
+    url = F.when(bad(19), F.lit("ftp://x")).otherwise(F.lit("https://x"))
+    posted = F.when(bad(17), F.lit("soon")).when(i % 3 == 0, F.lit("2026-07-01")).otherwise(no("string"))
     item = F.to_json(_struct(externalId=i.cast("string"), title=title, company="C", url=url, postedAt=posted, location=F.when(i % 2 == 0, "").otherwise("Bonn")))
-    item = F.when(i % 29 == 0, F.replace(item, F.lit('"company":"C"'), F.lit('"company":7'))).when(i % 31 == 0, F.replace(item, F.lit('"company"'), F.lit('"remote":"true","company"'))).when(i % 5 == 0, F.replace(item, F.lit('"company"'), F.lit('"remote":true,"company"'))).otherwise(item)
-    item = F.when(i % 97 == 0, F.lit("5")).otherwise(item)
+    item = F.when(bad(29), F.replace(item, F.lit('"company":"C"'), F.lit('"company":7'))).when(bad(31), F.replace(item, F.lit('"company"'), F.lit('"remote":"true","company"'))).when(i % 5 == 0, F.replace(item, F.lit('"company"'), F.lit('"remote":true,"company"'))).otherwise(item)
+    item = F.when(bad(97), F.lit("5")).otherwise(item)
     pages = X.table(spark, d, "pages").select(F.call_function("div", i.cast("long"), F.lit(20).cast("long")).alias("source_id"), i, item.alias("item")).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page_id", "item"))).alias("rows"))
     joined = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["item"]), ","), F.lit("]"))
     return pages.select("source_id", F.lit(0).alias("page_no"), F.lit("x").alias("ident"), F.when(F.col("source_id") % 11 == 5, "{}").otherwise(joined).alias("payload"))
@@ -202,15 +214,15 @@ def scoring_requests(spark, d):
 
 
 def folded_titles(spark, d):
-    """Documents' first words with accents, folded."""
-    return X.table(spark, d, "documents").select("doc_id", T.fold(F.left("text", F.lit(200))).alias("folded"))
+    """Whole documents, folded."""
+    return X.table(spark, d, "documents").select("doc_id", F.sha2(T.fold(F.coalesce("text", F.lit(""))), 256).alias("folded_sha256"))
 
 
 def unescaped(spark, d):
     return X.table(spark, d, "pages").select("page_id", F.sha2(F.coalesce(T.unescape(F.col("html")), F.lit("")), 256).alias("html_sha256"))
 
 
-OWN = (greenhouse_feed, lever_feed, ashby_feed, paged_feed, public_feed, adapter_feeds, payload_shapes, id_dedupes, strict_violations, strict_listings, merged_feed, scraped_feed, board_lists, scoring_requests, folded_titles, unescaped)
+OWN = (greenhouse_feed, lever_feed, ashby_feed, paged_feed, public_feed, adapter_feeds, walk_statuses, payload_shapes, id_dedupes, strict_violations, strict_listings, merged_feed, scraped_feed, board_lists, scoring_requests, folded_titles, unescaped)
 
 
 def queries():
@@ -232,12 +244,15 @@ def oracle_sql() -> dict[str, str]:
     }
     out = {k: lines + head + v for k, v in kinds.items()}
     names = ("greenhouse", "lever", "ashby", "smartrecruiters", "arbeitsagentur")
-    each = " UNION ALL ".join(f"SELECT '{kind}' AS kind, source_id, count(DISTINCT external_id || {'pos' if k < 3 else chr(39) * 2}) AS n, min(title) AS first_title FROM ({out[q]}) WHERE source_id % 5 = {k} GROUP BY source_id" for k, (kind, q) in enumerate(zip(names, kinds, strict=True)))
+    each = " UNION ALL ".join(f"SELECT '{kind}' AS kind, source_id, pos, external_id, title FROM ({out[q]}) WHERE source_id % 5 = {k}" if k < 3 else f"SELECT '{kind}', source_id, min(pos), external_id, min(title) FROM ({out[q]}) WHERE source_id % 5 = {k} GROUP BY source_id, external_id" for k, (kind, q) in enumerate(zip(names, kinds, strict=True)))
     faults = """SELECT page_id // 20 AS source_id, (page_id - 20 * (page_id // 20))::BIGINT AS pos, page_id AS i FROM pages WHERE (page_id // 20) % 11 <> 5"""
-    reason = lambda cond, text: f"SELECT source_id, pos, '{text}' AS reason FROM f WHERE i % 97 <> 0 AND {cond}"
-    rows = f"WITH f AS ({faults}), v AS (SELECT source_id, pos, 'not an object' AS reason FROM f WHERE i % 97 = 0 UNION ALL " + " UNION ALL ".join([reason("i % 23 = 0", "missing title"), reason("i % 29 = 0", "missing company"), reason("i % 19 = 0", "url is not http(s)"), reason("i % 17 = 0", "postedAt is neither null nor a date"), reason("i % 31 = 0 AND i % 29 <> 0", "remote is not a boolean")]) + " UNION ALL SELECT DISTINCT page_id // 20, NULL::BIGINT, 'not a JSON array' FROM pages WHERE (page_id // 20) % 11 = 5) "
+    reason = lambda cond, text: f"SELECT source_id, pos, '{text}' AS reason FROM f WHERE i % 97 <> 0 AND source_id % 3 = 0 AND {cond}"
+    rows = f"WITH f AS ({faults}), v AS (SELECT source_id, pos, 'not an object' AS reason FROM f WHERE i % 97 = 0 AND source_id % 3 = 0 UNION ALL " + " UNION ALL ".join([reason("i % 23 = 0", "missing title"), reason("i % 29 = 0", "missing company"), reason("i % 19 = 0", "url is not http(s)"), reason("i % 17 = 0", "postedAt is neither null nor a date"), reason("i % 31 = 0 AND i % 29 <> 0", "remote is not a boolean")]) + " UNION ALL SELECT DISTINCT page_id // 20, NULL::BIGINT, 'not a JSON array' FROM pages WHERE (page_id // 20) % 11 = 5) "
     return out | {
         "adapter_feeds": each,
+        "walk_statuses": """WITH n AS (SELECT l_suppkey AS s, count(*) AS n, count(DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey)) AS ids FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey)
+          SELECT s AS source_id, CASE WHEN s % 2 = 0 THEN 'smartrecruiters' ELSE 'arbeitsagentur' END AS kind, CASE WHEN s % 2 = 0 THEN CASE WHEN s % 3 = 0 THEN 'failed' ELSE 'ok' END
+          WHEN ids + s % 40 <= 800 AND s % 40 <= greatest(5, ceil((ids + s % 40) * 0.02)) THEN 'ok' ELSE 'failed' END AS status, true AS complete FROM n""",
         "payload_shapes": "SELECT l_suppkey AS source_id, CASE WHEN l_suppkey % 7 = 0 AND bool_or(l_linenumber = 3) OR l_suppkey % 7 = 1 AND bool_or(l_linenumber = 2) THEN 'failed' ELSE 'ok' END AS status FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey",
         "id_dedupes": f"WITH l AS ({X.LISTINGS_SQL}) SELECT source_id, (okey % 500)::VARCHAR AS external_id, min(pos) AS pos, arg_min(title, pos) AS title, min(pos) AS last_pos, arg_max(title, pos) AS last_title FROM l GROUP BY source_id, okey % 500",
         "strict_violations": rows + "SELECT * FROM v",
@@ -249,6 +264,6 @@ def oracle_sql() -> dict[str, str]:
           SELECT source_id, pos, external_id, 'C' AS company, CASE WHEN i % 3 = 0 THEN 'Remote, EU' END AS location, CASE WHEN i % 3 = 0 THEN true END AS remote, {ts} - to_days((i % 9)::INT) AS posted_at FROM s QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY pos) = 1""",
         "board_lists": "SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'nonsense ' ELSE 'lever:acme-' END || s_suppkey AS ref, CASE WHEN s_suppkey % 4 = 0 THEN 'unknown' WHEN s_suppkey % 6 = 1 THEN 'watched' ELSE 'new' END AS status, CASE WHEN s_nationkey % 3 > 0 THEN 'g' END AS \"group\" FROM supplier",
         "scoring_requests": "SELECT doc_id, sha256(concat('Rate.', chr(10), chr(10), 'PROFILE', chr(10), 'P', chr(10), chr(10), 'JOB', chr(10), 'Title: T', doc_id, chr(10), 'Company: C', chr(10), 'Location: ', CASE WHEN doc_id % 2 = 0 THEN 'Bonn' ELSE 'unstated' END, chr(10), 'Description:', chr(10), CASE WHEN doc_id % 5 > 0 THEN left(coalesce(text, ''), 6000) ELSE '' END)) AS prompt_sha256 FROM documents",
-        "folded_titles": "SELECT doc_id, lower(strip_accents(left(text, 200))) AS folded FROM documents",
+        "folded_titles": "SELECT doc_id, sha256(lower(strip_accents(coalesce(text, '')))) AS folded_sha256 FROM documents",
         "unescaped": """SELECT page_id, sha256(replace(replace(replace(replace(replace(coalesce(html, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS html_sha256 FROM pages""",
     }

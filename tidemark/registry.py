@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import diff as D
 from tidemark.operators import filters as FL
+from tidemark.operators import names as N
 from tidemark.plans import boards, cycles, payloads
 from tidemark.plans import fixtures as X
 
@@ -18,7 +19,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    keyed = X.landed_keyed(spark, sf_dir)
+    keyed = X.kept_keyed(spark, sf_dir)
     snap = keyed.where(X.in_snapshot())
     state = X.state_of(D.first_wins(keyed.where(X.in_state())))
     return D.diff(D.first_wins(snap), state), snap, state
@@ -30,6 +31,7 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     changes, snap, _ = _changes(spark, sf_dir)
+    changes = changes.persist()  # read for the guard and for the flags
     sizes = snap.groupBy("source_id").agg(F.count(F.lit(1)).alias("size"))
     verdict = D.guard(changes, sizes, _sources(spark, sf_dir))
     return D.flagged(changes, verdict), verdict
@@ -39,6 +41,13 @@ def posting_key(spark, d):
     return X.keyed(spark, d).select("source_id", "pos", "key", "key_full")
 
 
+def dictionary_keys(spark, d):
+    """Keys by way of the dictionary of strings: half of the listings' strings are known, the rest are normalised."""
+    listings = X.listings(spark, d)
+    known = N.normalised(N.strings(listings.where("okey % 2 = 0")))
+    return N.keyed(listings, known.unionByName(N.normalised(N.missing(listings, known)))).select("source_id", "pos", "key", "key_full")
+
+
 def first_listing_wins(spark, d):
     return D.first_wins(X.keyed(spark, d)).select("source_id", "key", "pos", "external_id")
 
@@ -71,7 +80,7 @@ def change_events(spark, d):
 
 
 def poll_report(spark, d):
-    dropped = X.listings(spark, d).groupBy("source_id").agg(F.count_if(~X.in_snapshot()).alias("filtered"))
+    dropped = X.kept_keyed(spark, d).groupBy("source_id").agg(F.count_if(~X.in_snapshot()).alias("filtered"))
     return D.poll_report(_flags(spark, d)[0], dropped)
 
 
@@ -126,7 +135,7 @@ def term_matches(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (posting_key, first_listing_wins, duplicate_keys, snapshot_diff, vanished, mass_delist_guard, state_roll_forward, change_events, poll_report, cycle_totals, newest_per_source, stale_sweep, deadline_sweep, cross_source_matches, source_health, quiet_groups, age_labels, strip_html, filter_listings, term_matches)
+    own = (posting_key, dictionary_keys, first_listing_wins, duplicate_keys, snapshot_diff, vanished, mass_delist_guard, state_roll_forward, change_events, poll_report, cycle_totals, newest_per_source, stale_sweep, deadline_sweep, cross_source_matches, source_health, quiet_groups, age_labels, strip_html, filter_listings, term_matches)
     return {f.__name__: f for f in own} | boards.queries() | cycles.queries() | payloads.queries()
 
 
@@ -143,6 +152,7 @@ def oracle_sql() -> dict[str, str]:
     minutes = f"greatest(0, floor(date_diff('microsecond', ts, TIMESTAMP '{X.EVENTS_AS_OF}') / 60000000))::BIGINT"
     return {
         "posting_key": keyed + "SELECT source_id, pos, key, key_full FROM keyed",
+        "dictionary_keys": keyed + "SELECT source_id, pos, key, key_full FROM keyed",
         "first_listing_wins": keyed + "SELECT source_id, key, pos, external_id FROM keyed QUALIFY row_number() OVER (PARTITION BY source_id, key ORDER BY pos) = 1",
         "duplicate_keys": keyed + "SELECT source_id, key, count(*) AS copies FROM keyed GROUP BY source_id, key HAVING count(*) > 1",
         "snapshot_diff": diff + "SELECT source_id, key, change, CASE WHEN change IN ('updated', 'reposted') THEN array_to_string(fields, ',') END AS fields, s_ext AS stored_id, f_ext AS fetched_id FROM changes",

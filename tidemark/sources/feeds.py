@@ -31,7 +31,10 @@ def _listing(rows: DataFrame, **cols: Column) -> DataFrame:
 
 
 def _ts(x: Column) -> Column:
-    return F.try_to_timestamp(x)
+    """Instant of an ISO text; without a zone it is UTC, whatever the session's zone."""
+    t = F.trim(x)
+    zoned = t.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$") & t.contains(":")
+    return F.try_to_timestamp(F.when(zoned, t).when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit("T00:00:00Z"))).otherwise(F.concat(t, F.lit("Z"))))
 
 
 def _filled(x: Column) -> Column:
@@ -89,10 +92,14 @@ def with_details(listings: DataFrame, details: DataFrame) -> DataFrame:
     return listings.join(text, ["source_id", "external_id"], "left").withColumn("description", F.coalesce("_text", "description")).select(*listings.columns)
 
 
+def clean(x: Column) -> Column:
+    """Trimmed; null if it says that there is nothing."""
+    return F.when(~F.trim(x).isin("", "null", "undefined", "-"), F.trim(x))
+
+
 def public_search(raw: DataFrame) -> DataFrame:
     r = _rows(raw, F.from_json("payload", PUBLIC)["stellenangebote"])
     j = F.col("j")
-    clean = lambda x: F.when(~F.trim(x).isin("", "null", "undefined", "-"), F.trim(x))
     city, region = clean(j["arbeitsort"]["ort"]), clean(j["arbeitsort"]["region"])
     place = F.when(city.isNull(), region).when(region.isNotNull() & (F.lower(region) != F.lower(city)), F.concat(city, F.lit(", "), region)).otherwise(city)
     return _listing(r, external_id=clean(j["refnr"]), title=F.coalesce(clean(j["titel"]), clean(j["beruf"]), F.lit("(ohne Titel)")), company=F.coalesce(clean(j["arbeitgeber"]), F.lit("unbekannt")), location=place, url=F.coalesce(clean(j["externeUrl"]), F.concat(F.lit("https://www.arbeitsagentur.de/jobsuche/jobdetail/"), F.url_encode(clean(j["refnr"])))), posted_at=_ts(clean(j["aktuelleVeroeffentlichungsdatum"])))
@@ -140,7 +147,7 @@ def strict(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select("source_id", "page_no", "pos", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("object"), *[kind[f].alias(f"k_{f}") for f in every], *[text[f].alias(f) for f in every])
     given = lambda f: F.coalesce(~F.col(f"k_{f}").isin("VOID"), F.lit(False))
     is_text = lambda f: F.coalesce(F.col(f"k_{f}") == "STRING", F.lit(False))
-    when = F.coalesce(F.try_to_timestamp("postedAt"), F.try_to_timestamp("postedAt", F.lit("yyyy-MM-dd")))
+    when = _ts(F.col("postedAt"))
     filled = {f: is_text(f) & (F.col(f) != "") for f in REQUIRED}
     faults = [F.when(~filled[f], F.lit(f"missing {f}")) for f in REQUIRED]
     faults.append(F.when(filled["url"] & ~F.col("url").rlike("(?i)^https?://"), F.lit("url is not http(s)")))

@@ -1,9 +1,8 @@
-"""Landed tables: intermediate rows written once to the folder that all executors share, and read back."""
+"""Where rows lie: the folder that all executors share, and rows dealt out to all cores."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table: costly columns are computed once however often they are read, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as cores: a feed that landed as few large files would otherwise be worked off by as few tasks."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
