@@ -214,9 +214,9 @@ def _iso(micros: int) -> str:
     return datetime.fromtimestamp(micros // 1_000_000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def _out(key, kind: str, **fields) -> Row:
+def _out(of, kind: str, **fields) -> Row:
     names = [c.strip().split()[0] for c in OUT.split(",")]
-    return Row(**{n: None for n in names} | {"kind": kind, "source_id": key[0], "shard": key[1]} | fields)
+    return Row(**{n: None for n in names} | {"kind": kind, "source_id": of[0], "shard": of[1]} | fields)
 
 
 def shard_of(shards: int):
