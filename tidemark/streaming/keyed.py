@@ -29,7 +29,7 @@ FIELDS = ("external_id", "title", "company", "location", "remote", "department",
 LISTING = "pos bigint, " + ", ".join(f"{n} {TYPES[n]}" for n in FIELDS)
 #: What comes in. kind: row (a listing of a snapshot), end (the snapshot is whole; size rows), verdict, action. ``at`` is the stream's clock, ``time`` the cycle's or action's instant.
 FEED = f"at timestamp, kind string, source_id bigint, shard int, cycle bigint, time bigint, key string, listing struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in LISTING.split(', '))}>, complete boolean, rebaseline boolean, size bigint, accepted boolean, action string, user string"
-#: What goes out. kind: tally, event, row (JSON in ``payload``).
+#: What goes out. kind: tally, event, row (JSON in ``payload``), clock (the latest instant that a shard has met).
 OUT = "kind string, source_id bigint, shard int, cycle bigint, time bigint, key string, type string, payload string, complete boolean, rebaseline boolean, size bigint, open_before bigint, vanished bigint, clock bigint"
 
 
@@ -66,7 +66,7 @@ class Postings(StatefulProcessor):
             if r["kind"] == "row":
                 name, new = (r["cycle"], r["key"]), r["listing"]
                 if not self.held.containsKey(name) or new["pos"] < self.held.getValue(name)[0]:
-                    self.held.updateValue(name, tuple(new))
+                    self.held.updateValue(name, tuple(new[c] for c in ("pos", *FIELDS)))
             elif r["kind"] == "end":
                 todo["ends"].setdefault(str(r["cycle"]), {"time": r["time"], "complete": r["complete"], "rebaseline": r["rebaseline"], "size": r["size"]})
             elif r["kind"] == "verdict":
@@ -75,6 +75,7 @@ class Postings(StatefulProcessor):
             else:
                 todo["actions"].append([r["time"], r["key"], r["action"], r["user"]])
         yield from self._drain(key, todo)
+        yield _out(key, "clock", clock=todo["clock"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         todo = self._load()
@@ -260,21 +261,22 @@ def start(feed: DataFrame, folder: str, checkpoint: str, shards: int, ratio: flo
             tallies = rows.where("kind = 'tally'")
             tallies.write.mode("overwrite").parquet(f"{folder}/tallies/batch={number}")
             if not tallies.isEmpty():
-                _decide(spark, folder, shards, ratio)
+                # not before anything this batch has met: rows behind the watermark would be dropped as late
+                _decide(spark, folder, shards, ratio, rows.agg(F.max("clock").alias("c")).first()["c"])
         finally:
             rows.unpersist()
 
     return out.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
-def _decide(spark: SparkSession, folder: str, shards: int, ratio: float) -> None:
+def _decide(spark: SparkSession, folder: str, shards: int, ratio: float, clock: int) -> None:
     """Verdicts on the cycles of which every shard has told its numbers."""
     known = spark.read.schema(FEED).parquet(f"{folder}/verdicts").select("source_id", "cycle").distinct()
     told = spark.read.parquet(f"{folder}/tallies").dropDuplicates(["source_id", "cycle", "shard"]).join(known, ["source_id", "cycle"], "left_anti")
     sums = told.groupBy("source_id", "cycle").agg(*[F.max(c).alias(c) for c in ("time", "complete", "rebaseline", "size", "clock")], F.sum("open_before").alias("open_before"), F.sum("vanished").alias("vanished"), F.count(F.lit(1)).alias("n"))
     done = sums.where(F.col("n") == shards).withColumn("accepted", D.accepts(ratio))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    rows = done.select(F.timestamp_micros(F.col("clock") + 1000).alias("at"), F.lit("verdict").alias("kind"), "source_id", every, "cycle", "time", "accepted")
+    rows = done.select(F.timestamp_micros(F.greatest(F.col("clock"), F.lit(clock)) + 1000).alias("at"), F.lit("verdict").alias("kind"), "source_id", every, "cycle", "time", "accepted")
     empty = spark.createDataFrame([], FEED)
     empty.unionByName(rows, allowMissingColumns=True).select(*empty.columns).write.mode("append").parquet(f"{folder}/verdicts")
 
