@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from tidemark.llm import lines as L
 
@@ -37,3 +38,38 @@ def test_first_holder_has_only_a_part(spark):
     got = {r.doc_id: list(r.lines) for r in L.repeated_lines(frame).collect()}
     assert got == all_runs(docs)
     assert got[2] == [0, 1] and got[6] == [1, 2]
+
+
+def test_minima_are_the_leftmost_least_lines():
+    rnd = random.Random(5)
+    for _ in range(100):
+        n = rnd.randint(0, 70)
+        h, c = [rnd.randint(-4, 4) for _ in range(n)], [rnd.choice([1, 1, 3, 20, 60]) for _ in range(n)]
+        _, start, end = L.windows(h, c)
+        assert L.minima(h, start, end).tolist() == [min(range(a, b), key=lambda i: (h[i], i)) for a, b in zip(start, end, strict=True)]
+
+
+def test_query_equals_all_pairs(spark, tmp_path):
+    rnd = random.Random(12)
+    line = lambda n: " ".join(f"w{rnd.randrange(99999)}" for _ in range(n))
+    pool = [line(rnd.choice([1, 4, 9, 20, 30, 60])) for _ in range(25)]
+    docs = {i: "\n".join(rnd.choice([rnd.choice(pool), rnd.choice(pool), line(7), ""]) for _ in range(rnd.randint(1, 14))) for i in range(60)}
+    for i in range(60, 75):  # whole passages between lines of their own
+        at = rnd.randrange(12)
+        docs[i] = "\n".join([line(3), *pool[at : at + rnd.randint(2, 12)], line(3)])
+    docs |= {80: "", 81: "\n \n", 82: docs[70], 83: "\n".join([pool[3]] * 200)}
+    spark.createDataFrame([*docs.items(), (90, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = all_runs(docs)
+    got = {r.doc_id: r for r in L.op10_lines(spark, str(tmp_path)).collect()}
+    assert set(got) == {*docs, 90} and len(want) > 20
+    for d, t in (docs | {90: ""}).items():
+        gone = want.get(d, [])
+        assert list(got[d].deleted_lines) == gone and got[d].n_deleted_lines == len(gone)
+        if not gone:
+            assert got[d].kept_crc32 == zlib.crc32(t.encode())
+    assert got[82].n_deleted_lines == len(docs[82].split("\n")) and got[82].kept_crc32 == 0
+    lone = [i for i in range(60, 75) if want.get(i) and want[i] == list(range(1, len(docs[i].split("\n")) - 1))]
+    assert lone
+    for i in lone:  # only the first and the last line stay
+        first, *_, last = docs[i].split("\n")
+        assert got[i].kept_crc32 == zlib.crc32(f"{first}\n{last}".encode())

@@ -1,13 +1,16 @@
-"""Line dedup by windows over line hashes.
+"""Line dedup by winnowing over line hashes.
 
 A document is the sequence of the hashes of its lines with words. A window is a run of lines that is the shortest from its first
-line, or the shortest to its last line, with at least ``MIN_WORDS`` words; every window's hash is a mark. Any line
-of a run of that many words lies in a window inside the run.
+line, or the shortest to its last line, with at least ``MIN_WORDS`` words. Any line of a run of that many words lies in a window inside the run.
 
-Every later occurrence of a window is found by a join of its position with the window's first one (by doc_id, then
-text hash, then line): a star, never all pairs. All windows are marks, not only the least hash of several, since the first holder
-of a thinned-out mark need not hold the whole run. A match is extended both ways by joining the matched windows that overlap or touch: as every window
-of a repeated run is matched, their union is the maximal run, and no source has to be fetched and compared line by line. The later copy of each maximal run of at least ``MIN_WORDS``
+Winnowing: each window selects its line with the least hash (the leftmost of equal ones), so the same run selects the same lines wherever it
+stands. The selected lines are the fingerprints: a third or fewer of all lines in prose, one row each, with the windows that selected them. Their
+positions are joined on the line's hash; a fingerprint that stands in one place only rules out all its windows, which go no further.
+
+The first holder of a fingerprint need not hold the whole run around it. So a place with a shared fingerprint is matched by the
+stretches on both sides that its windows state: each of them is joined with its own first place (by doc_id, then text hash, then line), a star, never
+all pairs. A match is extended both ways over the windows that overlap or touch it as long as they are matched too: every window of a repeated run
+has its fingerprint in the run, so their union is the maximal run, whichever earlier places hold its parts. The later copy of each maximal run of at least ``MIN_WORDS``
 words is deleted. The earliest copy of any line is never deleted: what would delete it is an earlier copy. Work and rows grow with the number of lines, also
 in a document of equal lines.
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import aside, restored, row_key, stored
+from tidemark.llm.common import aside, dropped, restored, row_key, stored
 
 MIN_WORDS = 50
 
@@ -67,29 +70,59 @@ def windows(hashes: list[int], counts: list[int], min_words: int = MIN_WORDS) ->
     return g.view(np.int64), start.astype(np.int32), end.astype(np.int32)
 
 
-MARKS = "doc_id bigint, key bigint, marks array<struct<g:bigint,line:int,stop:int>>"
+def minima(hashes: list[int], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The line with the least hash in every window, the leftmost of equal ones."""
+    h, size = np.array(hashes, np.int64), end - start
+    least, out = np.arange(len(h)), np.zeros(len(start), np.int64)
+    lower = lambda x, y: np.where(h[x] <= h[y], x, y)
+    span = 1  # least: the least line of the span lines from each line
+    while len(start):
+        fits = (size >= span) & (size < 2 * span)
+        out[fits] = lower(least[start[fits]], least[end[fits] - span])
+        if 2 * span > size.max():
+            break
+        least = lower(least[:-span], least[span:])
+        span *= 2
+    return out
 
 
-def index_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The windows (see ``MARKS``) of every row of ``documents``; rows without any are left out."""
+PRINTS = "doc_id bigint, key bigint, f bigint, marks array<struct<g:bigint,line:int,stop:int>>"
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [windows(*line_hashes(t.as_py()), min_words) for t in batch.column(2)]
-            size = np.array([len(f[0]) for f in found], np.int64)
-            rows = pa.array(np.flatnonzero(size))
-            g, line, stop = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-            parts = pa.StructArray.from_arrays([pa.array(g, pa.int64()), pa.array(line, pa.int32()), pa.array(stop, pa.int32())], ["g", "line", "stop"])
-            upto = np.concatenate([[0], np.cumsum(size[size > 0])]).astype(np.int32)
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.ListArray.from_arrays(pa.array(upto), parts)], names=["doc_id", "key", "marks"])
 
-    return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(index, MARKS)
+def fingerprints(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The selected lines (see ``PRINTS``) of every row of ``documents``, each with the windows that select it."""
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, prints, sizes, marks = [], [], [], []
+            for row, text in enumerate(batch.column(2)):
+                hashes, counts = line_hashes(text.as_py())
+                g, line, stop = windows(hashes, counts, min_words)
+                if len(g):
+                    at = minima(hashes, line, stop)
+                    order = np.argsort(at, kind="stable")
+                    lines, size = np.unique(at, return_counts=True)
+                    rows.append(np.full(len(lines), row))
+                    prints.append(np.array(hashes, np.int64)[lines])
+                    sizes.append(size)
+                    marks.append((g[order], line[order], stop[order]))
+            if rows:
+                g, line, stop = (pa.array(np.concatenate([m[k] for m in marks])) for k in range(3))
+                upto = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+                took = pa.array(np.concatenate(rows))
+                parts = pa.ListArray.from_arrays(upto, pa.StructArray.from_arrays([g, line, stop], ["g", "line", "stop"]))
+                yield pa.record_batch([batch.column(0).take(took), batch.column(1).take(took), pa.array(np.concatenate(prints)), parts], names=["doc_id", "key", "f", "marks"])
+
+    return documents.select("doc_id", row_key().alias("key"), "text").mapInArrow(select, PRINTS)
 
 
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, key, lines): the lines to delete, numbered among lines with words, of each document that has any."""
-    index = stored(index_lines(documents, min_words), "lines")
-    marks = index.select("doc_id", "key", F.explode("marks").alias("m")).select("m.g", "doc_id", "key", "m.line", "m.stop")
+    prints = stored(fingerprints(documents, min_words), "lines")
+    shared = prints.groupBy("f").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("f")
+    met = prints.join(shared, "f").select("doc_id", "key", F.explode("marks").alias("m"))
+    marks = stored(met.select("m.g", "doc_id", "key", "m.line", "m.stop"), "line-marks")
+    dropped(prints)
     first = marks.groupBy("g").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("g", "first")
     later = marks.join(first, "g").where(~(F.struct("doc_id", "key", "line").eqNullSafe(F.col("first"))))
     runs = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("line", "stop")).alias("w"))
