@@ -157,6 +157,23 @@ def test_a_byte_s_probabilities_sum_to_one_at_most():
     assert 0.95 < total < 1.0001  # what is missing are frequent bytes behind the code of the others, where they never stand
 
 
+def test_scores_depend_on_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(X, "STREAM_BYTES", 9000)
+    monkeypatch.setattr(X, "SEGMENT_TOKENS", 1000)
+    rows = [*corpus(120), (7, None), (None, "a b a"), (7, None), (900, "long " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = X.segments(docs).select("seg", "ends").collect()
+    assert len({r.seg >> 24 for r in made}) > 3 and len(made) == len({r.seg for r in made}) and any(r.seg & 0xFFFFFF for r in made)
+    scored = []
+    for parts in (1, 4, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            scored.append(sorted(map(repr, X.score(docs.repartition(parts)).collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(scored[0]) == len(rows) and scored[0] == scored[1] == scored[2]
+
+
 def test_copies_are_told_apart_and_long_words_cost(spark):
     rows = [r for r in corpus(300, 3) if len(r[1].split()) > 30]
     twice = [(1000 + i, t) for i, t in rows[:10]]

@@ -11,16 +11,17 @@ and scores of both are comparable; a text that stands twice in the corpus is tol
 
 Where the work is done:
 
-* Documents become segments (the distinct words, and every token's word), stored in the shared folder.
+* Texts are dealt to streams by the hash of id and text, as many as their bytes ask for, and lie in each in the order of that hash. Streams become segments (the
+  distinct words, and every token's word), stored in the shared folder: which texts meet in a segment depends on the rows alone, not on files or tasks.
 * Context counts (see ``ORDERS``) are exact and grow with the corpus: every segment sends its distinct hashed contexts, cut by hash range into parts; a part sums them
   and answers each segment. A common context counts once a segment. Words are told by 64 bits, longer contexts by 32 bits and the part.
-* Every task trains a mixer over its segments; predictor tables, weights and refinement are vectors of fixed size that are summed in Spark slice by slice
-  (weights by tokens) before the driver reads one such vector.
+* Every segment trains a mixer from the start; predictor tables, weights and refinement (by the bits that each gate or cell saw) are vectors of fixed size in whole
+  numbers, summed by the tasks and then in Spark slice by slice before the driver reads one such vector. Sums of whole numbers don't depend on the order, so neither do scores.
 * Segments are scored with that vector, one row a document.
 
 Defined results: null text is empty text, which has one token, the end; null doc_id counts as the empty string for the
 hold-out rule; no training text gives base score log10(1/1) a token and an untrained model; texts are read whole;
-repeated rows get equal results up to the order of their neighbours in a segment, which the last outcomes at a text's start don't cross; an empty table gives no rows; other columns are ignored.
+repeated rows get equal results, as nothing crosses the start of a text, and meet in one stream, whose segments are cut by tokens like any other's; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, freed, stored
+from tidemark.llm.common import dropped, freed, row_key, stored
 
-SEGMENT_TOKENS = 1_000_000
+#: Bytes of text of a stream on average, and tokens at which its segments are cut.
+STREAM_BYTES, SEGMENT_TOKENS = 1 << 22, 1_000_000
 #: Distinct contexts of a part on average.
 PART_KEYS = 3_000_000
 #: Contexts that are counted: word; word before and word; last letters before and word; last letters before.
@@ -52,6 +53,8 @@ LEVEL_SLOTS, LEVEL_INPUTS = 1 << 14, 3
 LEVEL_GATES, SPELL_GATES = len(LEVELS) * 16, 64
 STEPS = 33
 SLICE = 1 << 16
+#: What is learned is summed in units of one part in so many.
+UNIT = 1 << 12
 DELTA = 0.4
 START = np.uint64(0x2545F4914F6CDD1D)
 #: Bits that are predicted before they are learned.
@@ -80,10 +83,10 @@ def _code(blob: bytes) -> np.ndarray:
 
 
 def segments(documents: DataFrame) -> DataFrame:
-    """Segments (see ``SEGMENT``) of whole texts. The end token is the empty word."""
+    """Segments (see ``SEGMENT``) of whole texts, by stream. The end token is the empty word."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        stream = number = None
 
         def fresh() -> tuple:
             lookup = defaultdict(int, {b"": 0})
@@ -97,14 +100,16 @@ def segments(documents: DataFrame) -> DataFrame:
 
         ids, held, sizes, ends, lookup, codes, n = fresh()
         for batch in batches:
-            for doc_id, out, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            for doc_id, out, raw, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
                 raw = raw.as_py() or b""
                 w = raw.lower().split()
                 w.append(b"")
-                if n and n + len(w) > SEGMENT_TOKENS:
+                if n and (of != stream or n + len(w) > SEGMENT_TOKENS):
                     yield made()
                     number += 1
                     ids, held, sizes, ends, lookup, codes, n = fresh()
+                if of != stream:
+                    stream, number = of, of << 24
                 codes.append(np.fromiter(map(lookup.__getitem__, w), np.int32, len(w)))
                 n += len(w)
                 ids.append(doc_id)
@@ -115,7 +120,10 @@ def segments(documents: DataFrame) -> DataFrame:
             yield made()
 
     held = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 7 == 2
-    return documents.select("doc_id", held.alias("held"), "text").mapInArrow(build, SEGMENT)
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    stream = F.pmod(row_key(), F.lit(max(1, -(-size // STREAM_BYTES))))
+    dealt = documents.select("doc_id", held.alias("held"), "text", stream.alias("stream"), row_key().alias("row")).repartition("stream")
+    return dealt.sortWithinPartitions("stream", "row", "doc_id").drop("row").mapInArrow(build, SEGMENT)
 
 
 def mixed_hash(x: np.ndarray) -> np.ndarray:
@@ -403,6 +411,8 @@ class Mixer:
         self.weights = np.full((gates, inputs), 1.2 / inputs, np.float32)
         self.refine = np.tile(1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2.0)), (gates, 1)).astype(np.float32)
         self.seen = 0.0
+        #: Bits that each gate and each cell of the refinement has learned from, and one.
+        self.hits, self.cells = np.ones((gates, 1)), np.ones((gates, STEPS))
 
     def inputs_of(self, slots: list[np.ndarray], bit: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Stretched probabilities, and how often each slot was seen. ``own`` marks bits that the counts have learned from this very text: they are taken out."""
@@ -444,8 +454,10 @@ class Mixer:
             self.weights[:, k] += rate * np.bincount(gate, error * stretch[:, k], self.gates) / (n + 50)
         low, part = self.place(mixed)
         cell, size = gate * STEPS + low + (part > 0.5), self.gates * STEPS
-        wrong = np.bincount(cell, y - self.refine.ravel()[cell], size)
-        self.refine += (wrong / (np.bincount(cell, minlength=size) + 100)).reshape(self.refine.shape)
+        wrong, met = np.bincount(cell, y - self.refine.ravel()[cell], size), np.bincount(cell, minlength=size)
+        self.refine += (wrong / (met + 100)).reshape(self.refine.shape)
+        self.hits += n[:, None]
+        self.cells += met.reshape(self.cells.shape)
         np.clip(self.refine, 1e-5, 1 - 1e-5, out=self.refine)
         for s in slots:
             np.add.at(self.counts.reshape(-1), 2 * s + bit, np.float32(1))
@@ -475,19 +487,21 @@ class Model:
         """Everything learned as sums: counts, and weights and refinement times the bits they saw."""
         out = []
         for m in (self.levels, self.spelling):
-            out += [m.counts.ravel(), m.weights.ravel() * m.seen, m.refine.ravel() * m.seen, [m.seen]]
-        return np.concatenate(out).astype(np.float64)
+            out += [m.counts.ravel(), (m.weights * m.hits).ravel(), (m.refine * m.cells).ravel(), m.hits.ravel(), m.cells.ravel(), [m.seen]]
+        return np.concatenate(out, dtype=np.float64)
 
     @classmethod
     def of(cls, vector: np.ndarray) -> Model:
+        """The model of summed vectors; of none (all zero) an untrained one."""
         out, at = cls(), 0
         for m in (out.levels, out.spelling):
-            size = [m.counts.size, m.weights.size, m.refine.size, 1]
-            parts = np.split(vector[at : at + sum(size)], np.cumsum(size)[:-1])
+            shapes = [x.shape for x in (m.counts, m.weights, m.refine, m.hits, m.cells)] + [(1,)]
+            size = [int(np.prod(x)) for x in shapes]
+            counts, weights, refine, hits, cells, seen = (x.reshape(k) for x, k in zip(np.split(vector[at : at + sum(size)], np.cumsum(size)[:-1]), shapes, strict=True))
             at += sum(size)
-            m.counts, m.seen = parts[0].reshape(m.counts.shape).astype(np.float32), float(parts[3][0])
-            if m.seen:
-                m.weights, m.refine = parts[1].reshape(m.weights.shape) / m.seen, parts[2].reshape(m.refine.shape) / m.seen
+            if hits.any():
+                m.counts, m.seen, m.hits, m.cells = counts.astype(np.float32), float(seen[0]), hits, cells
+                m.weights, m.refine = (weights / hits).astype(np.float32), (refine / cells).astype(np.float32)
         return out
 
     def learn(self, seg: Segment, tokens: Tokens) -> None:
@@ -528,35 +542,38 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def train(every: DataFrame, tokens: int, texts: int) -> Model:
-    """Each task trains over its segments; the tasks' vectors are summed slice by slice in Spark."""
+    """Each segment trains a model; their vectors, in whole units, are summed by task and then slice by slice in Spark."""
     schema = "part bigint, data binary"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, some = Model(), False
-        for row in _rows(batches):
-            seg = Segment(row)
-            model.learn(seg, Tokens(seg, row, tokens, texts))
-            some = True
-        vector = model.vector() if some else np.zeros(0)
+    def slices(vector: np.ndarray) -> Iterator[pa.RecordBatch]:
         for part in range(-(-len(vector) // SLICE)):
             piece = vector[part * SLICE : (part + 1) * SLICE]
             if piece.any():
-                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([_squeezed(piece.astype(np.float32).tobytes())], pa.binary())], names=["part", "data"])
+                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([_squeezed(piece.tobytes())], pa.binary())], names=["part", "data"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for row in _rows(batches):
+            seg, model = Segment(row), Model()
+            model.learn(seg, Tokens(seg, row, tokens, texts))
+            learned = np.rint(model.vector() * UNIT).astype(np.int64)
+            total = total + learned if len(total) else learned
+        yield from slices(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                piece = np.frombuffer(_full(data.as_py()), np.float32).astype(np.float64)
+                piece = np.frombuffer(_full(data.as_py()), np.int64)
                 total[part] = total[part] + piece if part in total else piece
         for part, piece in total.items():
             yield pa.record_batch([pa.array([part], pa.int64()), pa.array([_squeezed(piece.tobytes())], pa.binary())], names=["part", "data"])
 
-    vector = Model().vector() * 0
+    vector = np.zeros(len(Model().vector()), np.int64)
     for row in every.mapInArrow(work, schema).repartition("part").mapInArrow(add, schema).collect():  # one vector of fixed size
-        piece = np.frombuffer(_full(row["data"]))
+        piece = np.frombuffer(_full(row["data"]), np.int64)
         vector[row["part"] * SLICE : row["part"] * SLICE + len(piece)] = piece
-    return Model.of(vector)
+    return Model.of(vector / UNIT)
 
 
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
@@ -566,6 +583,7 @@ def score(documents: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row."""
     sc = documents.sparkSession.sparkContext
     held = stored(segments(documents), "segments")
+    freed(documents.sparkSession)  # the exchange of texts
     ends = F.arrays_zip(F.col("held").alias("held"), F.col("ends").alias("e"), F.concat(F.array(F.lit(0).cast("long")), F.col("ends")).alias("b"))
     train_texts = F.filter(ends, lambda x: x["held"] == F.lit(False))
     all_tokens, tokens, texts = held.select(F.element_at("ends", -1).alias("n"), F.aggregate(train_texts, F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["b"]).alias("t"), F.size(train_texts).alias("d")).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "t", "d")]).first()
