@@ -52,8 +52,10 @@ def test_every_capacity_binds():
     assert max(full([260] * 3 + [3] * 200)) <= P.DOCUMENTS
     mixed = P.best_fit(np.array([640] + [20] * 45))[0]  # 660 to 1024 tokens would hold 18 more of 20; 25 + 39 tiles hold 39
     assert np.bincount(mixed).max() <= P.DOCUMENTS
-    tiles = P.best_fit(np.array([770] + [5] * 47))[0]  # 49 tiles, so 15 more documents, though tokens and documents have room
-    assert np.bincount(tiles)[tiles[0]] == 16
+    tiles = P.best_fit(np.array([770] + [5] * 47))[0]  # 49 tiles, so 23 more documents, though tokens and documents have room
+    assert np.bincount(tiles)[tiles[0]] == 24
+    long = P.best_fit(np.array([1000] + [3] * 20))[0]  # 64 tiles leave room for 8 documents beside the longest pieces
+    assert np.bincount(long)[long[0]] == 9
 
 
 def test_query_round_trip(spark, tmp_path):

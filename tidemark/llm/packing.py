@@ -2,7 +2,7 @@
 
 Documents become pieces of at most ``TOKENS`` ids; pieces are packed into sequences with
 three capacities: tokens, documents, and attention cost. A block-diagonal attention kernel works in square tiles of ``TILE`` tokens and
-fills those it touches, so a document of n tokens costs ceil(n / TILE)^2 of them; a sequence may cost as much as one full piece. Many short documents meet this limit or that of documents long
+fills those it touches, so a document of n tokens costs ceil(n / TILE)^2 of them; a sequence may cost one full piece and ``BESIDE`` tiles, so short documents can fill up what the longest pieces leave. Many short documents meet this limit or that of documents long
 before the tokens are used up. Vector best fit,
 longest pieces first: of the open sequences that can take the piece in every dimension, the one with the
 smallest weighted residual norm is chosen (ties: the fuller one, then the one opened first). Norms are whole numbers, so equal ones are equal.
@@ -36,7 +36,9 @@ from tidemark.llm.common import aside, stored
 TOKENS = 1024
 DOCUMENTS = 48
 TILE = 128
-ATTENTION = (TOKENS // TILE) ** 2
+#: Tiles beside a full piece.
+BESIDE = 8
+ATTENTION = (TOKENS // TILE) ** 2 + BESIDE
 #: Weights of the residuals of tokens, documents and attention cost, in twentieths.
 WEIGHTS = (20, 1, 1)
 END_ID = 2
