@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+from tidemark.operators import diff as D
+from tidemark.operators import names as N
 from tidemark.plans import payloads
 
 
@@ -12,3 +15,25 @@ def test_violations_of_every_source(spark):
     ids = [r.page_id for r in spark.read.parquet(f"{d}/pages.parquet").where("page_id % 23 = 0 and page_id % 97 <> 0").select("page_id").collect()]
     assert got == {(i // 20, i % 20) for i in ids if i // 20 % 11 != 5}
     assert {s % 3 for s, _ in got} == {0, 1, 2}
+
+
+def test_shared_strings_are_normalised_once(spark):
+    """Many copies of few strings: the memo holds each once, and keys are those of the row-by-row form, whether the memo holds a string or not."""
+    some = [("Dev (m/w/d)", "Acme GmbH", "Berlin, DE", False), ("Dev - Remote", "Acme, Inc.", None, True), ("Büro Ingénieur", "Süd AG", "Köln", None), (None, "Acme", "", True), ("Ops REQ-10004", None, "Remote", False)]
+    rows = [(n * len(some) + i, *r) for n in range(40) for i, r in enumerate(some)] + [(1000, "Only one", "Solo Ltd", "Bonn", None)]
+    listings = spark.createDataFrame(rows, "pos long, title string, company string, location string, remote boolean")
+    want = {r.pos: (r.key_full, r.key) for r in T.with_keys(listings).collect()}
+    for most in (1, 100_000):
+        assert N.memo(listings, most).count() == min(most, 12)
+        assert {r.pos: (r.key_full, r.key) for r in N.with_keys(listings, most).collect()} == want
+
+
+def test_copies_of_a_key_go_before_wide_rows_are_moved(spark):
+    """Of keys with many copies only the rows that may be first are sorted; what comes first stays the same, held or not."""
+    rows = spark.range(3000).select((F.col("id") % 2).alias("source_id"), (F.col("id") % 5).cast("string").alias("key"), ((F.col("id") * 7919) % 3001).alias("pos"), F.col("id").alias("other"))
+    late, even = F.col("pos") > 1000, F.col("other") % 2 == 0
+    best = lambda df: sorted(map(tuple, D.first_wins(df).collect()))
+    assert D.contenders(rows, late, even).count() <= 20
+    for most in (3, 180_000):
+        few = D.contenders(rows, late, even, most=most)
+        assert best(few.where(late)) == best(rows.where(late)) and best(few.where(even)) == best(rows.where(even))

@@ -36,6 +36,25 @@ def first_wins(listings: DataFrame) -> DataFrame:
     return keyed.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
+#: Most keys whose first place is held while rows are read: so many are small enough to be broadcast.
+MOST_HELD = 180_000
+
+
+def contenders(keyed: DataFrame, *groups: Column, most: int = MOST_HELD) -> DataFrame:
+    """Rows of the groups that may be the first of their key in one of them: of keys with many copies only those at the first place.
+
+    The first places are found on bare keys, before any wide row is sorted or moved. Keys that aren't held keep all their rows, so ``first_wins`` of a group is the same over the contenders.
+    """
+    groups = groups or (F.lit(True),)
+    some = reduce(or_, groups)
+    least = [F.min(F.when(g, F.col("pos"))).alias(f"_least{n}") for n, g in enumerate(groups)]
+    many = keyed.where(some).groupBy("source_id", "key").agg(*least, F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * len(groups)).drop("_n").limit(most)
+    held = many.select(F.col("source_id").alias("_source"), F.col("key").alias("_key"), *[f"_least{n}" for n in range(len(groups))])
+    j = keyed.where(some).join(held, (F.col("source_id") == F.col("_source")) & (F.col("key") == F.col("_key")), "left")
+    first = reduce(or_, [F.coalesce(g & (F.col("pos") <= F.col(f"_least{n}")), F.lit(False)) for n, g in enumerate(groups)])
+    return j.where(F.col("_key").isNull() | first).select(*keyed.columns)
+
+
 def id_dedupe(listings: DataFrame, last: bool = False) -> DataFrame:
     """One listing per (source_id, external_id): the first, or the last's values at the first's place."""
     w = Window.partitionBy("source_id", "external_id")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
+#: Most strings of a memo: it stays small enough to be broadcast, whatever the listings hold.
+MOST_COMMON = 100_000
 ENTRIES = "kind string, raw string, remote boolean, value string"
 
 
@@ -51,3 +53,38 @@ def keyed(listings: DataFrame, entries: DataFrame) -> DataFrame:
         out = out.join(mine, same, "left").drop("_raw", "_remote")
     full = T.key_full(F.col("_t"), F.col("_c"), F.col("_l"))
     return out.withColumn("key_full", full).withColumn("key", F.left("key_full", F.lit(12))).drop("_t", "_c", "_l")
+
+
+def _tagged() -> dict[str, Column]:
+    """The three strings of a listing, each with a first letter that tells its kind; a location's also tells whether it is remote."""
+    place = F.when(F.coalesce(F.col("remote"), F.lit(False)), "r").otherwise("l")
+    return {"title": F.concat(F.lit("t"), F.col("title")), "company": F.concat(F.lit("c"), F.col("company")), "location": F.concat(place, F.col("location"))}
+
+
+def memo(listings: DataFrame, most: int = MOST_COMMON) -> DataFrame:
+    """(tagged, value): normal forms of strings that several listings share, at most so many; the limit bounds its size, not the work of those who look strings up."""
+    every = listings.select(F.explode(F.array(*_tagged().values())).alias("tagged")).where("tagged is not null")
+    some = every.groupBy("tagged").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tagged").limit(most)
+    kind, raw = F.left("tagged", F.lit(1)), F.substring("tagged", 2, 2**31 - 1)
+    x = T.fold(raw)
+    as_is = lambda _: x
+    value = F.when(kind == "t", T.normalise_title(raw, by=as_is)).when(kind == "c", T.normalise_company(raw, by=as_is))
+    return some.select("tagged", value.otherwise(T.normalise_location(raw, kind == "r")).alias("value"))
+
+
+def with_keys(listings: DataFrame, most: int = MOST_COMMON) -> DataFrame:
+    """Listings with ``key_full`` and ``key``: shared strings are looked up in a memo, the rest is normalised row by row.
+
+    Rows with characters beyond ASCII are a branch of their own, so the others never leave the JVM.
+    """
+    texts = F.concat_ws(" ", "title", "company", "location")
+    plain = F.octet_length(texts) == F.char_length(texts)
+    known = memo(listings, most)
+
+    rows = listings.where(plain)
+    for kind, tagged in _tagged().items():
+        rows = rows.join(known.select(F.col("tagged").alias("_tagged"), F.col("value").alias(f"_{kind}")), tagged == F.col("_tagged"), "left").drop("_tagged")
+    fresh = {"title": T.normalise_title(F.col("title"), by=F.lower), "company": T.normalise_company(F.col("company"), by=F.lower), "location": T.normalise_location(F.col("location"), F.col("remote"), by=F.lower)}
+    rows = rows.withColumns({f"_{kind}": F.coalesce(f"_{kind}", x) for kind, x in fresh.items()})
+    rows = rows.withColumn("key_full", T.key_full(F.col("_title"), F.col("_company"), F.col("_location"))).withColumn("key", F.left("key_full", F.lit(12)))
+    return rows.drop("_title", "_company", "_location").unionByName(T.with_keys(listings.where(~plain)))

@@ -89,23 +89,18 @@ def completeness_tolerant(spark, d):
     return feeds.tolerant_complete(_pages(spark, d, F.col("source_id") % 15), ids)
 
 
-def _snapshot(spark, d):
-    keyed = X.kept_keyed(spark, d)
-    return keyed.where(X.in_snapshot()), X.state_of(D.first_wins(keyed.where(X.in_state())))
-
-
 def seed_sources(spark, d):
-    return refs.seed(*_snapshot(spark, d), X.as_of()).select("source_id", "key", "external_id", "state")
+    return refs.seed(*X.snapshot_and_state(spark, d), X.as_of()).select("source_id", "key", "external_id", "state")
 
 
 def remove_sources(spark, d):
     gone = X.table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").cast("long").alias("source_id"))
-    return refs.without_sources(_snapshot(spark, d)[1], gone).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    return refs.without_sources(X.state(spark, d), gone).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def digest(spark, d):
     o = F.col("okey")
-    first = D.first_wins(X.keyed(spark, d)).withColumns({"fit_score": F.when(o % 3 > 0, o % 101), "posted_at": F.coalesce("posted_at", X.as_of())})
+    first = D.first_wins(D.contenders(X.keyed(spark, d))).withColumns({"fit_score": F.when(o % 3 > 0, o % 101), "posted_at": F.coalesce("posted_at", X.as_of())})
     return G.digest(first, X.as_of(), ("source_id", "key"))
 
 
