@@ -81,7 +81,8 @@ def with_keys(listings: DataFrame, most: int = MOST_COMMON) -> DataFrame:
     plain = F.octet_length(texts) == F.char_length(texts)
     known = memo(listings, most)
 
-    rows = listings.where(plain)
+    # no shuffle and no fewer partitions: it ends the generated code of what made the listings, which grew too large to be compiled
+    rows = listings.where(plain).coalesce(2**31 - 1)
     for kind, tagged in _tagged().items():
         rows = rows.join(known.select(F.col("tagged").alias("_tagged"), F.col("value").alias(f"_{kind}")), tagged == F.col("_tagged"), "left").drop("_tagged")
     fresh = {"title": T.normalise_title(F.col("title"), by=F.lower), "company": T.normalise_company(F.col("company"), by=F.lower), "location": T.normalise_location(F.col("location"), F.col("remote"), by=F.lower)}
