@@ -37,3 +37,25 @@ def test_copies_of_a_key_go_before_wide_rows_are_moved(spark):
     for most in (3, 180_000):
         few = D.contenders(rows, late, even, most=most)
         assert best(few.where(late)) == best(rows.where(late)) and best(few.where(even)) == best(rows.where(even))
+
+
+def test_wide_rows_are_read_at_first_places_only(spark):
+    """However many keys there are, only rows at a first place of one are kept, also where rows of a source share a place; the first of each group stays the same."""
+    rows = spark.range(3000).select((F.col("id") % 2).alias("source_id"), (F.col("id") % 5).cast("string").alias("key"), F.floor(F.col("id") * 7919 % 3001 / 10 * 5 + F.col("id") % 5).alias("pos"), F.col("id").alias("other"))
+    rows = rows.dropDuplicates(["source_id", "key", "pos"]).withColumn("pos", F.floor(F.col("pos") / 5)).groupBy("source_id", "key", "pos").agg(F.min("other").alias("other"))
+    late, even = F.col("pos") > 100, F.col("other") % 2 == 0
+    best = lambda df: sorted(map(tuple, D.first_wins(df).select("source_id", "key", "pos", "other").collect()))
+    places = D.first_places(rows, late, even, size=late)
+    few = D.at_places(rows, places)
+    assert few.count() < rows.count() / 10
+    assert best(few.where(late)) == best(rows.where(late)) and best(few.where(even)) == best(rows.where(even))
+    assert sum(r.size for r in places.select("size").collect()) == rows.where(late).count()
+
+
+def test_listings_are_read_once_for_keys(spark):
+    """A memo that wasn't cut holds the strings beyond ASCII, shared or not: no second branch reads the listings for their rows."""
+    listings = spark.createDataFrame([(0, "Büro Ingénieur", "Süd AG", "Köln", None), (1, "Dev", "Acme, Inc.", None, True), (2, "Dev", "Acme GmbH", "Berlin, DE", False)], "pos long, title string, company string, location string, remote boolean")
+    keyed = N.with_keys(listings)
+    assert "Union" not in keyed._jdf.queryExecution().optimizedPlan().toString()
+    same = lambda df: sorted((r.pos, r.key_full) for r in df.collect())
+    assert same(keyed) == same(T.with_keys(listings)) == same(N.with_keys(listings, 2))

@@ -55,6 +55,19 @@ def contenders(keyed: DataFrame, *groups: Column, most: int = MOST_HELD) -> Data
     return j.where(F.col("_key").isNull() | first).select(*keyed.columns)
 
 
+def first_places(keyed: DataFrame, *groups: Column, **counts: Column) -> DataFrame:
+    """(source_id, key, least, ..): by group the first place of each key, null if it has no row there; ``counts``: of how many rows of the key a condition holds. A hash aggregate over bare keys."""
+    groups = groups or (F.lit(True),)
+    least = [F.min(F.when(g, F.col("pos"))).alias(f"least{n}") for n, g in enumerate(groups)]
+    return keyed.groupBy("source_id", "key").agg(F.array(*least).alias("least"), *[F.count_if(c).alias(name) for name, c in counts.items()])
+
+
+def at_places(listings: DataFrame, places: DataFrame) -> DataFrame:
+    """The listings, keyed or not, that lie at a first place. Others that share a source and a place come along; ``first_wins`` of a group drops them once they have keys."""
+    wanted = places.select("source_id", F.explode("least").alias("pos")).where("pos is not null").distinct()
+    return listings.join(wanted, ["source_id", "pos"], "left_semi")
+
+
 def id_dedupe(listings: DataFrame, last: bool = False) -> DataFrame:
     """One listing per (source_id, external_id): the first, or the last's values at the first's place."""
     w = Window.partitionBy("source_id", "external_id")

@@ -62,9 +62,10 @@ def _tagged() -> dict[str, Column]:
 
 
 def memo(listings: DataFrame, most: int = MOST_COMMON) -> DataFrame:
-    """(tagged, value): normal forms of strings that several listings share, at most so many; the limit bounds its size, not the work of those who look strings up."""
+    """(tagged, value): normal forms of strings that several listings share or that hold characters beyond ASCII, at most so many; the limit bounds its size, not the work of those who look strings up."""
     every = listings.select(F.explode(F.array(*_tagged().values())).alias("tagged")).where("tagged is not null")
-    some = every.groupBy("tagged").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tagged").limit(most)
+    wanted = (F.col("n") > 1) | (F.octet_length("tagged") != F.char_length("tagged"))
+    some = every.groupBy("tagged").agg(F.count(F.lit(1)).alias("n")).where(wanted).select("tagged").limit(most)
     kind, raw = F.left("tagged", F.lit(1)), F.substring("tagged", 2, 2**31 - 1)
     x = T.fold(raw)
     as_is = lambda _: x
@@ -72,20 +73,23 @@ def memo(listings: DataFrame, most: int = MOST_COMMON) -> DataFrame:
     return some.select("tagged", value.otherwise(T.normalise_location(raw, kind == "r")).alias("value"))
 
 
-def with_keys(listings: DataFrame, most: int = MOST_COMMON) -> DataFrame:
+def with_keys(listings: DataFrame, most: int = MOST_COMMON, known: DataFrame | None = None) -> DataFrame:
     """Listings with ``key_full`` and ``key``: shared strings are looked up in a memo, the rest is normalised row by row.
 
-    Rows with characters beyond ASCII are a branch of their own, so the others never leave the JVM.
+    The memo (``known``, if one of these listings or of more is there) is persisted and counted first. One that wasn't cut holds all strings beyond ASCII, so no row leaves the JVM;
+    else rows with such strings are a branch of their own, which reads the listings again.
     """
+    known = memo(listings, most).persist() if known is None else known
+    whole = known.count() < most
     texts = F.concat_ws(" ", "title", "company", "location")
     plain = F.octet_length(texts) == F.char_length(texts)
-    known = memo(listings, most)
 
     # no shuffle and no fewer partitions: it ends the generated code of what made the listings, which grew too large to be compiled
-    rows = listings.where(plain).coalesce(2**31 - 1)
+    rows = (listings if whole else listings.where(plain)).coalesce(2**31 - 1)
     for kind, tagged in _tagged().items():
         rows = rows.join(known.select(F.col("tagged").alias("_tagged"), F.col("value").alias(f"_{kind}")), tagged == F.col("_tagged"), "left").drop("_tagged")
     fresh = {"title": T.normalise_title(F.col("title"), by=F.lower), "company": T.normalise_company(F.col("company"), by=F.lower), "location": T.normalise_location(F.col("location"), F.col("remote"), by=F.lower)}
     rows = rows.withColumns({f"_{kind}": F.coalesce(f"_{kind}", x) for kind, x in fresh.items()})
     rows = rows.withColumn("key_full", T.key_full(F.col("_title"), F.col("_company"), F.col("_location"))).withColumn("key", F.left("key_full", F.lit(12)))
-    return rows.drop("_title", "_company", "_location").unionByName(T.with_keys(listings.where(~plain)))
+    rows = rows.drop("_title", "_company", "_location")
+    return rows if whole else rows.unionByName(T.with_keys(listings.where(~plain)))

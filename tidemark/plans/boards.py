@@ -100,7 +100,7 @@ def remove_sources(spark, d):
 
 def digest(spark, d):
     o = F.col("okey")
-    first = D.first_wins(D.contenders(X.keyed(spark, d))).withColumns({"fit_score": F.when(o % 3 > 0, o % 101), "posted_at": F.coalesce("posted_at", X.as_of())})
+    first = X.first(spark, d).withColumns({"fit_score": F.when(o % 3 > 0, o % 101), "posted_at": F.coalesce("posted_at", X.as_of())})
     return G.digest(first, X.as_of(), ("source_id", "key"))
 
 
