@@ -6,6 +6,7 @@ from tidemark.functions import text as T
 from tidemark.operators import diff as D
 from tidemark.operators import names as N
 from tidemark.plans import payloads
+from tidemark.sources import merged
 
 
 def test_violations_of_every_source(spark):
@@ -59,3 +60,15 @@ def test_listings_are_read_once_for_keys(spark):
     assert "Union" not in keyed._jdf.queryExecution().optimizedPlan().toString()
     same = lambda df: sorted((r.pos, r.key_full) for r in df.collect())
     assert same(keyed) == same(T.with_keys(listings)) == same(N.with_keys(listings, 2))
+
+
+def test_both_feeds_are_parsed_once(spark):
+    """Texts are made before the feeds are joined, so nothing is parsed for them again; positions without sections, or with blank ones, have none."""
+    raw = lambda x: spark.createDataFrame([(1, "a", x)], "source_id long, ident string, payload string")
+    job = lambda i, parts: f"<position><id>{i}</id><name>N</name>{parts}</position>"
+    part = lambda h, b: f"<jobDescription><name>{h}</name><value><![CDATA[{b}]]></value></jobDescription>"
+    some = f"<jobDescriptions>{part('A', '<b>x&#35;&amp;#33;</b>')}{part('', 'y')}{part('C', '<p> </p>')}</jobDescriptions>"
+    none = f"<jobDescriptions>{part('D', ' ')}</jobDescriptions>"
+    rows = merged.listings(raw('[{"id":"1","name":"J"},{"id":"9","name":"K"}]'), raw(f"<workzag-jobs>{job(1, some)}{job(2, none)}{job(3, '')}</workzag-jobs>"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {r.external_id: r.description for r in rows.collect()} == {"1": "A\nx#!\n\ny", "9": None, "2": None, "3": None}

@@ -31,7 +31,7 @@ def listings(json_raw: DataFrame, xml_raw: DataFrame) -> DataFrame:
     JSON wins for name, office and department; the XML states dates and texts. Positions without a name go. ``feeds.shape`` with ``JSON`` tells failed sources.
     """
     j = _positions(json_raw, F.from_json("payload", JSON), "j")
-    x = _positions(xml_raw, F.from_xml("payload", XML)["position"], "x")
+    x = _described(_positions(xml_raw, F.from_xml("payload", XML)["position"], "x"))
     both = j.join(x, ["source_id", "id"], "full_outer")
     pos = F.coalesce(F.col("j_at").cast("long"), F.lit(1_000_000_000).cast("long") + F.col("x_at"))
     slug = F.coalesce("j_ident", "x_ident")
@@ -40,9 +40,8 @@ def listings(json_raw: DataFrame, xml_raw: DataFrame) -> DataFrame:
     named = F.when(F.size(F.coalesce(offices, F.array().cast("array<string>"))) > 0, offices).otherwise(F.split(F.coalesce(office, F.lit("")), ","))
     place = F.array_join(F.filter(F.transform(named, lambda o: F.trim(o)), lambda o: o != ""), ", ")
     rows = both.withColumns({"title": F.coalesce("j.name", _filled(F.col("x.name"))), "pos": pos}).where("title <> ''")
-    texts = _texts(rows)
     return _listing(
-        rows.join(texts, ["source_id", "id"], "left"),
+        rows,
         external_id=F.col("id"),
         title=F.col("title"),
         company=slug,
@@ -55,9 +54,11 @@ def listings(json_raw: DataFrame, xml_raw: DataFrame) -> DataFrame:
     )
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """(source_id, id, _text): sections as heading and body. Exploded, since the markup helper works on columns, not inside arrays."""
+def _described(x: DataFrame) -> DataFrame:
+    """XML positions with ``_text``, sections as heading and body. Exploded, since the markup helper works on columns, not inside arrays; before the feeds are joined, so each is parsed once."""
     parts = F.coalesce(F.col("x.jobDescriptions.jobDescription"), F.array().cast(TEXT))
-    s = rows.select("source_id", "id", F.posexplode(parts).alias("k", "s")).select("source_id", "id", "k", _filled(F.col("s.name")).alias("h"), strip_html(F.col("s.value")).alias("b")).where("b is not null")
-    part = F.struct("k", F.concat_ws("\n", "h", "b").alias("t"))
-    return s.groupBy("source_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n\n").alias("_text"))
+    kept = F.struct("x_ident", "x_at", F.struct("x.name", "x.office", "x.department", "x.createdAt").alias("x"))
+    s = x.select("source_id", "id", kept.alias("kept"), F.posexplode_outer(parts).alias("k", "s")).select("source_id", "id", "kept", "k", _filled(F.col("s.name")).alias("h"), strip_html(F.col("s.value")).alias("b"))
+    part = F.when(F.col("b").isNotNull(), F.struct("k", F.concat_ws("\n", "h", "b").alias("t")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n\n")
+    return s.groupBy("source_id", "id").agg(F.first("kept").alias("kept"), F.nullif(text, F.lit("")).alias("_text")).select("source_id", "id", "kept.*", "_text")
