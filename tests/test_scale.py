@@ -6,7 +6,7 @@ from tidemark.functions import text as T
 from tidemark.operators import diff as D
 from tidemark.operators import names as N
 from tidemark.plans import payloads
-from tidemark.sources import merged
+from tidemark.sources import feeds, merged
 
 
 def test_violations_of_every_source(spark):
@@ -72,3 +72,19 @@ def test_both_feeds_are_parsed_once(spark):
     rows = merged.listings(raw('[{"id":"1","name":"J"},{"id":"9","name":"K"}]'), raw(f"<workzag-jobs>{job(1, some)}{job(2, none)}{job(3, '')}</workzag-jobs>"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert {r.external_id: r.description for r in rows.collect()} == {"1": "A\nx#!\n\ny", "9": None, "2": None, "3": None}
+
+
+def test_pages_and_details_are_exchanged_as_bare_lines(spark):
+    """Pages and details go through one exchange each, the joined listings through one more; no object or payload is made before the pages' exchange."""
+    plan = payloads.paged_feed(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("Exchange hashpartitioning") == 3
+    page = [x for x in plan.optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x and "page_no" in x]
+    before = plan.optimizedPlan().toString().split(page[0])[1].split("RepartitionByExpression")[0]
+    assert len(page) == 1 and "concat_ws" not in before and "to_json" not in before and "named_struct" not in before
+
+
+def test_copies_of_a_detail_page_count_once(spark):
+    listings = feeds.paged(spark.createDataFrame([(1, 0, "acme", '{"content": [{"id": "9", "name": "N"}, {"id": "8", "name": "M"}]}')], "source_id long, page_no int, ident string, payload string"))
+    page = '{"jobAd": {"sections": {"jobDescription": {"text": "<p>d</p>"}}}}'
+    details = spark.createDataFrame([(1, "9", page), (1, "9", page)], "source_id long, external_id string, payload string")
+    assert sorted((r.external_id, r.description) for r in feeds.with_details(listings, details).collect()) == [("8", None), ("9", "d")]

@@ -17,69 +17,92 @@ WHEN = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 def _lines(spark, d):
     li = X.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_returnflag")
     part = X.table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    j = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return j.withColumns({"ident": F.concat(F.lit("co-"), F.col("l_suppkey").cast("string")), "id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"), "date": F.date_format("l_shipdate", WHEN)})
+    return li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _ident(suppkey):
+    return F.concat(F.lit("co-"), suppkey.cast("string"))
 
 
 def _raw(lines, item, wrap=None):
-    """One page of each supplier and line number, as the board would serve it."""
-    pages = lines.groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("page_no"), "ident").agg(F.array_sort(F.collect_list(F.struct(*ORDER, item.alias("item")))).alias("rows"))
-    items = F.transform("rows", lambda r: r["item"])
-    return pages.select("source_id", "page_no", "ident", F.to_json(items if wrap is None else F.struct(items.alias(wrap))).alias("payload"))
+    """One page of each supplier and line number, as the board would serve it. ``item``: of a line, the JSON object of its posting."""
+    pages = _pages(lines).select("source_id", "page_no", _ident(F.col("source_id")).alias("ident"), F.transform("rows", lambda r: item(_Line(r))).alias("items"))
+    return pages.select("source_id", "page_no", "ident", F.to_json("items" if wrap is None else F.struct(F.col("items").alias(wrap))).alias("payload"))
+
+
+def _pages(lines):
+    """(source_id, page_no, rows): bare lines in the order of their page. Objects and payloads are made of them behind the exchange, as texts are many times as wide; nothing is sorted before it."""
+    bare = lines.select(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("page_no"), *ORDER, "p_name", "p_type").repartition("source_id", "page_no")
+    row = F.struct(*ORDER, F.col("page_no").alias("l_linenumber"), "p_name", "p_type")
+    return bare.groupBy("source_id", "page_no").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
 def _struct(**fields):
     return F.struct(*[(F.lit(v) if isinstance(v, str | bool) else v).alias(k) for k, v in fields.items()])
 
 
-class _Part:
-    """``P % n``: the part number modulo n, as a column once a session is there."""
+class _Line:
+    """A line, as the struct ``row`` or as the row itself: its fields, ``line % n`` (the part number modulo n), ``id`` and ``date``."""
+
+    def __init__(self, row=None):
+        self.row = row
+
+    def __getitem__(self, name: str):
+        return F.col(name) if self.row is None else self.row[name]
 
     def __mod__(self, n: int):
-        return F.col("l_partkey") % n
+        return self["l_partkey"] % n
+
+    @property
+    def id(self):
+        return F.concat_ws("-", *[self[c].cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")])
+
+    @property
+    def date(self):
+        return F.date_format(self["l_shipdate"], WHEN)
 
 
-P = _Part()
+P = _Line()
 
 
 def _greenhouse(lines):
-    job = _struct(
-        id=F.col("id"), title=F.col("p_name"), absolute_url=F.concat(F.lit("https://g/"), F.col("id")), company_name=F.when(P % 3 == 0, "").when(P % 3 == 1, "Named"), updated_at=F.col("date"), first_published=F.when(P % 2 == 0, "2020-01-02T03:04:05Z"),
-        application_deadline=F.when(P % 5 == 0, F.col("date")), location=_struct(name=F.col("l_returnflag")), departments=F.when(P % 4 > 0, F.array(_struct(name=F.col("p_type")), _struct(name="second"))).otherwise(F.array().cast("array<struct<name:string>>")),
-        content=F.concat(F.lit("&lt;h2&gt;Big&lt;/h2&gt;&lt;p&gt;"), F.col("p_name"), F.lit(" &amp;amp; co.&lt;/p&gt;")),
+    job = lambda line: _struct(
+        id=line.id, title=line["p_name"], absolute_url=F.concat(F.lit("https://g/"), line.id), company_name=F.when(line % 3 == 0, "").when(line % 3 == 1, "Named"), updated_at=line.date, first_published=F.when(line % 2 == 0, "2020-01-02T03:04:05Z"),
+        application_deadline=F.when(line % 5 == 0, line.date), location=_struct(name=line["l_returnflag"]), departments=F.when(line % 4 > 0, F.array(_struct(name=line["p_type"]), _struct(name="second"))).otherwise(F.array().cast("array<struct<name:string>>")),
+        content=F.concat(F.lit("&lt;h2&gt;Big&lt;/h2&gt;&lt;p&gt;"), line["p_name"], F.lit(" &amp;amp; co.&lt;/p&gt;")),
     )
     return _raw(lines, job, "jobs")
 
 
 def _lever(lines):
-    job = _struct(
-        id=F.col("id"), text=F.col("p_name"), hostedUrl=F.concat(F.lit("https://l/"), F.col("id")), createdAt=F.when(P % 3 == 0, F.lit(0)).when(P % 3 == 1, F.unix_millis(F.col("l_shipdate").cast("timestamp"))), workplaceType=F.when(P % 4 == 0, "remote").when(P % 4 == 1, "").when(P % 4 == 2, "onsite"), country="DE",
-        categories=_struct(department=F.when(P % 2 == 0, F.col("p_type")), team="T", location=F.when(P % 5 > 0, "Berlin")), openingPlain=F.when(P % 2 == 0, " ").otherwise("open"), descriptionPlain=F.col("p_name"), additionalPlain=F.when(P % 7 == 0, "more"),
+    job = lambda line: _struct(
+        id=line.id, text=line["p_name"], hostedUrl=F.concat(F.lit("https://l/"), line.id), createdAt=F.when(line % 3 == 0, F.lit(0)).when(line % 3 == 1, F.unix_millis(line["l_shipdate"].cast("timestamp"))), workplaceType=F.when(line % 4 == 0, "remote").when(line % 4 == 1, "").when(line % 4 == 2, "onsite"), country="DE",
+        categories=_struct(department=F.when(line % 2 == 0, line["p_type"]), team="T", location=F.when(line % 5 > 0, "Berlin")), openingPlain=F.when(line % 2 == 0, " ").otherwise("open"), descriptionPlain=line["p_name"], additionalPlain=F.when(line % 7 == 0, "more"),
     )
     return _raw(lines, job)
 
 
 def _ashby(lines):
-    more = F.when(P % 3 == 0, F.array(_struct(location="Paris"), _struct(location=""))).when(P % 3 == 1, F.array(_struct(location="Rome"), _struct(location="Oslo")))
-    job = _struct(
-        id=F.col("id"), title=F.concat(F.lit(" "), F.col("p_name"), F.lit(" ")), location=F.when(P % 5 > 0, "Berlin"), secondaryLocations=more, department=F.col("p_type"), publishedAt=F.col("date"), isListed=F.when(P % 7 == 0, False).when(P % 7 == 1, True),
-        isRemote=F.when(P % 4 == 0, True), workplaceType=F.when(P % 4 == 1, "Fully Remote").when(P % 4 == 2, "Hybrid"), jobUrl=F.when(P % 2 == 0, "https://a/job"), applyUrl=F.when(P % 6 > 0, "https://a/apply"), descriptionPlain=F.when(P % 8 == 0, "plain"), descriptionHtml="<p>html</p>",
+    more = lambda line: F.when(line % 3 == 0, F.array(_struct(location="Paris"), _struct(location=""))).when(line % 3 == 1, F.array(_struct(location="Rome"), _struct(location="Oslo")))
+    job = lambda line: _struct(
+        id=line.id, title=F.concat(F.lit(" "), line["p_name"], F.lit(" ")), location=F.when(line % 5 > 0, "Berlin"), secondaryLocations=more(line), department=line["p_type"], publishedAt=line.date, isListed=F.when(line % 7 == 0, False).when(line % 7 == 1, True),
+        isRemote=F.when(line % 4 == 0, True), workplaceType=F.when(line % 4 == 1, "Fully Remote").when(line % 4 == 2, "Hybrid"), jobUrl=F.when(line % 2 == 0, "https://a/job"), applyUrl=F.when(line % 6 > 0, "https://a/apply"), descriptionPlain=F.when(line % 8 == 0, "plain"), descriptionHtml="<p>html</p>",
     )
     return _raw(lines, job, "jobs")
 
 
 def _paged(lines):
-    job = _struct(
-        id=F.col("id"), name=F.col("p_name"), company=_struct(identifier="x", name=F.when(P % 3 == 0, "").when(P % 3 == 1, "Named")), releasedDate=F.col("date"), location=_struct(city="Berlin", region=F.when(P % 2 == 0, " ").otherwise("BE"), country=F.when(P % 3 == 0, "de").otherwise("Germany"), remote=F.when(P % 4 == 0, True)),
-        department=_struct(label=F.when(P % 5 > 0, F.col("p_type"))), function=_struct(label="Fn"),
+    job = lambda line: _struct(
+        id=line.id, name=line["p_name"], company=_struct(identifier="x", name=F.when(line % 3 == 0, "").when(line % 3 == 1, "Named")), releasedDate=line.date, location=_struct(city="Berlin", region=F.when(line % 2 == 0, " ").otherwise("BE"), country=F.when(line % 3 == 0, "de").otherwise("Germany"), remote=F.when(line % 4 == 0, True)),
+        department=_struct(label=F.when(line % 5 > 0, line["p_type"])), function=_struct(label="Fn"),
     )
     return _raw(lines, job, "content")
 
 
 def _public(lines):
-    job = _struct(
-        beruf=F.when(P % 7 > 0, "Beruf"), titel=F.when(P % 5 == 0, "null").when(P % 5 == 1, " - ").otherwise(F.col("p_name")), refnr=F.col("id"), arbeitsort=_struct(ort=F.when(P % 3 > 0, "Berlin").otherwise("undefined"), region=F.when(P % 2 == 0, "BERLIN").otherwise("Brandenburg")),
-        arbeitgeber=F.when(P % 4 == 0, "-").otherwise("Firma"), aktuelleVeroeffentlichungsdatum=F.date_format("l_shipdate", "yyyy-MM-dd"), externeUrl=F.when(P % 2 == 0, ""),
+    job = lambda line: _struct(
+        beruf=F.when(line % 7 > 0, "Beruf"), titel=F.when(line % 5 == 0, "null").when(line % 5 == 1, " - ").otherwise(line["p_name"]), refnr=line.id, arbeitsort=_struct(ort=F.when(line % 3 > 0, "Berlin").otherwise("undefined"), region=F.when(line % 2 == 0, "BERLIN").otherwise("Brandenburg")),
+        arbeitgeber=F.when(line % 4 == 0, "-").otherwise("Firma"), aktuelleVeroeffentlichungsdatum=F.date_format(line["l_shipdate"], "yyyy-MM-dd"), externeUrl=F.when(line % 2 == 0, ""),
     )
     return _raw(lines, job, "stellenangebote")
 
@@ -101,7 +124,7 @@ def paged_feed(spark, d):
     lines = _lines(spark, d)
     text = lambda x: _struct(text=x)
     sections = _struct(companyDescription=text(F.lit("<b>us</b>")), qualifications=F.when(P % 4 == 0, text(F.lit(" "))).otherwise(text(F.lit("<li>know"))), jobDescription=text(F.concat(F.lit("<p>"), F.col("p_name"), F.lit("</p>"))))
-    details = lines.where(P % 2 == 0).select(F.col("l_suppkey").alias("source_id"), F.col("id").alias("external_id"), F.to_json(_struct(jobAd=_struct(sections=sections))).alias("payload")).distinct()
+    details = lines.where(P % 2 == 0).select(F.col("l_suppkey").alias("source_id"), P.id.alias("external_id"), F.to_json(_struct(jobAd=_struct(sections=sections))).alias("payload"))
     return feeds.with_details(feeds.paged(_paged(lines)), details)
 
 
@@ -124,7 +147,7 @@ def walk_statuses(spark, d):
     """Walks over pages of two kinds: what every page promises is more than the walk brought at some boards, by a few rows or by many."""
     lines = _lines(spark, d)
     s = F.col("source_id")
-    n = lines.groupBy(F.col("l_suppkey").alias("source_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    n = lines.groupBy(F.col("l_suppkey").alias("source_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(P.id).alias("ids"))
     total = lambda name, x: F.concat(F.lit(f'{{"{name}":'), x.cast("string"), F.lit(","), F.substring("payload", F.lit(2), F.length("payload")))
     exact = _paged(lines.where("l_suppkey % 2 = 0")).join(n, "source_id").withColumn("payload", total("totalFound", F.col("n") + F.when(s % 3 == 0, 1).otherwise(0))).withColumn("kind", F.lit("smartrecruiters"))
     loose = _public(lines.where("l_suppkey % 2 = 1")).join(n, "source_id").withColumn("payload", total("maxErgebnisse", F.col("ids") + s % 40)).withColumn("kind", F.lit("arbeitsagentur"))
@@ -175,12 +198,12 @@ def strict_listings(spark, d):
 def merged_feed(spark, d):
     """The same positions as JSON and as XML, each feed lacking some."""
     lines = _lines(spark, d)
-    ids = _raw(lines.where(P % 3 > 0), _struct(id=F.col("id"), name=F.col("p_name"), office="Berlin", offices=F.when(P % 2 == 0, F.array(F.lit("Berlin"), F.lit(" Remote "))), department=F.when(P % 5 > 0, F.col("p_type"))))
+    job = lambda line: _struct(id=line.id, name=line["p_name"], office="Berlin", offices=F.when(line % 2 == 0, F.array(F.lit("Berlin"), F.lit(" Remote "))), department=F.when(line % 5 > 0, line["p_type"]))
+    ids = _raw(lines.where(P % 3 > 0), job)
     # one feed a board and page: the source is both
     tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
-    position = F.concat(F.lit("<position>"), tag("id", F.col("id")), tag("office", F.lit("Köln")), tag("name", F.concat(F.lit("X "), F.col("p_name"))), tag("createdAt", F.col("date")), F.lit("<jobDescriptions><jobDescription><name>Tasks</name><value><![CDATA[<p>Do &amp; be</p>]]></value></jobDescription></jobDescriptions></position>"))
-    xml = lines.where(P % 3 < 2).groupBy(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("page_no"), "ident").agg(F.array_sort(F.collect_list(F.struct(*ORDER, position.alias("item")))).alias("rows"))
-    xml = xml.select("source_id", "page_no", "ident", F.concat(F.lit("<workzag-jobs>"), F.array_join(F.transform("rows", lambda r: r["item"]), ""), F.lit("</workzag-jobs>")).alias("payload"))
+    position = lambda line: F.concat(F.lit("<position>"), tag("id", line.id), tag("office", F.lit("Köln")), tag("name", F.concat(F.lit("X "), line["p_name"])), tag("createdAt", line.date), F.lit("<jobDescriptions><jobDescription><name>Tasks</name><value><![CDATA[<p>Do &amp; be</p>]]></value></jobDescription></jobDescriptions></position>"))
+    xml = _pages(lines.where(P % 3 < 2)).select("source_id", "page_no", _ident(F.col("source_id")).alias("ident"), F.concat(F.lit("<workzag-jobs>"), F.array_join(F.transform("rows", lambda r: position(_Line(r))), ""), F.lit("</workzag-jobs>")).alias("payload"))
     board = (F.col("source_id") * 10 + F.col("page_no")).alias("source_id")
     side = lambda df: df.select(board, "ident", "payload")
     return merged.listings(side(ids), side(xml)).select("source_id", "external_id", "title", "location", "remote", "department", "posted_at", "description")

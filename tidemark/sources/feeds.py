@@ -84,11 +84,15 @@ DETAIL = f"jobAd struct<sections:struct<jobDescription:{SECTION},qualifications:
 
 
 def with_details(listings: DataFrame, details: DataFrame) -> DataFrame:
-    """``listings`` described by their detail pages, (source_id, external_id, payload): the sections in a fixed order, whatever the payload's. Listings without a page keep theirs."""
+    """``listings`` described by their detail pages, (source_id, external_id, payload): the sections in a fixed order, whatever the payload's. Listings without a page keep theirs; pages that say the same count once.
+
+    Copies are told where the join needs the texts, so details are exchanged once, and as texts.
+    """
     s = F.from_json("payload", DETAIL)["jobAd"]["sections"]
     names = ("jobDescription", "qualifications", "additionalInformation", "companyDescription")
     parts = details.select("source_id", "external_id", *[strip_html(s[n]["text"]).alias(n) for n in names])
     text = parts.select("source_id", "external_id", F.nullif(F.concat_ws("\n\n", *names), F.lit("")).alias("_text"))
+    text = text.repartition("source_id", "external_id").distinct()
     return listings.join(text, ["source_id", "external_id"], "left").withColumn("description", F.coalesce("_text", "description")).select(*listings.columns)
 
 
