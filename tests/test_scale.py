@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.functions import text as T
 from tidemark.operators import diff as D
 from tidemark.operators import names as N
+from tidemark.plans import fixtures as X
 from tidemark.plans import payloads
 from tidemark.sources import feeds, merged
 
@@ -88,3 +90,40 @@ def test_copies_of_a_detail_page_count_once(spark):
     page = '{"jobAd": {"sections": {"jobDescription": {"text": "<p>d</p>"}}}}'
     details = spark.createDataFrame([(1, "9", page), (1, "9", page)], "source_id long, external_id string, payload string")
     assert sorted((r.external_id, r.description) for r in feeds.with_details(listings, details).collect()) == [("8", None), ("9", "d")]
+
+
+def test_first_rows_of_all_groups_come_from_one_aggregate(spark):
+    """What ``first_wins`` finds group by group, with the counts, from one exchange of rows whose copies went before it."""
+    rows = spark.range(3000).select((F.col("id") % 2).alias("source_id"), (F.col("id") % 5).cast("string").alias("key"), ((F.col("id") * 7919) % 3001).alias("pos"), F.col("id").alias("other"), F.lit("wide").alias("text"))
+    late, even = F.col("pos") > 1000, (F.col("other") % 2 == 0) & (F.col("key") != "3")
+    got = D.first_rows(rows, ("other",), {"l": late, "e": even}, size=late)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for name, group in (("l", late), ("e", even)):
+        want = {(r.source_id, r.key, r.pos, r.other) for r in D.first_wins(rows.where(group)).collect()}
+        assert {(r.source_id, r.key, r[name].pos, r[name].other) for r in got.where(F.col(name).isNotNull()).collect()} == want
+    assert sum(r["size"] for r in got.collect()) == rows.where(late).count()
+    assert plan.count("Exchange") == 1 and "partial_min" in plan.split("Exchange")[1] and "wide" not in plan
+
+
+def test_listings_are_read_once_for_both_sides_of_the_diff(spark):
+    """Snapshot, state and counts come from one reading of lineitem, which the strings of the memo don't add to; no made-up text of a listing is exchanged."""
+    d = "/root/testdata/sf0.001"
+    rows = X.snapshot_and_state(spark, d)._jdf.queryExecution()
+    assert rows.executedPlan().toString().count("FileScan parquet [l_orderkey") == 1
+    assert not {"url", "title", "company", "external_id"} & {c.removeprefix("f_").removeprefix("s_") for c in X.snapshot_and_state(spark, d).columns}
+    query = registry.queries()["snapshot_diff"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert query.count("FileScan parquet [l_orderkey") == 1 and "SortMergeJoin" not in query
+    known = {r.tagged for r in X.known_strings(spark, d).select("tagged").collect()}
+    texts = X.listings(spark, d).select(F.explode(F.array(*N._tagged().values())).alias("t")).where("t is not null").distinct()
+    assert {r.t for r in texts.collect()} <= known
+
+
+def test_names_of_many_suppliers_keep_the_memo_whole(spark, monkeypatch):
+    """Where suppliers are many their plain names aren't held, and no second branch reads the listings; keys stay the same."""
+    d = "/root/testdata/sf0.001"
+    same = lambda df: sorted((r.source_id, r.pos, r.key_full) for r in df.select("source_id", "pos", "key_full").collect())
+    want = same(X.keyed(spark, d))
+    monkeypatch.setattr(X, "MOST_COMMON", 10)
+    assert X.known_strings(spark, d).where("tagged like 'c%'").count() == 0
+    keyed = X.keyed(spark, d)
+    assert keyed._jdf.queryExecution().executedPlan().toString().count("FileScan parquet [l_orderkey") == 1 and same(keyed) == want

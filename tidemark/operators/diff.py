@@ -68,6 +68,16 @@ def at_places(listings: DataFrame, places: DataFrame) -> DataFrame:
     return listings.join(wanted, ["source_id", "pos"], "left_semi")
 
 
+def first_rows(keyed: DataFrame, columns: tuple[str, ...], groups: dict[str, Column], **counts: Column) -> DataFrame:
+    """(source_id, key, counts, then each group as struct(pos, columns)): the first row of a key in each group, null if it has none there, and of how many of its rows a condition holds.
+
+    One aggregate over one reading of rows as narrow as ``columns``: copies of a key go before the exchange, and what is left is moved once for all groups. Of rows at the same place the least comes first.
+    """
+    row = F.struct("pos", *columns)
+    out = keyed.groupBy("key", "source_id").agg(*[F.min(F.when(g, row)).alias(name) for name, g in groups.items()], *[F.count_if(c).alias(name) for name, c in counts.items()])
+    return out.select("source_id", "key", *counts, *groups)
+
+
 def id_dedupe(listings: DataFrame, last: bool = False) -> DataFrame:
     """One listing per (source_id, external_id): the first, or the last's values at the first's place."""
     w = Window.partitionBy("source_id", "external_id")
@@ -91,7 +101,11 @@ def diff(snapshot: DataFrame, state: DataFrame) -> DataFrame:
     """(source_id, key, s, f, change, fields): s the stored row, f the fetched one; ``snapshot`` is keyed, one row a key."""
     s = state.select("source_id", "key", F.struct(*[c for c in state.columns]).alias("s"))
     f = snapshot.select("source_id", "key", F.struct(*[c for c in snapshot.columns]).alias("f"))
-    both = f.join(s, ["source_id", "key"], "full_outer")
+    return changed(f.join(s, ["source_id", "key"], "full_outer"))
+
+
+def changed(both: DataFrame) -> DataFrame:
+    """(source_id, key, s, f) with ``change`` and ``fields``; s or f is null where a side lacks the key."""
     differs = [F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")), F.lit(c)) for c in NEWSWORTHY]
     fields = F.filter(F.array(*differs), lambda x: x.isNotNull())
     change = (

@@ -61,10 +61,10 @@ def _tagged() -> dict[str, Column]:
     return {"title": F.concat(F.lit("t"), F.col("title")), "company": F.concat(F.lit("c"), F.col("company")), "location": F.concat(place, F.col("location"))}
 
 
-def memo(listings: DataFrame, most: int = MOST_COMMON) -> DataFrame:
-    """(tagged, value): normal forms of strings that several listings share or that hold characters beyond ASCII, at most so many; the limit bounds its size, not the work of those who look strings up."""
+def memo(listings: DataFrame, most: int = MOST_COMMON, least: int = 2) -> DataFrame:
+    """(tagged, value): normal forms of strings that several listings share (``least``: how many) or that hold characters beyond ASCII, at most so many; the limit bounds its size, not the work of those who look strings up."""
     every = listings.select(F.explode(F.array(*_tagged().values())).alias("tagged")).where("tagged is not null")
-    wanted = (F.col("n") > 1) | (F.octet_length("tagged") != F.char_length("tagged"))
+    wanted = (F.col("n") >= least) | (F.octet_length("tagged") != F.char_length("tagged"))
     some = every.groupBy("tagged").agg(F.count(F.lit(1)).alias("n")).where(wanted).select("tagged").limit(most)
     kind, raw = F.left("tagged", F.lit(1)), F.substring("tagged", 2, 2**31 - 1)
     x = T.fold(raw)

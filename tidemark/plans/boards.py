@@ -90,7 +90,8 @@ def completeness_tolerant(spark, d):
 
 
 def seed_sources(spark, d):
-    return refs.seed(*X.snapshot_and_state(spark, d), X.as_of()).select("source_id", "key", "external_id", "state")
+    rows = X.snapshot_and_state(spark, d).persist()
+    return refs.seed(X.listing_at(rows, "f"), X.state_of(X.listing_at(rows, "s")), X.as_of()).select("source_id", "key", "external_id", "state")
 
 
 def remove_sources(spark, d):
